@@ -141,9 +141,9 @@ def seed_centroids(points: DataFrame, k: int, seed: int, vec: str = "vec", key:
     drawn = usable.filter(F.col("_draw") <= cut)
     if drawn.count() < k:  # practically never; then the cut-off is dropped
         drawn = usable
-    numbered = ordinals(drawn, hex_bucket(F.col("_draw"), 8), ["_draw"], output="_place")
-    return numbered.filter(F.col("_place") < k).select(
-        F.col("_place").cast("int").alias("centroid_id"), "centroid"
+    numbered = ordinals(drawn, hex_bucket(F.col("_draw"), 8), ["_draw"], output="_rank")
+    return numbered.filter(F.col("_rank") < k).select(
+        F.col("_rank").cast("int").alias("centroid_id"), "centroid"
     )
 
 

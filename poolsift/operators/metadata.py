@@ -102,10 +102,17 @@ def invert_blur_map(maps: DataFrame, text: str = "value", input_dir: str | None
     """
     entries = maps.select(F.from_json(text, BLUR_MAP).alias("_map"))
     listed = entries.select(F.posexplode(F.map_values("_map")).alias("_entry", "e")).select(
-        "_entry", F.col("e.parquet").alias("parquet"), F.posexplode("e.shards").alias("_place", "path")
+        F.col("e.parquet").alias("parquet"), "_entry", F.posexplode("e.shards").alias("_place", "path")
     )
+    return invert_blur_entries(
+        listed.select(F.struct("_entry", "_place").alias("entry"), "path", "parquet"), input_dir
+    )
+
+
+def invert_blur_entries(listed: DataFrame, input_dir: str | None = None) -> DataFrame:
+    """The same from a table ``entry, path, parquet`` with one row per listed shard."""
     if input_dir is not None:
         listed = listed.filter(parent_dir(F.col("path")) == input_dir.rstrip("/"))
     return listed.groupBy(base_name(F.col("path")).alias("shard_name")).agg(
-        F.max_by("parquet", F.struct("_entry", "_place")).alias("parquet")
+        F.max_by("parquet", "entry").alias("parquet")
     )

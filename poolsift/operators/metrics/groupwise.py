@@ -138,8 +138,8 @@ def fairness_pivot(metrics: DataFrame) -> DataFrame:
 def gender_race_pivot(metrics: DataFrame, races: int) -> DataFrame:
     """Gender accuracy, one row per gender and one column per race number."""
     parts = metrics.filter("metric = 'acc_gender_x' AND `group` LIKE 'race:%'").select(
-        F.regexp_extract("group", r"gender:(\d+)", 1).cast("int").alias("gender"),
-        F.regexp_extract("group", r"race:(\d+)", 1).cast("int").alias("race"),
+        F.regexp_extract("group", r"gender:(\d+)", 1).try_cast("int").alias("gender"),
+        F.regexp_extract("group", r"race:(\d+)", 1).try_cast("int").alias("race"),
         "value",
     )
     table = parts.groupBy("gender").pivot("race", list(range(races))).agg(F.first("value"))
@@ -150,7 +150,7 @@ def toxicity_race_pivot(metrics: DataFrame, races: int) -> DataFrame:
     """Toxic misclassification, one row per kind and one column per race number."""
     parts = metrics.filter("metric LIKE 'toxicity_%' AND `group` LIKE 'race:%'").select(
         F.regexp_replace("metric", "^toxicity_", "").alias("kind"),
-        F.regexp_extract("group", r"race:(\d+)", 1).cast("int").alias("race"),
+        F.regexp_extract("group", r"race:(\d+)", 1).try_cast("int").alias("race"),
         "value",
     )
     table = parts.groupBy("kind").pivot("race", list(range(races))).agg(F.first("value"))
