@@ -148,8 +148,6 @@ def blur_map_invert(spark, sf):
     """Suppliers as parquet files that list their parts as shards; the highest number wins."""
     listed = (
         table(spark, sf, "lineitem")
-        .select("l_suppkey", "l_partkey")
-        .distinct()
         .select(
             F.format_string("%012d", "l_suppkey").alias("entry"),
             F.concat(F.lit("in/p"), F.col("l_partkey").cast("string"), F.lit(".tar")).alias("path"),

@@ -8,9 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The 29 code points that separate words when a caption is split on
-# blanks, and the characters that count as part of a word for keyword borders.
-BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# What separates words when a caption is split on blanks (the Unicode white
+# space of ``(?U)\s`` plus four control characters, 29 code points in all), and the
+# characters that count as part of a word for keyword borders.
+BLANK = r"[\s\x1c-\x1f]"
+NO_BLANK = r"[^\s\x1c-\x1f]"
 WORD_CHARACTERS = r"\p{L}\p{N}_"
 
 
@@ -21,7 +23,7 @@ def single_line(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words of ``text``, split on runs of blanks, no empty strings."""
-    return F.filter(F.split(text, f"[{BLANKS}]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"(?U){BLANK}+"), "")
 
 
 def word_count(text: Column) -> Column:
@@ -35,9 +37,8 @@ def has_words(text: Column, least: int) -> Column:
     One anchored match that stops at the ``least``-th word, so a long caption is
     not split just to learn that it is long enough.
     """
-    lead = f"[{BLANKS}]*+"
-    more = f"(?:[^{BLANKS}]++[{BLANKS}]++){{{least - 1}}}" if least > 1 else ""
-    return text.rlike(rf"\A{lead}{more}[^{BLANKS}]")
+    more = f"(?:{NO_BLANK}++{BLANK}++){{{least - 1}}}" if least > 1 else ""
+    return text.rlike(rf"(?U)\A{BLANK}*+{more}{NO_BLANK}")
 
 
 def char_count(text: Column) -> Column:

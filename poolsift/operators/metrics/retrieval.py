@@ -37,7 +37,8 @@ def retrieval_recall(
     A query counts as hit when fewer than k candidates score above its best right answer;
     the score matrix itself is never written down.
     """
-    ahead = count_ahead(best_positive(queries, candidates, pairs), candidates, block_bytes)
+    ranked = best_positive(queries, candidates, pairs)
+    ahead = count_ahead(ranked, candidates, candidates.count() <= queries.count(), block_bytes)
     hits = [F.avg((F.col("ahead") < k).cast("double")).alias(f"recall_{k}") for k in ks]
     return ahead.agg(F.count(F.lit(1)).alias("queries"), *hits)
 

@@ -66,26 +66,30 @@ def blocks(
     Block borders come from a hash of the id, and the size of each block is checked
     before its rows are fetched; a block that came out too large is split again.
     """
-    n, dim = shape_of(reference, vector)
     spark = reference.sparkSession
     slim = reference.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
-    row_bytes = dim * 8 + 64
-    parts = -(-n * row_bytes // block_bytes)
-    if parts == 1:
-        yield spark.sparkContext.broadcast(_collect(slim, dim))
-        return
-    # Twice the parts leaves room for uneven hashing; checked below all the same.
-    pending = [(2 * parts, p) for p in range(2 * parts)]
-    while pending:
-        modulus, place = pending.pop(0)
-        part = slim.filter(F.pmod(F.xxhash64("id"), F.lit(modulus)) == place)
-        count = part.count()
-        if count == 0:
-            continue
-        if count * row_bytes > block_bytes and count > 1:
-            pending[:0] = [(2 * modulus, place), (2 * modulus, place + modulus)]
-            continue
-        yield spark.sparkContext.broadcast(_collect(part, dim))
+    slim = slim.persist()  # measured first, fetched after; worked out once
+    try:
+        n, dim = shape_of(slim, "v")
+        row_bytes = dim * 8 + 64
+        parts = -(-n * row_bytes // block_bytes)
+        if parts == 1:
+            yield spark.sparkContext.broadcast(_collect(slim, dim))
+            return
+        # Twice the parts leaves room for uneven hashing; checked below all the same.
+        pending = [(2 * parts, p) for p in range(2 * parts)]
+        while pending:
+            modulus, place = pending.pop(0)
+            part = slim.filter(F.pmod(F.xxhash64("id"), F.lit(modulus)) == place)
+            count = part.count()
+            if count == 0:
+                continue
+            if count * row_bytes > block_bytes and count > 1:
+                pending[:0] = [(2 * modulus, place), (2 * modulus, place + modulus)]
+                continue
+            yield spark.sparkContext.broadcast(_collect(part, dim))
+    finally:
+        slim.unpersist()
 
 
 def _collect(part: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,18 +225,20 @@ def scores_against(
 
 
 def count_ahead(
-    queries: DataFrame, candidates: DataFrame, block_bytes: int = BLOCK_BYTES
+    queries: DataFrame,
+    candidates: DataFrame,
+    ship_candidates: bool,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(id, ahead): how many candidates score above the ``best`` of each query.
 
     ``queries`` has ``id, vec, best`` and ``candidates`` has ``id, vec``, ids unique. This
     is what ranks the best right answer among all candidates without forming a
-    single pair. The smaller side travels in blocks, the larger one streams by. Scores
-    within ``TIE`` of ``best`` count as equal, because the order of a sum is free.
+    single pair. One side travels in blocks, best the smaller one (``ship_candidates``
+    says which), the other streams by. Scores within ``TIE`` of ``best`` count as equal,
+    because the order of a sum is free.
     """
-    n_queries, _ = shape_of(queries, "vec")
-    n_candidates, _ = shape_of(candidates, "vec")
-    if n_candidates <= n_queries:
+    if ship_candidates:
         passes = [
             _ahead_streaming_queries(queries, block)
             for block in blocks(candidates, "id", "vec", block_bytes)
