@@ -33,7 +33,7 @@ def shard_totals(spark, sf):
     """,
 )
 def balanced_buckets(spark, sf):
-    return layout.balanced_buckets(layout.shard_offsets(shards(spark, sf)), 6)
+    return layout.balanced_buckets(shards(spark, sf), 6)
 
 
 @check(

@@ -22,11 +22,15 @@ BUCKET_DIGITS = 4
 BUCKET_WIDTH = 1 << 16
 
 
-def _exclusive_sum(totals: DataFrame, within: Sequence[str], value: str, output: str) -> DataFrame:
-    before = W.partitionBy(*within).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    return totals.select(
-        *within, "_bucket", F.coalesce(F.sum(value).over(before), F.lit(0)).alias(output)
-    )
+def _exclusive_sum(
+    totals: DataFrame, within: Sequence[str], value: str, output: str, total: str | None = None
+) -> DataFrame:
+    group = W.partitionBy(*within)
+    before = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    columns = [F.coalesce(F.sum(value).over(before), F.lit(0)).alias(output)]
+    if total is not None:
+        columns.append(F.sum(value).over(group).alias(total))
+    return totals.select(*within, "_bucket", *columns)
 
 
 def ordinals(
@@ -71,15 +75,17 @@ def exclusive_running_sum(
     output: str,
     within: Sequence[str] = (),
     bucket: Column | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over all earlier rows in ``order_by`` order (unique per group).
 
-    ``bucket`` follows the same order; the default suits one integer column.
+    ``bucket`` follows the same order; the default suits one integer column. ``total`` names
+    a column for the sum over the whole group, which comes at no extra pass.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     keyed = df.withColumn("_bucket", range_bucket(F.col(order[0])) if bucket is None else bucket)
     totals = keyed.groupBy(*within, "_bucket").agg(F.sum(value).alias("_total"))
-    starts = _exclusive_sum(totals, within, "_total", "_start")
+    starts = _exclusive_sum(totals, within, "_total", "_start", total)
     before = W.partitionBy(*within, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     inside = F.coalesce(F.sum(value).over(before), F.lit(0))
     return (
@@ -102,18 +108,14 @@ def shard_totals(sizes: DataFrame) -> DataFrame:
     )
 
 
-def balanced_buckets(offsets: DataFrame, buckets: int) -> DataFrame:
-    """Shards with the ``bucket`` their start falls into, of equal runs of samples.
+def balanced_buckets(sizes: DataFrame, buckets: int) -> DataFrame:
+    """Shards with ``data_start`` and the ``bucket`` it falls into, of equal runs of samples.
 
     A shard that starts exactly on a border belongs to the bucket on its right.
     """
-    total = offsets.agg(F.max(F.col("data_start") + F.col("size")).alias("_total"))
-    step = F.ceil(F.col("_total") / F.lit(buckets))
-    return (
-        offsets.join(F.broadcast(total))  # exactly one row
-        .withColumn("bucket", F.floor(F.col("data_start") / F.greatest(step, F.lit(1))))
-        .drop("_total")
-    )
+    offsets = exclusive_running_sum(sizes, "shard_id", "size", "data_start", total="_all")
+    step = F.greatest(F.ceil(F.col("_all") / F.lit(buckets)), F.lit(1))
+    return offsets.withColumn("bucket", F.floor(F.col("data_start") / step)).drop("_all")
 
 
 def assign_shards(

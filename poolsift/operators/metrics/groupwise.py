@@ -44,9 +44,11 @@ def worst_group(df: DataFrame, group: str, hit: Column) -> DataFrame:
 def worst_year_region(
     df: DataFrame, hit: Column, year: str = "year", region: str = "region"
 ) -> DataFrame:
-    """Accuracy overall, by year and by region in one pass, with both worst values on every row.
+    """``level, year, region, n, acc`` overall, by year and by region, and the worst of both.
 
-    Regions whose name contains ``Other`` are shown but cannot be the worst.
+    Rows ``worst_year`` and ``worst_region`` hold the lowest accuracy and over how many
+    groups. Regions whose name contains ``Other`` are shown but cannot be the worst. Each
+    scored group feeds its own row and the worst row, so samples are read once.
     """
     level = F.when(F.grouping(year) == 0, "year").when(F.grouping(region) == 0, "region").otherwise("all")
     scored = (
@@ -54,12 +56,20 @@ def worst_year_region(
         .groupingSets([[F.col(year)], [F.col(region)], []], F.col(year), F.col(region))
         .agg(level.alias("level"), F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("acc"))
     )
-    eligible = ~F.coalesce(F.col(region).contains("Other"), F.lit(False))
-    worst = scored.agg(
-        F.min(F.when(F.col("level") == "year", F.col("acc"))).alias("worst_year"),
-        F.min(F.when((F.col("level") == "region") & eligible, F.col("acc"))).alias("worst_region"),
+    excluded = (F.col("level") == "all") | F.coalesce(F.col(region).contains("Other"), F.lit(False))
+    entry = lambda level, year_, region_, n: F.struct(
+        level.alias("level"), year_.alias(year), region_.alias(region), n.alias("n"), F.col("acc").alias("acc")
+    )
+    own = entry(F.col("level"), F.col(year), F.col(region), F.col("n"))
+    no_year = F.lit(None).cast(df.schema[year].dataType)
+    no_region = F.lit(None).cast(df.schema[region].dataType)
+    worst = entry(F.concat(F.lit("worst_"), "level"), no_year, no_region, F.lit(1).cast("bigint"))
+    rows = F.when(excluded, F.array(own)).otherwise(F.array(own, worst))
+    return (
+        scored.select(F.inline(rows))
+        .groupBy("level", year, region)
+        .agg(F.sum("n").alias("n"), F.min("acc").alias("acc"))
     )
-    return scored.join(F.broadcast(worst))  # exactly one row
 
 
 # Meaning of the predicted class numbers in the face datasets.
@@ -115,15 +125,16 @@ def fairness_metrics(df: DataFrame) -> DataFrame:
         cells.select(F.inline(F.array(*entries)))
         .groupBy("metric", "group")
         .agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-        .select("metric", "group", "n", rate.alias("value"))
+        .withColumn("value", rate)
     )
-    worst = (
-        scored.filter("`group` <> 'avg'")
-        .groupBy("metric")
+    own = F.struct("group", "n", "value")
+    worst = F.struct(F.lit("wg").alias("group"), "n", "value")
+    rows = F.when(F.col("group") == "avg", F.array(own)).otherwise(F.array(own, worst))
+    return (
+        scored.select("metric", F.inline(rows))
+        .groupBy("metric", "group")
         .agg(F.sum("n").alias("n"), F.min("value").alias("value"))
-        .select("metric", F.lit("wg").alias("group"), "n", "value")
     )
-    return scored.unionByName(worst)
 
 
 def fairness_pivot(metrics: DataFrame) -> DataFrame:

@@ -16,13 +16,14 @@ def best_positive(queries: DataFrame, candidates: DataFrame, pairs: DataFrame) -
 
     ``pairs`` lists the right answers only (``query_id, candidate_id``).
     """
-    positives = pairs.join(
-        candidates.select(F.col("id").alias("candidate_id"), F.col("vec").alias("_cand")), "candidate_id"
-    ).join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("_query")), "query_id")
-    best = positives.groupBy(F.col("query_id").alias("id")).agg(
-        F.max(dot(F.col("_query"), F.col("_cand"))).alias("best")
+    right = candidates.select(F.col("id").alias("candidate_id"), F.col("vec").alias("_right"))
+    asked = queries.select(F.col("id").alias("query_id"), "vec")
+    return (
+        pairs.join(right, "candidate_id")
+        .join(asked, "query_id")
+        .groupBy(F.col("query_id").alias("id"))
+        .agg(F.first("vec").alias("vec"), F.max(dot(F.col("vec"), F.col("_right"))).alias("best"))
     )
-    return queries.select("id", "vec").join(best, "id")
 
 
 def retrieval_recall(

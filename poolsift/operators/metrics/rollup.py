@@ -37,6 +37,7 @@ DATASET_GROUPS = {
     "Retrieval": ("Flickr", "MSCOCO", "WinoGAViL"),
 }
 HEADLINE = "ImageNet 1k"
+AVERAGE = "Average"
 EXPECTED_DATASETS = 38
 
 
@@ -80,8 +81,8 @@ def score_rollup(
     """``name, score, datasets``: headline dataset, mean per group, mean over all datasets.
 
     ``scores`` has one row ``dataset, main_metric`` per dataset; those without a number are
-    left out. ``complete`` tells whether as many datasets as expected have one. A dataset in
-    no group still counts in the average.
+    left out. ``complete`` tells, in the row of the overall mean, whether as many datasets as
+    expected have one. A dataset in no group still counts in the average.
     """
     usable = scores.select("dataset", known(F.col("main_metric").cast("double")).alias("score")).filter(
         "score IS NOT NULL"
@@ -95,15 +96,14 @@ def score_rollup(
     own = F.when(F.col("dataset") == headline, F.array(F.lit(headline))).otherwise(
         F.array().cast("array<string>")
     )
-    names = F.concat(F.coalesce("_groups", F.array().cast("array<string>")), own, F.array(F.lit("Average")))
-    rolled = (
+    names = F.concat(F.coalesce("_groups", F.array().cast("array<string>")), own, F.array(F.lit(AVERAGE)))
+    return (
         usable.join(membership, "dataset", "left")
         .select(F.explode(names).alias("name"), "score")
         .groupBy("name")
         .agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("datasets"))
+        .withColumn("complete", F.when(F.col("name") == AVERAGE, F.col("datasets") == expected))
     )
-    count = usable.agg((F.count(F.lit(1)) == expected).alias("complete"))
-    return rolled.join(F.broadcast(count))  # exactly one row
 
 
 def leaderboard_pivot(results: DataFrame, datasets: Sequence[str], run: str = "run") -> DataFrame:

@@ -140,7 +140,7 @@ def nearest(
     points: DataFrame,
     centroids: DataFrame,
     vec: str = "vec",
-    keys: Sequence[str] | None = ("uid",),
+    keys: Sequence[str] = ("uid",),
     metric: str = "dot",
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
@@ -148,36 +148,36 @@ def nearest(
 
     ``metric`` is ``"dot"`` (largest inner product) or ``"l2"`` (smallest distance; the
     score is then ``x.c - |c|^2/2``, which orders centroids the same way). Points without
-    a usable vector are dropped. ``keys`` name each point uniquely; they only matter when
-    the centroids need several blocks. With ``keys=None`` the result holds only the
-    assignment, and then nothing needs a key to be merged but a row number.
+    a usable vector are dropped. ``keys`` only matter when the centroids need several
+    blocks; points that share them are told apart by their vectors.
     """
     if metric not in ("dot", "l2"):
         raise ValueError("metric must be 'dot' or 'l2'")
     parts = list(blocks(centroids, "centroid_id", "centroid", block_bytes))
-    if keys is None:
-        points = points.select(vec).withColumn("_row", F.monotonically_increasing_id())
-        keys = ("_row",)
     if len(parts) == 1:
-        return _matched(points, parts[0], vec, metric).drop("_row")
+        return _matched(points, parts[0], vec, metric)
+    keyed = points.withColumn("_vec_hash", F.xxhash64(vec))
+    by = [*keys, "_vec_hash"]
     found = reduce(
         DataFrame.unionAll,
-        [
-            _matched(points.select(*keys, vec), part, vec, metric).select(
-                *keys, "centroid_id", "score"
-            )
-            for part in parts
-        ],
+        [_matched(keyed, part, vec, metric).select(*by, "centroid_id", "score") for part in parts],
     )
-    best = found.groupBy(*keys).agg(
+    best = found.groupBy(*by).agg(
         F.min_by(
             F.struct("centroid_id", "score"), F.struct(-F.col("score"), F.col("centroid_id"))
         ).alias("_best")
     )
-    joined = points.join(best, list(keys)).select(
+    return keyed.join(best, by).select(
         *points.columns, F.col("_best.centroid_id"), F.col("_best.score")
     )
-    return joined.drop("_row")
+
+
+def covered_centroids(
+    targets: DataFrame, centroids: DataFrame, vec: str = "vec", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Distinct ``centroid_id`` that are nearest to at least one target vector."""
+    placed = nearest(targets.select(vec), centroids, vec, keys=(), block_bytes=block_bytes)
+    return placed.select("centroid_id").distinct()
 
 
 def _matched(points: DataFrame, block: Broadcast, vec: str, metric: str) -> DataFrame:

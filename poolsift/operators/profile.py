@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from poolsift.functions.text import word_count
@@ -19,19 +20,14 @@ def _binned(df: DataFrame, bin_id: Column, labels: Sequence[str]) -> DataFrame:
     counts = df.select(bin_id.alias("bin_id")).filter("bin_id IS NOT NULL").groupBy("bin_id").agg(
         F.count(F.lit(1)).alias("n")
     )
-    bins = F.inline(F.array(*[F.struct(F.lit(i).alias("bin_id"), F.lit(t).alias("bin")) for i, t in enumerate(labels)]))
-    every = df.sparkSession.range(1, numPartitions=1).select(bins)
-    # One row per bin from here on, so the total may be a window over all of them.
+    every = df.sparkSession.createDataFrame(list(enumerate(labels)), "bin_id int, bin string")
     filled = every.join(F.broadcast(counts), "bin_id", "left").select(
         "bin_id", "bin", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )
-    total = filled.agg(F.sum("n").alias("_total"))
-    return (
-        filled.join(F.broadcast(total))
-        .withColumn("share", F.try_divide(F.col("n").cast("double"), F.col("_total").cast("double")))
-        .drop("_total")
-        .orderBy("bin_id")
-    )
+    # One row per bin by now, so the total may be a window over all of them.
+    total = F.sum("n").over(W.partitionBy())
+    share = F.try_divide(F.col("n").cast("double"), total.cast("double"))
+    return filled.withColumn("share", share).orderBy("bin_id")
 
 
 def length_hist(df: DataFrame, text: str = "text") -> DataFrame:
