@@ -27,7 +27,13 @@ def aspect_ratio(width: Column, height: Column) -> Column:
 
 
 def size_ok(width: Column, height: Column, least_side: int, most_aspect: float) -> Column:
-    """Short side long enough and not too elongated; multiplied out, so no division by zero."""
-    short = min_side(width, height)
-    long = max_side(width, height).cast("double")
-    return (short >= least_side) & (long <= short.cast("double") * F.lit(float(most_aspect)))
+    """Short side long enough and not too elongated.
+
+    The side test is one comparison per column, which parquet can check by its statistics. The
+    aspect is multiplied out, so a zero side divides nothing.
+    """
+    short = F.least(width, height).cast("double")
+    long = F.greatest(width, height).cast("double")
+    return (
+        (width >= least_side) & (height >= least_side) & (long <= short * F.lit(float(most_aspect)))
+    )

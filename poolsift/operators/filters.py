@@ -62,7 +62,8 @@ class FilterInputs:
 
 
 def is_english(lang: Column) -> Column:
-    return F.coalesce(lang == ENGLISH, F.lit(False))
+    """A bare comparison, so that it is pushed down; a filter drops NULL by itself."""
+    return lang == ENGLISH
 
 
 def no_filter(pool: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from poolsift.functions.text import shard_name
 
@@ -157,7 +158,7 @@ def assign_shards_by_size(
     """
     columns = samples.columns
     sorted_rows = samples.repartition(writer).sortWithinPartitions(writer, *order_by)
-    schema = samples.schema.add("_local", "long")
+    schema = T.StructType([*samples.schema.fields, T.StructField("_writer_shard", T.LongType())])
 
     def roll(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, local, count, filled = None, 0, 0, 0
@@ -171,13 +172,13 @@ def assign_shards_by_size(
                 count += 1
                 filled += n_bytes
                 places.append(local)
-            yield frame.assign(_local=places)
+            yield frame.assign(_writer_shard=places)
 
     rolled = sorted_rows.mapInPandas(roll, schema)
-    shards = rolled.groupBy(writer).agg((F.max("_local") + 1).alias("_shards"))
-    starts = exclusive_running_sum(shards, writer, "_shards", "_first").select(writer, "_first")
-    return rolled.join(starts, writer).select(
-        *columns, (F.col("_first") + F.col("_local")).alias("shard_id")
+    shards = rolled.groupBy(writer).agg((F.max("_writer_shard") + 1).alias("_writer_shards"))
+    starts = exclusive_running_sum(shards, writer, "_writer_shards", "_writer_start")
+    return rolled.join(starts.select(writer, "_writer_start"), writer).select(
+        *columns, (F.col("_writer_start") + F.col("_writer_shard")).alias("shard_id")
     )
 
 

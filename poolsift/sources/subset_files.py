@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
@@ -138,7 +139,8 @@ class SubsetWriter(DataSourceArrowWriter):
             uids = batch.column("uid")
             if not len(uids):
                 continue
-            if uids[0].as_py() < last:
+            inside = pc.all(pc.less_equal(uids[:-1], uids[1:])).as_py() is not False
+            if uids[0].as_py() < last or not inside:
                 raise ValueError("subset ids must arrive sorted; use orderBy('uid')")
             last = uids[-1].as_py()
             chunks.append(to_records(uids))

@@ -44,6 +44,9 @@ def _members(file) -> Iterator[tuple[tarfile.TarFile, tarfile.TarInfo, str, str]
             match = MEMBER_NAME.match(info.name)
             if info.isfile() and match:
                 yield archive, info, match.group(1), match.group(2).lower()
+        file.seek(0, io.SEEK_END)
+        if 0 < file.tell() - archive.offset < tarfile.BLOCKSIZE:
+            raise tarfile.ReadError("the shard ends inside a header")
 
 
 def _data(archive: tarfile.TarFile, info: tarfile.TarInfo) -> bytes:
