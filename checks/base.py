@@ -39,6 +39,8 @@ def _with_views(sql: str) -> str:
     sql = sql.strip()
     if not parts:
         return sql
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + sql[15:]
     if sql.upper().startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + sql[5:]
     return "WITH " + ",\n".join(parts) + "\n" + sql

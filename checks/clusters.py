@@ -82,6 +82,34 @@ def zero_shot_predict(spark, sf):
     return rows.select("sample_id", "y_pred", F.round(F.array_max("logits"), 5).alias("logit"))
 
 
+@check(
+    "multi_objective_predict",
+    """
+    WITH means AS (
+        SELECT 'label' AS objective, label AS c, pos, avg(x) AS x FROM (
+            SELECT label, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM pool_emb) GROUP BY ALL
+        UNION ALL
+        SELECT 'lang', list_position(['de', 'en', 'es', 'fr'], lang) - 1, pos, avg(x) FROM (
+            SELECT lang, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM pool_emb) GROUP BY ALL),
+    lists AS (SELECT objective, c, list(x ORDER BY pos) AS m FROM means GROUP BY 1, 2),
+    best AS (
+        SELECT doc_id, objective, c, row_number() OVER (PARTITION BY doc_id, objective
+            ORDER BY list_inner_product(vec, m) / sqrt(list_inner_product(m, m)) DESC, c) AS place FROM pool_emb, lists)
+    SELECT doc_id, CAST(max(CASE WHEN objective = 'label' THEN c END) AS INTEGER) AS pred_label,
+        CAST(max(CASE WHEN objective = 'lang' THEN c END) AS INTEGER) AS pred_lang FROM best WHERE place = 1 GROUP BY doc_id
+    """,
+)
+def multi_objective_predict(spark, sf):
+    """Two objectives with different numbers of classes, predicted in one pass."""
+    emb = pool_emb(spark, sf)
+    place = (F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("lang")) - 1).cast("int")
+    by_label = emb.select(F.lit("label").alias("objective"), F.col("label").alias("class_id"), "vec")
+    by_lang = emb.select(F.lit("lang").alias("objective"), place.alias("class_id"), "vec")
+    learned = clustering.class_prototypes(by_label.unionAll(by_lang), ["objective", "class_id"])
+    rows = clustering.predict_objectives(emb.select("doc_id", "vec"), learned)
+    return rows.select("doc_id", "pred_label", "pred_lang")
+
+
 RAW_RECALL = """
     SELECT count(*) AS queries, avg(CAST(ahead < 1 AS DOUBLE)) AS recall_1,
         avg(CAST(ahead < 5 AS DOUBLE)) AS recall_5, avg(CAST(ahead < 10 AS DOUBLE)) AS recall_10

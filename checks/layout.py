@@ -58,13 +58,30 @@ def shard_stats(spark, sf):
     return layout.shard_stats(layout.assign_shards(pool(spark, sf).select("uid"), "uid", 100))
 
 
-@check("shard_assign_bytes")
+@check(
+    "shard_assign_bytes",
+    """
+    WITH RECURSIVE base AS (
+        SELECT uid, CAST(floor(o / 100) AS BIGINT) AS writer, o % 100 AS place, n_bytes FROM (
+            SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS o, octet_length(encode(text)) AS n_bytes FROM pool)),
+    walk AS (
+        SELECT uid, writer, place, 0 AS local, 1 AS n, n_bytes AS filled FROM base WHERE place = 0
+        UNION ALL
+        SELECT b.uid, b.writer, b.place, CASE WHEN w.n >= 40 OR w.filled >= 60000 THEN w.local + 1 ELSE w.local END,
+            CASE WHEN w.n >= 40 OR w.filled >= 60000 THEN 1 ELSE w.n + 1 END,
+            CASE WHEN w.n >= 40 OR w.filled >= 60000 THEN b.n_bytes ELSE w.filled + b.n_bytes END
+        FROM walk w JOIN base b ON b.writer = w.writer AND b.place = w.place + 1)
+    SELECT uid, CAST(local + (SELECT coalesce(sum(m), 0) FROM (SELECT writer AS v, max(local) + 1 AS m FROM walk GROUP BY writer)
+        WHERE v < walk.writer) AS BIGINT) AS shard_id FROM walk
+    """,
+)
 def shard_assign_bytes(spark, sf):
-    """Greedy roll-over by bytes per writer (one writer per source)."""
-    rows = pool(spark, sf).select(
-        "uid", F.regexp_extract("source", r"(\d+)$", 1).cast("bigint").alias("writer"), F.octet_length("text").cast("bigint").alias("bytes")
-    )
-    return layout.assign_shards_by_size(rows, "writer", ["uid"], "bytes", max_count=40, max_bytes=60_000)
+    """Greedy roll-over by count and bytes inside runs of 100 samples."""
+    rows = pool(spark, sf).select("uid", F.octet_length("text").cast("bigint").alias("bytes"))
+    numbered = layout.ordinals(rows, layout.hex_bucket(F.col("uid")), ["uid"])
+    writers = numbered.withColumn("writer", F.floor(F.col("ordinal") / F.lit(100)))
+    placed = layout.assign_shards_by_size(writers, "writer", ["uid"], "bytes", 40, 60_000)
+    return placed.select("uid", "shard_id")
 
 
 @check(

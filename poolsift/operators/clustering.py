@@ -12,11 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from poolsift.functions.ids import seeded_hex
-from poolsift.functions.vectors import l2_normalize, norm
+from poolsift.functions.vectors import argmax, l2_normalize, norm
 from poolsift.operators.layout import hex_bucket, ordinals
-from poolsift.operators.nearest import BLOCK_BYTES, best_match, blocks, nearest, shape_of, to_matrix
+from poolsift.operators.nearest import (
+    BLOCK_BYTES,
+    best_match,
+    blocks,
+    nearest,
+    scores_against,
+    to_matrix,
+)
 from poolsift.session import ensure_checkpoint_dir
 
+#: Classes over all objectives that are predicted together.
+MAX_CLASSES = 100_000
+
 _PARTIAL = T.StructType(
     [
         T.StructField("centroid_id", T.IntegerType()),
@@ -123,15 +133,17 @@ def _mean_of_partials(table: pa.Table) -> pa.Table:
     )
 
 
-def seed_centroids(points: DataFrame, k: int, seed: int, vec: str = "vec", key: str = "uid") -> DataFrame:
-    """``k`` distinct points drawn by a seeded hash of their key, numbered 0..k-1.
+def seed_centroids(
+    points: DataFrame, k: int, seed: int, vec: str = "vec", keys: Sequence[str] = ("uid",)
+) -> DataFrame:
+    """``k`` points drawn by a seeded hash of their keys, numbered 0..k-1.
 
     The draw is the k smallest hashes; a cut-off a little above k/N on the hash
     leaves all but a few of the other points out of the numbering.
     """
     usable = points.filter(F.col(vec).isNotNull()).select(
         F.col(vec).cast("array<double>").alias("centroid"),
-        seeded_hex(seed, F.col(key)).alias("_draw"),
+        seeded_hex(seed, *[F.col(c) for c in keys]).alias("_draw"),
     )
     n = usable.count()
     if k > n:
@@ -163,7 +175,7 @@ def train_kmeans(
     lineage does not grow and a lost executor costs one step at most.
     """
     ensure_checkpoint_dir(points.sparkSession)
-    centroids = seed_centroids(points, k, seed, vec, keys[0]).checkpoint()
+    centroids = seed_centroids(points, k, seed, vec, keys).checkpoint()
     for _ in range(iterations):
         moved = kmeans_step(points, centroids, vec, keys, block_bytes)
         centroids = (
@@ -211,3 +223,31 @@ def class_prototypes(
         .withColumn("_norm", norm(F.col("_mean")))
     )
     return means.select(*by, l2_normalize(F.col("_mean"), F.col("_norm")).alias(output))
+
+
+def predict_objectives(
+    points: DataFrame, prototypes: DataFrame, vec: str = "vec", output: str = "pred_{}"
+) -> DataFrame:
+    """``points`` with the best class of every objective, one column each.
+
+    ``prototypes`` is ``objective, class_id, prototype``. All objectives share one matrix product;
+    each takes the best entry of its own run of scores (lowest class on ties), so
+    objectives may differ in their number of classes.
+    """
+    classes = prototypes.select("objective", "class_id").distinct().orderBy("objective", "class_id")
+    listed = [(r.objective, r.class_id) for r in classes.limit(MAX_CLASSES + 1).collect()]
+    if len(listed) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes; use nearest() per objective")
+    spark = points.sparkSession
+    rows = [(o, c, i) for i, (o, c) in enumerate(listed)]
+    keys = [prototypes.schema[c].dataType.simpleString() for c in ("objective", "class_id")]
+    numbered = spark.createDataFrame(rows, f"objective {keys[0]}, class_id {keys[1]}, _place int")
+    reference = prototypes.join(numbered, ["objective", "class_id"])
+    scored = scores_against(points, reference, "_place", "prototype", vec, output="_scores")
+    result = scored
+    for objective in dict.fromkeys(o for o, _ in listed):
+        places = [i for i, (o, _) in enumerate(listed) if o == objective]
+        own = F.slice("_scores", places[0] + 1, len(places))
+        ids = F.array(*[F.lit(listed[i][1]) for i in places])
+        result = result.withColumn(output.format(objective), F.get(ids, argmax(own)))
+    return result.drop("_scores")

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def with_metadata(preds: DataFrame, metadata: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Predictions with the group fields of their sample, kept where there are none."""
+    return preds.join(metadata, list(keys), "left")
+
+
 def group_accuracy(
     df: DataFrame, group: str, hit: Column, groups: DataFrame | None = None
 ) -> DataFrame:

@@ -19,10 +19,9 @@ from poolsift.operators.metrics.rollup import groups_table, latest_results, scor
 
 
 def classification_metrics(preds: DataFrame) -> DataFrame:
-    """``dataset, metrics`` for all datasets of a prediction table in one job per metric family."""
-    ranked = with_prediction(preds)
+    """``dataset, metrics`` for all datasets of a table with ``logits, y_true, y_pred``."""
     top = topk_accuracy(preds, ["dataset"])
-    recall = balanced_accuracy(ranked, ["dataset"])
+    recall = balanced_accuracy(preds, ["dataset"])
     return top.join(recall, "dataset").select(
         "dataset",
         F.map_filter(
@@ -36,32 +35,38 @@ def classification_metrics(preds: DataFrame) -> DataFrame:
     )
 
 
-#: Metric jobs by family, each from a prediction table to a metric table.
+def _correct():
+    return F.col("y_pred") == F.col("y_true")
+
+
+def _top5():
+    return F.col("true_rank") <= 5
+
+
+#: Metric jobs by family, each from a table with predictions to a metric table.
 METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "classification": classification_metrics,
     "face": fairness_metrics,
     "association": jaccard_by_size,
-    "wilds/iwildcam": lambda preds: macro_scores(with_prediction(preds)),
-    "wilds/camelyon17": lambda preds: worst_group(
-        with_prediction(preds), "slide", F.col("y_pred") == F.col("y_true")
-    ),
-    "wilds/fmow": lambda preds: worst_year_region(
-        with_prediction(preds), F.col("y_pred") == F.col("y_true")
-    ),
-    "fairness/dollar_street": lambda preds: worst_group(
-        with_prediction(preds), "income_ds", F.col("true_rank") <= 5
-    ),
-    "fairness/geode": lambda preds: worst_group(
-        with_prediction(preds), "region", F.col("y_pred") == F.col("y_true")
-    ),
+    "wilds/iwildcam": macro_scores,
+    "wilds/camelyon17": lambda preds: worst_group(preds, "slide", _correct()),
+    "wilds/fmow": lambda preds: worst_year_region(preds, _correct()),
+    "fairness/dollar_street": lambda preds: worst_group(preds, "income_ds", _top5()),
+    "fairness/geode": lambda preds: worst_group(preds, "region", _correct()),
 }
 
 
-def evaluate(preds: DataFrame, family: str) -> DataFrame:
-    """Run one registered metric job."""
+def evaluate(
+    preds: DataFrame, family: str, predict: Callable[[DataFrame], DataFrame] | None = with_prediction
+) -> DataFrame:
+    """Run one registered metric job.
+
+    ``predict`` turns scores into ``y_pred`` (and ``true_rank``); pass ``None`` for tables that
+    have their predictions already, as the face and association families do.
+    """
     if family not in METRICS:
         raise ValueError(f"unknown metric family {family!r}; choose from {sorted(METRICS)}")
-    return METRICS[family](preds)
+    return METRICS[family](predict(preds) if predict else preds)
 
 
 def leaderboard(results: DataFrame, tasks: DataFrame, groups: DataFrame | None = None) -> DataFrame:

@@ -21,10 +21,16 @@ def image_listing(
     folder: str,
     suffixes: Sequence[str] = IMAGE_SUFFIXES,
     max_bytes: int = MAX_IMAGE_BYTES,
+    max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
-    """Image files under a folder with ``stem``, ``dir`` and ``status`` (ok or too_large)."""
+    """Image files under a folder with ``stem``, ``dir`` and ``status`` (ok or too_large).
+
+    Files more than ``max_depth`` folders below it are left out.
+    """
     files = list_files(spark, folder, recursive=True)
-    return classify_images(files, suffixes, max_bytes)
+    below = F.element_at(F.split("path", rf"\Q{folder.rstrip('/')}/\E", 2), -1)
+    shallow = files.filter(F.size(F.split(below, "/")) - 1 <= max_depth)
+    return classify_images(shallow, suffixes, max_bytes)
 
 
 def classify_images(

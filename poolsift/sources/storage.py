@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import posixpath
 import re
 import uuid
@@ -20,10 +21,14 @@ def locate(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
-def open_input(path: str):
-    """Random-access file object."""
+#: Bytes fetched at a time; neighbouring small reads and short skips share one request.
+READ_AHEAD = 1 << 19
+
+
+def open_input(path: str) -> io.BufferedReader:
+    """Random-access file object that reads ahead."""
     system, place = locate(path)
-    return system.open_input_file(place)
+    return io.BufferedReader(system.open_input_file(place), READ_AHEAD)
 
 
 @contextmanager

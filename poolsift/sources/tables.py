@@ -9,17 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from poolsift import schema
+from poolsift.functions.ids import canonical_uid
 from poolsift.functions.text import path_stem
 
 
-def scan_pool(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pool metadata: the parquet files of one folder, pruned to ``columns``.
+def _parquet(spark: SparkSession, path: str, recursive: bool):
+    reader = spark.read.option("pathGlobFilter", "*.parquet*")
+    if recursive:
+        reader = reader.option("recursiveFileLookup", True)
+    return reader.parquet(*path.split("::"))
+
 
-    ``a::b::c`` reads several folders. Only names with ``.parquet`` are read. Columns of the
-    pool schema that are asked for must exist; others pass through.
+def scan_pool(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, recursive: bool = False
+) -> DataFrame:
+    """Pool metadata: the parquet files of a folder, pruned to ``columns``.
+
+    ``a::b::c`` reads several folders, ``recursive`` their sub-folders too. Only names with
+    ``.parquet`` are read. Columns that are asked for must exist.
     """
-    reader = spark.read.option("pathGlobFilter", "*.parquet*")
-    df = reader.parquet(*path.split("::"))
+    df = _parquet(spark, path, recursive)
     if columns is None:
         return df
     return schema.require(df, *columns).select(*columns)
@@ -27,7 +36,7 @@ def scan_pool(spark: SparkSession, path: str, columns: Sequence[str] | None = No
 
 def scan_pool_positions(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """The same with ``file_stem`` and ``row_idx``, the key of the embedding files."""
-    df = spark.read.option("pathGlobFilter", "*.parquet*").parquet(*path.split("::"))
+    df = schema.require(_parquet(spark, path, False), *columns)
     return df.select(
         path_stem(F.col("_metadata.file_name")).alias("file_stem"),
         F.col("_metadata.row_index").alias("row_idx"),
@@ -35,6 +44,18 @@ def scan_pool_positions(spark: SparkSession, path: str, columns: Sequence[str])
     )
 
 
+def scan_first_files(spark: SparkSession, path: str, count: int) -> DataFrame:
+    """Only the first ``count`` parquet files of a folder by name; the others are never opened."""
+    names = list_files(spark, path, "*.parquet").select("path").orderBy("path").limit(count)
+    return spark.read.parquet(*[r.path for r in names.collect()])
+
+
+def read_boxes(spark: SparkSession, path: str) -> DataFrame:
+    """``uid, face_bboxes`` with canonical ids."""
+    df = scan_pool(spark, path, ["uid", "face_bboxes"])
+    return df.select(canonical_uid(F.col("uid")).alias("uid"), "face_bboxes")
+
+
 def union_sources(tables: Mapping[str, DataFrame], name: str = "source") -> DataFrame:
     """Bag union of several tables with the name of the one each row came from."""
     parts = [df.withColumn(name, F.lit(label)) for label, df in tables.items()]
@@ -50,6 +71,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return trimmed.filter("value <> ''")
 
 
+def lines_per_file(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of each text file, such as the split lists of a dataset."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"))
+    return lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
 def read_entity_ids(spark: SparkSession, path: str) -> DataFrame:
     """``synset_offset`` from lines such as ``n01440764`` (first letter dropped)."""
     return read_lines(spark, path).select(
@@ -148,6 +175,11 @@ def read_cached_sizes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_failed(outcomes: DataFrame, path: str) -> None:
+    """Error side file: the failed rows as JSON Lines."""
+    outcomes.filter("status = 'failed'").write.mode("overwrite").json(path)
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = False) -> DataFrame:
     """``path, length, modificationTime`` of files; their content is never read."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import posixpath
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ def read_npz(spark: SparkSession, path: str, key: str = "l14_img") -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                with open_input(name) as file, np.load(io.BufferedReader(file)) as archive:
+                with open_input(name) as file, np.load(file) as archive:
                     matrix = archive[key].astype(np.float32, copy=False)
                 stem = posixpath.basename(name).removesuffix(".npz")
                 for start in range(0, len(matrix), BATCH_ROWS):
