@@ -24,6 +24,8 @@ from poolsift.operators.nearest import (
 )
 from poolsift.session import ensure_checkpoint_dir
 
+#: Per-cluster sums a task holds before it sends them on.
+PARTIAL_BYTES = 1 << 28
 #: Classes over all objectives that are predicted together.
 MAX_CLASSES = 100_000
 
@@ -59,9 +61,8 @@ def kmeans_step(
     else:
         matched = nearest(points, centroids, vec, keys, "l2", block_bytes)
         partial = matched.select("centroid_id", vec).mapInArrow(_summed_by_id, _PARTIAL)
-    return partial.groupBy("centroid_id").applyInArrow(
-        _mean_of_partials, "centroid_id int, n long, centroid array<double>"
-    )
+    together = partial.repartition("centroid_id").sortWithinPartitions("centroid_id")
+    return together.mapInArrow(_means, "centroid_id int, n long, centroid array<double>")
 
 
 def _totals(labels: np.ndarray, rows: np.ndarray, sums: dict[int, list]) -> None:
@@ -81,8 +82,10 @@ def _totals(labels: np.ndarray, rows: np.ndarray, sums: dict[int, list]) -> None
 
 
 def _partial_batch(sums: dict[int, list]) -> Iterator[pa.RecordBatch]:
+    """The sums as rows; empties the dictionary."""
     names = [f.name for f in _PARTIAL]
     items = sorted(sums.items())
+    sums.clear()
     for start in range(0, len(items), 1024):
         some = items[start : start + 1024]
         yield pa.RecordBatch.from_arrays(
@@ -103,6 +106,8 @@ def _summed_by_match(block: Broadcast):
             rows, _ = to_matrix(batch.column(0), reference.shape[1])
             labels, _ = best_match(rows, ids, reference, "l2")
             _totals(labels, rows, sums)
+            if len(sums) * reference.shape[1] * 8 > PARTIAL_BYTES:
+                yield from _partial_batch(sums)
         yield from _partial_batch(sums)
 
     return run
@@ -116,21 +121,40 @@ def _summed_by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         dim = len(batch.column(1)[0])
         rows, usable = to_matrix(batch.column(1), dim)
         _totals(batch.column(0).to_numpy()[usable], rows, sums)
+        if len(sums) * dim * 8 > PARTIAL_BYTES:
+            yield from _partial_batch(sums)
     yield from _partial_batch(sums)
 
 
-def _mean_of_partials(table: pa.Table) -> pa.Table:
-    """One cluster; its rows are per-task sums, so there are no more than tasks."""
-    dim = len(table.column("total")[0])
-    totals, _ = to_matrix(table.column("total"), dim)
-    n = int(table.column("n").to_numpy().sum())
-    return pa.table(
-        {
-            "centroid_id": pa.array([table.column("centroid_id")[0].as_py()], pa.int32()),
-            "n": pa.array([n], pa.int64()),
-            "centroid": pa.array([totals.sum(axis=0) / n], pa.list_(pa.float64())),
-        }
-    )
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means from partial sums sorted by cluster; holds one cluster at a time."""
+    current, n, total = None, 0, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([current], pa.int32()),
+                pa.array([n], pa.int64()),
+                pa.array([total / n], pa.list_(pa.float64())),
+            ],
+            names=["centroid_id", "n", "centroid"],
+        )
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        dim = len(batch.column(2)[0])
+        parts, _ = to_matrix(batch.column(2), dim)
+        for part_id, part_n, part in zip(ids, sizes, parts):
+            if part_id != current:
+                if current is not None:
+                    yield row()
+                current, n, total = part_id, 0, np.zeros(dim)
+            n += part_n
+            total += part
+    if current is not None:
+        yield row()
 
 
 def seed_centroids(

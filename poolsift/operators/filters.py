@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from poolsift.functions.images import size_ok
 from poolsift.functions.text import has_words, matches_keywords, number_or_null, words
 from poolsift.operators.nearest import covered_centroids, nearest
+from poolsift.operators.sizing import broadcast_if_small
 from poolsift.operators.threshold import at_least, score_threshold
 
 # Fixed values of the published filters.
@@ -122,14 +123,13 @@ def text_entity_filter(
 
     Only the distinct words of a caption are looked up, in the few words of the
     lexicon that lead to an entity. All words of a row stay in one task, so the
-    de-duplication collapses them before anything is shuffled. No broadcast is
-    forced: Spark picks one from the size it measures, else a skew-aware join.
+    de-duplication collapses them before anything is shuffled. The lexicon words are
+    broadcast when they measure small, else the join is by shuffle.
     """
-    hits = (
-        lexicon.select("word", "synset_offset")
-        .join(entities.select("synset_offset").distinct(), "synset_offset", "left_semi")
-        .select(F.col("word").alias("_word"))
+    leading = lexicon.select("word", "synset_offset").join(
+        entities.select("synset_offset").distinct(), "synset_offset", "left_semi"
     )
+    hits = broadcast_if_small(leading.select(F.col("word").alias("_word")).distinct())
     numbered = pool.filter(is_english(F.col(lang))).withColumn(
         "_row", F.monotonically_increasing_id()
     )
@@ -151,7 +151,7 @@ def image_cluster_filter(
     keys: Sequence[str] = ("uid",),
 ) -> DataFrame:
     """Caption filter, then nearest centroid is nearest to some target embedding as well."""
-    wanted = covered_centroids(targets, centroids, vec)
+    wanted = broadcast_if_small(covered_centroids(targets, centroids, vec))
     placed = nearest(caption_filter(pool, lang), centroids, vec=vec, keys=keys)
     return placed.join(wanted, "centroid_id", "left_semi").drop("centroid_id", "score")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,8 +96,13 @@ def sample_to_budget(df: DataFrame, budget: int | None, seed: int, order_hex: st
     )
 
 
-def seeded_shuffle(df: DataFrame, seed: int, key: str = "uid") -> DataFrame:
-    """Rows in an order that depends on the seed and the key only (a range-partitioned sort)."""
+def seeded_shuffle(df: DataFrame, seed: int, keys: Sequence[str] = ("uid",)) -> DataFrame:
+    """Rows in an order that depends on the seed and the keys only (a range-partitioned sort).
+
+    ``keys`` should tell rows apart (id and copy, say): rows that share them stay together.
+    """
     return (
-        df.withColumn("_order", seeded_hex(seed, F.col(key))).orderBy("_order", key).drop("_order")
+        df.withColumn("_order", seeded_hex(seed, *[F.col(c) for c in keys]))
+        .orderBy("_order", *keys)
+        .drop("_order")
     )

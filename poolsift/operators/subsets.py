@@ -12,8 +12,14 @@ COPY_BLOCK = 1 << 12
 
 
 def sorted_subset(rows: DataFrame, uid: str = "uid") -> DataFrame:
-    """Ids in ascending order, duplicates kept (a range-partitioned sort)."""
-    return rows.select(canonical_uid(F.col(uid)).alias("uid")).orderBy("uid")
+    """Ids in ascending order, duplicates kept.
+
+    Copies are counted, the counts are sorted over range partitions in blocks, and the
+    blocks unfold in place. So an id with a third of all rows is many blocks, which
+    may lie in several partitions, and not one partition of its own.
+    """
+    counts = subset_counts(rows.select(canonical_uid(F.col(uid)).alias("uid")))
+    return unfold_copies(copy_blocks(counts).orderBy("uid", "_low")).select("uid")
 
 
 def subset_counts(subset: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def curate_to_subset_file(
     pool: DataFrame, spec: FilterSpec, path: str, side: FilterInputs | None = None
 ) -> None:
     """The same, written as packed 16-byte records for tools that read subset files."""
-    write_subset(curate(pool, spec, side), path)
+    write_subset(apply_filter(pool, spec, side), path)
 
 
 def pool_with_vectors(

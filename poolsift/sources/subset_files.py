@@ -5,7 +5,7 @@ A subset file is a run of 16-byte records, two little-endian unsigned 64-bit num
 
     register(spark)
     spark.read.format("subset_ids").load(path)            # uid string
-    ids.orderBy("uid").write.format("subset_ids").mode("append").save(folder)
+    sorted_subset(ids).write.format("subset_ids").mode("append").save(folder)
 
 Reading cuts a file into ranges of records, one per partition, so a file of many
 gigabytes is read by many tasks. Writing gives one part per partition plus a
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -36,6 +36,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from poolsift.operators.subsets import sorted_subset
 from poolsift.sources.storage import atomic_output, files_under, open_input, write_text
 
 RECORD = np.dtype("<u8,<u8")
@@ -183,14 +184,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SubsetIds)
 
 
-def read_subset(spark: SparkSession, path: str):
+def read_subset(spark: SparkSession, path: str) -> DataFrame:
     """``uid`` of a subset file, or of a folder of parts."""
     register(spark)
     return spark.read.format("subset_ids").load(path)
 
 
-def write_subset(ids, path: str, raw: bool = False) -> None:
+def write_subset(ids: DataFrame, path: str, raw: bool = False) -> None:
     """Sort ids over all tasks and write them as parts in order."""
     register(ids.sparkSession)
-    ordered = ids.select("uid").orderBy("uid")
-    ordered.write.format("subset_ids").option("raw", str(raw)).mode("append").save(path)
+    sorted_subset(ids).write.format("subset_ids").option("raw", str(raw)).mode("append").save(path)

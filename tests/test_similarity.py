@@ -92,6 +92,21 @@ def test_lloyd_step_and_training(spark):
         clustering.train_kmeans(points, 1000)
 
 
+def test_training_is_lloyds_algorithm(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 4))
+    points = vectors(spark, x).repartition(5)
+    start = clustering.seed_centroids(points, 7, seed=3).orderBy("centroid_id").collect()
+    c = np.array([r.centroid for r in start])
+    assert [r.centroid_id for r in start] == list(range(7))
+    for _ in range(4):
+        label = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+        c = np.array([x[label == k].mean(0) if (label == k).any() else c[k] for k in range(7)])
+    for limit in (1 << 30, 400):
+        got = clustering.train_kmeans(points, 7, 4, seed=3, block_bytes=limit).orderBy("centroid_id").collect()
+        np.testing.assert_allclose(np.array([r.centroid for r in got]), c)
+
+
 def test_prototypes_per_objective(spark):
     rows = [("race", 0, [1.0, 0.0]), ("race", 0, [0.0, 1.0]), ("age", 0, [0.0, 2.0]), ("age", 1, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "objective string, class_id int, vec array<double>")

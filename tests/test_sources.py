@@ -71,6 +71,14 @@ def test_broken_subset_files_are_refused(spark, tmp_path):
         unsorted.write.format("subset_ids").mode("append").save(str(tmp_path / "z"))
 
 
+def test_a_hot_id_does_not_fill_one_part(spark, tmp_path):
+    hot = spark.range(60_000).selectExpr("CASE WHEN id % 3 = 0 THEN repeat('7', 32) ELSE md5(cast(id AS string)) END AS uid")
+    folder = str(tmp_path / "hot")
+    subset_files.write_subset(hot, folder)
+    parts = [np.load(f"{folder}/{p['name']}") for p in json.load(open(f"{folder}/_parts.json"))]
+    assert (np.concatenate(parts) == numpy_subset([r.uid for r in hot.collect()])).all()
+
+
 def test_curation_writes_sorted_ids(spark, tmp_path):
     pool = spark.range(300).select(F.md5(F.col("id").cast("string")).alias("uid")).repartition(4)
     want = sorted(r.uid for r in pool.collect())
