@@ -14,7 +14,7 @@ from poolsift.sources import audit, tables, tars
 from poolsift.sources.images import classify_images
 from poolsift.streaming import incremental
 
-SHARD_SIZE = 200
+SHARD_SIZE = 500
 
 
 def write_pool_shards(spark, sf) -> str:
@@ -39,9 +39,9 @@ def write_pool_shards(spark, sf) -> str:
 
 @check(
     "tar_members",
-    """
+    f"""
     SELECT uid, shard, suffix, size FROM (
-        SELECT uid, lpad(CAST(CAST(floor((row_number() OVER (ORDER BY uid) - 1) / 200) AS BIGINT) AS VARCHAR), 8, '0') || '.tar' AS shard,
+        SELECT uid, lpad(CAST(CAST(floor((row_number() OVER (ORDER BY uid) - 1) / {SHARD_SIZE}) AS BIGINT) AS VARCHAR), 8, '0') || '.tar' AS shard,
             octet_length(encode(text)) AS size, 'txt' AS suffix FROM pool)
     """,
 )
@@ -81,7 +81,7 @@ def tar_samples(spark, sf):
 def tar_reshard(spark, sf):
     """Shards, subset and boxes to new shards, read back."""
     folder = run_dir(spark, "resharded")
-    reshard(spark, write_pool_shards(spark, sf), subset(spark, sf), folder, 100, boxes=boxes(spark, sf))
+    reshard(spark, write_pool_shards(spark, sf), subset(spark, sf), folder, SHARD_SIZE, boxes=boxes(spark, sf))
     samples = tars.read_samples(spark, folder)
     fields = F.decode(F.col("members")["json"], "utf-8")
     return samples.select(

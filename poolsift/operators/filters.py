@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from poolsift.functions.images import size_ok
 from poolsift.functions.text import has_words, matches_keywords, number_or_null, words
-from poolsift.operators.nearest import covered_centroids, nearest
+from poolsift.operators.nearest import centroid_blocks, covered_centroids, nearest
 from poolsift.operators.sizing import broadcast_if_small
 from poolsift.operators.threshold import at_least, score_threshold
 
@@ -151,8 +151,9 @@ def image_cluster_filter(
     keys: Sequence[str] = ("uid",),
 ) -> DataFrame:
     """Caption filter, then nearest centroid is nearest to some target embedding as well."""
-    wanted = broadcast_if_small(covered_centroids(targets, centroids, vec))
-    placed = nearest(caption_filter(pool, lang), centroids, vec=vec, keys=keys)
+    ready = centroid_blocks(centroids)
+    wanted = broadcast_if_small(covered_centroids(targets, ready, vec))
+    placed = nearest(caption_filter(pool, lang), ready, vec=vec, keys=keys)
     return placed.join(wanted, "centroid_id", "left_semi").drop("centroid_id", "score")
 
 

@@ -136,9 +136,14 @@ def _match_udf(block: Broadcast, metric: str):
     return match
 
 
+def centroid_blocks(centroids: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
+    """Centroids made ready once for several calls of :func:`nearest`."""
+    return list(blocks(centroids, "centroid_id", "centroid", block_bytes))
+
+
 def nearest(
     points: DataFrame,
-    centroids: DataFrame,
+    centroids: DataFrame | list[Broadcast],
     vec: str = "vec",
     keys: Sequence[str] = ("uid",),
     metric: str = "dot",
@@ -153,7 +158,8 @@ def nearest(
     """
     if metric not in ("dot", "l2"):
         raise ValueError("metric must be 'dot' or 'l2'")
-    parts = list(blocks(centroids, "centroid_id", "centroid", block_bytes))
+    ready = isinstance(centroids, list)
+    parts = centroids if ready else centroid_blocks(centroids, block_bytes)
     if len(parts) == 1:
         return _matched(points, parts[0], vec, metric)
     keyed = points.withColumn("_vec_hash", F.xxhash64(vec))
@@ -173,7 +179,7 @@ def nearest(
 
 
 def covered_centroids(
-    targets: DataFrame, centroids: DataFrame, vec: str = "vec", block_bytes: int = BLOCK_BYTES
+    targets: DataFrame, centroids: DataFrame | list[Broadcast], vec: str = "vec", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """Distinct ``centroid_id`` that are nearest to at least one target vector."""
     placed = nearest(targets.select(vec), centroids, vec, keys=(), block_bytes=block_bytes)

@@ -20,7 +20,7 @@ from poolsift.operators.layout import (
 from poolsift.operators.metadata import attach_boxes
 from poolsift.operators.subsets import copy_blocks, subset_counts, unfold_copies
 from poolsift.sources.storage import write_text
-from poolsift.sources.tars import copy_samples, index_samples
+from poolsift.sources.tars import SOURCE, copy_samples, index_samples
 
 NAME_FORMAT = "{:08d}.tar"
 #: Full shards of samples that one run of the byte-limited layout goes through.
@@ -47,9 +47,9 @@ def plan_copies(
     shuffle_seed: int | None = None,
     boxes: DataFrame | None = None,
 ) -> DataFrame:
-    """Where every copy of every kept sample goes: ``shard_id, position`` and its byte range.
+    """Where every copy of every kept sample goes: ``shard_id, position`` and its source.
 
-    Works on ids and byte ranges alone. Copies are numbered in input order, or in a seeded
+    Works on ids and places of members alone. Copies are numbered in input order, or in a seeded
     order. Without a byte limit shards are filled exactly. With one, runs of samples
     are filled one after the other and each run may leave its last shard partly filled.
     """
@@ -57,7 +57,7 @@ def plan_copies(
         index.filter("error IS NULL")
         .withColumn("uid", canonical_uid(F.col("uid")))
         .join(subset_counts(subset), "uid")
-        .select("uid", "copies", "shard", "sample_idx", "path", "begin_at", "end_at", "bytes")
+        .select("uid", "copies", "shard", "sample_idx", "bytes", *SOURCE)
     )
     if boxes is not None:
         kept = attach_boxes(kept, boxes).withColumn("boxes_json", F.to_json("face_bboxes"))
@@ -97,7 +97,8 @@ def plan_copies(
     return placed.select(
         "shard_id",
         F.col("_ordinal").alias("position"),
-        *["key", "uid", "shard", "sample_idx", "copy", "path", "begin_at", "end_at", "bytes"],
+        *["key", "uid", "shard", "sample_idx", "copy", "bytes"],
+        *SOURCE,
         *extra,
     )
 

@@ -31,8 +31,10 @@ MEMBERS = (
 )
 INDEX = (
     "path string, shard string, sample_idx long, key string, suffixes array<string>,"
-    " begin_at long, end_at long, bytes long, uid string, error string"
+    " data_at array<long>, sizes array<long>, bytes long, uid string, error string"
 )
+#: What a planned copy must know of its sample.
+SOURCE = ("path", "suffixes", "data_at", "sizes")
 WRITTEN = "shard_name string, successes long, bytes long, failed long"
 
 
@@ -131,7 +133,7 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_samples(spark: SparkSession, path: str) -> DataFrame:
-    """One row per sample with its id and byte range; only JSON members are read.
+    """One row per sample with its id and where its members lie; only JSON members are read.
 
     Worth writing to parquet once: every later subset of the same shards starts from it.
     ``error`` is set for samples without JSON or id, and for shards that break off.
@@ -140,7 +142,7 @@ def index_samples(spark: SparkSession, path: str) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [
-            "path", "shard", "sample_idx", "key", "suffixes", "begin_at", "end_at", "bytes", "uid", "error",
+            "path", "shard", "sample_idx", "key", "suffixes", "data_at", "sizes", "bytes", "uid", "error",
         ]
         rows: list[tuple] = []
         for frame in frames:
@@ -149,17 +151,15 @@ def index_samples(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     with open_input(name) as file:
                         stream = (
-                            (p, s, (i.offset, i.offset_data + _padded(i.size), i.size, _data(a, i) if s == "json" else None))
+                            (p, s, (i.offset_data, i.size, _data(a, i) if s == "json" else None))
                             for a, i, p, s in _members(file)
                         )
                         for index, (key, parts) in enumerate(_group(stream)):
                             uid, error = _uid_of(parts)
-                            spans = [v for _, v in parts]
+                            places, sizes = [v[0] for _, v in parts], [v[1] for _, v in parts]
+                            suffixes = [s for s, _ in parts]
                             rows.append(
-                                (
-                                    name, shard, index, key, [s for s, _ in parts],
-                                    spans[0][0], spans[-1][1], sum(v[2] for v in spans), uid, error,
-                                )
+                                (name, shard, index, key, suffixes, places, sizes, sum(sizes), uid, error)
                             )
                             if len(rows) >= BATCH_ROWS:
                                 yield pd.DataFrame(rows, columns=columns)
@@ -173,7 +173,7 @@ def index_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _uid_of(parts: list) -> tuple[str | None, str | None]:
-    text = next((v[3] for s, v in parts if s == "json"), None)
+    text = next((v[2] for s, v in parts if s == "json"), None)
     if text is None:
         return None, "no json member"
     try:
@@ -190,18 +190,22 @@ class ShardFile:
         self.name, self.folder = name, folder
         self.successes = self.bytes = self.failed = 0
         self._context = atomic_output(f"{folder}/{name}")
-        self._archive = tarfile.open(fileobj=self._context.__enter__(), mode="w|")
+        self._out = self._context.__enter__()
 
     def add(self, key: str, members: dict[str, bytes]) -> None:
+        blocks = []
         for suffix, data in members.items():
             info = tarfile.TarInfo(f"{key}.{suffix}")
             info.size = len(data)
-            self._archive.addfile(info, io.BytesIO(data))
-            self.bytes += tarfile.BLOCKSIZE + _padded(len(data))
+            blocks += [info.tobuf(tarfile.GNU_FORMAT), data, bytes(_padded(len(data)) - len(data))]
+        sample = b"".join(blocks)
+        self._out.write(sample)
+        self.bytes += len(sample)
         self.successes += 1
 
     def close(self) -> tuple[str, int, int, int]:
-        self._archive.close()
+        ending = 2 * tarfile.BLOCKSIZE
+        self._out.write(bytes(ending + -(self.bytes + ending) % tarfile.RECORDSIZE))
         self._context.__exit__(None, None, None)
         stats = posixpath.splitext(self.name)[0] + "_stats.json"
         write_text(f"{self.folder}/{stats}", json.dumps({"successes": self.successes}))
@@ -250,7 +254,7 @@ class _InRow:
 
 
 class _FromTar:
-    """Members read from their byte range; keeps the last archive open."""
+    """Members read from their places in a shard; keeps the last shard open."""
 
     def __init__(self, edit: Callable | None) -> None:
         self.edit, self.path, self.file = edit, None, None
@@ -263,14 +267,22 @@ class _FromTar:
             self.file.close()
         return False
 
+    def _read(self, place: int, size: int) -> bytes:
+        self.file.seek(place)
+        data = self.file.read(size)
+        if len(data) != size:
+            raise EOFError(f"{self.path} ends before {place + size}")
+        return data
+
     def fetch(self, row) -> dict[str, bytes]:
         if row.path != self.path:
             if self.file is not None:
                 self.file.close()
             self.path, self.file = row.path, open_input(row.path)
-        self.file.seek(int(row.begin_at))
-        span = self.file.read(int(row.end_at - row.begin_at))
-        members = {s: _data(a, i) for a, i, _, s in _members(io.BytesIO(span))}
+        members = {
+            suffix: self._read(int(place), int(size))
+            for suffix, place, size in zip(row.suffixes, row.data_at, row.sizes)
+        }
         boxes = getattr(row, "boxes_json", None)
         if boxes:
             fields = json.loads(members["json"])
@@ -299,12 +311,12 @@ def copy_samples(
     edit: Callable | None = None,
     max_tasks: int = 20_000,
 ) -> DataFrame:
-    """Write planned copies ``shard_id, position, key, path, begin_at, end_at[, boxes_json]``.
+    """Write planned copies: ``shard_id, position, key``, the columns of ``SOURCE``, maybe ``boxes_json``.
 
     ``boxes_json`` is written into the JSON member as ``face_bboxes``. ``edit(members, boxes)`` may
     change the members of a sample (blur an image, say).
     """
-    columns = ["shard_id", "position", "key", "path", "begin_at", "end_at"]
+    columns = ["shard_id", "position", "key", *SOURCE]
     columns += ["boxes_json"] if "boxes_json" in plan.columns else []
     rows = _by_shard(plan.select(*columns), shards, max_tasks)
     return _run(rows, folder, name_format, lambda: _FromTar(edit))
