@@ -127,7 +127,9 @@ def reshard(
         "overwrite"
     ).parquet(f"{output_dir}/_plan")
     plan = spark.read.parquet(f"{output_dir}/_plan")
-    last = plan.agg(F.max("shard_id")).first()[0]
+    boxless = F.count_if("box_missing") if boxes is not None else F.lit(0)
+    planned = plan.agg(F.max("shard_id").alias("last"), boxless.alias("boxless")).first()
+    last = planned.last
     written = copy_samples(plan, output_dir, 0 if last is None else last + 1, NAME_FORMAT, edit)
 
     read = index.agg(
@@ -139,14 +141,13 @@ def reshard(
         F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"),
         F.count(F.lit(1)).alias("shards"),
     ).first()
-    missing = plan.agg(F.count_if("box_missing")).first()[0] if boxes is not None else 0
     report = ReshardReport(
         processed_count=read.good,
         unreadable_count=read.bad,
         requested_count=subset.count(),
         output_count=out.samples,
         failed_count=out.failed,
-        boxes_missing_count=missing,
+        boxes_missing_count=planned.boxless,
         output_shard_count=out.shards,
         output_shard_format=NAME_FORMAT,
     )
