@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from poolsift.functions.ids import hex_prefix_number, seeded_hex
 from poolsift.operators.layout import hex_bucket, ordinals
+from poolsift.operators.sizing import spread
 
 #: Draws that unfold from one row.
 DRAW_BLOCK = 1 << 12
@@ -30,10 +31,9 @@ def _draws(quotas: DataFrame, group: str, seed: int) -> DataFrame:
             F.sequence(F.lit(0), F.floor((F.col("wanted") - 1) / F.lit(DRAW_BLOCK)))
         ).alias("_block"),
     )
-    spread = blocks.repartition(group, "_block")
     low = F.col("_block") * DRAW_BLOCK
     high = F.least(F.col("wanted"), low + DRAW_BLOCK) - 1
-    drawn = spread.withColumn("draw", F.explode(F.sequence(low, high)))
+    drawn = spread(blocks, group, "_block").withColumn("draw", F.explode(F.sequence(low, high)))
     number = hex_prefix_number(seeded_hex(seed, F.col(group), F.col("draw")), DRAW_DIGITS)
     return drawn.select(group, "draw", F.pmod(number, F.col("n")).alias("ordinal"))
 

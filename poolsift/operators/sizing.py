@@ -1,4 +1,4 @@
-"""Broadcasting only what has been measured."""
+"""Broadcasting only what has been measured, and spreading rows that are about to grow."""
 
 from __future__ import annotations
 
@@ -27,3 +27,13 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
         return F.broadcast(rows)
     finally:
         kept.unpersist()
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` over ``spark.sql.shuffle.partitions`` tasks by a hash of ``columns``.
+
+    For small rows that unfold into many: the number is given, because AQE would merge
+    partitions by the few bytes they have before they unfold.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *columns)

@@ -6,20 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolsift.functions.ids import canonical_uid, sample_key
+from poolsift.operators.sizing import spread
 
 #: Copies of one id that are expanded from a single row.
 COPY_BLOCK = 1 << 12
+#: The same for rows that are sorted by id first; small, so that ranges of rows stay alike.
+SORT_BLOCK = 1 << 6
+#: Copies from which on an id is salted in joins, and the most salts it gets.
+HOT_COPIES = 1 << 20
+MOST_SALTS = 1 << 12
 
 
 def sorted_subset(rows: DataFrame, uid: str = "uid") -> DataFrame:
     """Ids in ascending order, duplicates kept.
 
-    Copies are counted, the counts are sorted over range partitions in blocks, and the
-    blocks unfold in place. So an id with a third of all rows is many blocks, which
-    may lie in several partitions, and not one partition of its own.
+    Copies are counted, the counts are sorted over range partitions in small blocks, and
+    the blocks unfold in place. So an id with a third of all rows is many blocks that
+    fall into many partitions, and not one partition of its own.
     """
     counts = subset_counts(rows.select(canonical_uid(F.col(uid)).alias("uid")))
-    return unfold_copies(copy_blocks(counts).orderBy("uid", "_low")).select("uid")
+    blocks = copy_blocks(counts, SORT_BLOCK).orderBy("uid", "_low")
+    return unfold_copies(blocks).select("uid")
 
 
 def subset_counts(subset: DataFrame) -> DataFrame:
@@ -27,15 +34,15 @@ def subset_counts(subset: DataFrame) -> DataFrame:
     return subset.groupBy("uid").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def copy_blocks(counts: DataFrame) -> DataFrame:
-    """Rows with ``copies`` cut into rows of at most ``COPY_BLOCK`` copies each (``_low`` to ``_high``)."""
-    last = F.floor((F.col("copies") - 1) / F.lit(COPY_BLOCK))
-    low = F.col("_block") * COPY_BLOCK
+def copy_blocks(counts: DataFrame, size: int = COPY_BLOCK) -> DataFrame:
+    """Rows with ``copies`` cut into rows of at most ``size`` copies each (``_low`` to ``_high``)."""
+    last = F.floor((F.col("copies") - 1) / F.lit(size))
+    low = F.col("_block") * size
     return (
         counts.filter("copies > 0")
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
         .withColumn("_low", low)
-        .withColumn("_high", F.least(F.col("copies"), low + COPY_BLOCK) - 1)
+        .withColumn("_high", F.least(F.col("copies"), low + size) - 1)
         .drop("_block")
     )
 
@@ -47,14 +54,28 @@ def unfold_copies(blocks: DataFrame) -> DataFrame:
     )
 
 
-def expand_subset(pool: DataFrame, subset: DataFrame) -> DataFrame:
+def expand_subset(pool: DataFrame, subset: DataFrame, hot_copies: int = HOT_COPIES) -> DataFrame:
     """Every pool sample once per occurrence of its id, with ``copy`` 0.. and ``sample_key``.
 
-    Occurrences travel as counts. A large count is cut into blocks before the join, so
-    no row ever unfolds into more than ``COPY_BLOCK`` rows at once and the blocks of a hot
-    id can be split over tasks. Pool rows that share an id are expanded each.
+    Occurrences travel as counts, cut into blocks, so no row ever unfolds into more than
+    ``COPY_BLOCK`` rows at once. An id with more than ``hot_copies`` copies is salted: its
+    blocks go to as many tasks as it has multiples of that number, and its pool rows are
+    repeated once per salt. There can be no more such ids than the subset has rows
+    divided by ``hot_copies``, which bounds the broadcast. Pool rows that share an id
+    are expanded each.
     """
-    joined = pool.join(copy_blocks(subset_counts(subset)), "uid")
+    counts = subset_counts(subset)
+    salts = F.least(F.ceil(F.col("copies") / F.lit(hot_copies)), F.lit(MOST_SALTS)).cast("bigint")
+    hot = counts.filter(F.col("copies") > hot_copies).select("uid", salts.alias("_salts"))
+    block = F.floor(F.col("_low") / F.lit(COPY_BLOCK))
+    blocks = copy_blocks(counts).withColumn("_salt", F.pmod(block, salts))
+    last_salt = F.coalesce(F.col("_salts"), F.lit(1).cast("bigint")) - 1
+    salted = (
+        pool.join(F.broadcast(hot), "uid", "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last_salt)))
+        .drop("_salts")
+    )
+    joined = salted.join(blocks, ["uid", "_salt"]).drop("_salt")
     return unfold_copies(joined).withColumn("sample_key", sample_key(F.col("uid"), F.col("copy")))
 
 
@@ -83,7 +104,7 @@ def subtract_subset(left: DataFrame, right: DataFrame, multiset: bool = False) -
 
 
 def _unfold(counts: DataFrame) -> DataFrame:
-    return unfold_copies(copy_blocks(counts)).select("uid")
+    return unfold_copies(spread(copy_blocks(counts), "uid", "_low")).select("uid")
 
 
 def unite_subsets(*subsets: DataFrame, distinct: bool = True) -> DataFrame:

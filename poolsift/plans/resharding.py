@@ -18,6 +18,7 @@ from poolsift.operators.layout import (
     range_bucket,
 )
 from poolsift.operators.metadata import attach_boxes
+from poolsift.operators.sizing import spread
 from poolsift.operators.subsets import copy_blocks, subset_counts, unfold_copies
 from poolsift.sources.storage import write_text
 from poolsift.sources.tars import SOURCE, copy_samples, index_samples
@@ -68,11 +69,13 @@ def plan_copies(
         started = exclusive_running_sum(
             kept, ["shard", "sample_idx"], "copies", "_first", bucket=place
         )
-        numbered = unfold_copies(copy_blocks(started)).withColumn(
+        blocks = spread(copy_blocks(started), "shard", "sample_idx", "_low")
+        numbered = unfold_copies(blocks).withColumn(
             "_ordinal", F.col("_first") + F.col("copy")
         )
     else:
-        drawn = unfold_copies(copy_blocks(kept)).withColumn(
+        blocks = spread(copy_blocks(kept), "shard", "sample_idx", "_low")
+        drawn = unfold_copies(blocks).withColumn(
             "_order", seeded_hex(shuffle_seed, F.col("shard"), F.col("sample_idx"), F.col("copy"))
         )
         numbered = ordinals(

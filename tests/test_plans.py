@@ -53,12 +53,20 @@ def test_texts_are_not_read_when_not_needed(spark, name):
     assert schemas and not any("text:" in s for s in schemas)
 
 
-# Frames of one row, or of one row per histogram bin, may meet by nested loop.
-ONE_ROW = {"retrieval_recall", "mix_sources"}
+JOINS = (
+    "image_cluster_filter text_entity_filter subset_expand shard_meta_join score_hist balanced_buckets shard_assign"
+    " member_islands caption_match score_rollup worst_year_region fairness_metrics text_retrieval sample_with_replacement"
+).split()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"kmeans_train", "tar_reshard", "stream_resume", "stream_filter"}))
+@pytest.mark.parametrize("name", JOINS)
 def test_no_cross_products(spark, name):
     plan = plan_of(QUERIES[name](spark, SMALL))
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan or name in ONE_ROW
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_counts_of_a_subset_are_shuffled_once(spark):
+    df = QUERIES["subset_expand"](spark, SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in final

@@ -30,6 +30,23 @@ def test_a_hot_id_unfolds_in_blocks(spark):
     assert subsets.expand_subset(pool, hot).count() == pool.join(hot, "uid").count()
 
 
+def test_a_salted_id_keeps_all_copies(spark):
+    n = 5 * subsets.COPY_BLOCK + 11
+    wanted = spark.range(n).select(F.when(F.col("id") % 3 < 2, "hot").otherwise(F.col("id").cast("string")).alias("uid"))
+    pool = wanted.distinct().unionAll(ids(spark, ["hot", "unasked"])).withColumn("row", F.monotonically_increasing_id())
+    got = subsets.expand_subset(pool, wanted, hot_copies=subsets.COPY_BLOCK)
+    hot = got.filter("uid = 'hot'").groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("m")).collect()
+    copies = wanted.filter("uid = 'hot'").count()
+    assert [(r.n, r.d, r.m) for r in hot] == [(copies, copies, copies - 1)] * 2
+    assert got.count() == pool.join(wanted, "uid").count()
+
+
+def test_sorted_subset_spreads_a_hot_id(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, F.lit("7" * 32)).otherwise(F.md5(F.col("id").cast("string"))).alias("uid"))
+    got = [r.uid for r in subsets.sorted_subset(rows).collect()]
+    assert got == sorted(r.uid for r in rows.collect())
+
+
 def test_multiset_algebra(spark):
     a, b = ["x", "x", "x", "y", "z"], ["x", "x", "z", "z", "w"]
     left, right = ids(spark, a), ids(spark, b)
