@@ -65,14 +65,19 @@ def retrieval_recall_from_scores(
 
 def both_ways(image_to_text: DataFrame, text_to_image: DataFrame) -> DataFrame:
     """One row with both directions and the mean of their recall at 1."""
-    left = image_to_text.select(
-        *[F.col(c).alias(f"text_retrieval_{c}") for c in image_to_text.columns if c != "queries"]
+    figures = [c for c in image_to_text.columns if c != "queries"]
+    tagged = image_to_text.withColumn("_way", F.lit("text")).unionByName(
+        text_to_image.withColumn("_way", F.lit("image"))
     )
-    right = text_to_image.select(
-        *[F.col(c).alias(f"image_retrieval_{c}") for c in text_to_image.columns if c != "queries"]
+    both = tagged.agg(
+        *[
+            F.max(F.when(F.col("_way") == way, F.col(c))).alias(f"{way}_retrieval_{c}")
+            for way in ("text", "image")
+            for c in figures
+        ]
     )
     mean = 0.5 * (F.col("text_retrieval_recall_1") + F.col("image_retrieval_recall_1"))
-    return left.join(F.broadcast(right)).withColumn("mean_recall_1", mean)  # one row each
+    return both.withColumn("mean_recall_1", mean)
 
 
 def topn_associations(items: DataFrame) -> DataFrame:

@@ -76,11 +76,9 @@ def mix_sources(
     if isinstance(weights, Mapping):
         weights = spark.createDataFrame(list(weights.items()), f"{source} string, weight double")
     sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("n")).join(weights, source)
-    total = sizes.agg(F.sum(F.col("weight").cast("double")).alias("_sum"))
-    share = F.col("weight").cast("double") / F.col("_sum")
-    quotas = sizes.join(F.broadcast(total)).withColumn(  # one row
-        "wanted", F.floor(share * F.lit(float(budget)))
-    )
+    total = sizes.agg(F.sum(F.col("weight").cast("double"))).first()[0]
+    share = F.col("weight").cast("double") / F.lit(total)
+    quotas = sizes.withColumn("wanted", F.floor(share * F.lit(float(budget))))
     draws = _draws(quotas.select(source, "n", "wanted"), source, seed)
     return draws.join(_numbered(df, source, order_hex), [source, "ordinal"]).drop("ordinal")
 

@@ -56,6 +56,7 @@ def test_texts_are_not_read_when_not_needed(spark, name):
 JOINS = (
     "image_cluster_filter text_entity_filter subset_expand shard_meta_join score_hist balanced_buckets shard_assign"
     " member_islands caption_match score_rollup worst_year_region fairness_metrics text_retrieval sample_with_replacement"
+    " mix_sources retrieval_recall"
 ).split()
 
 
