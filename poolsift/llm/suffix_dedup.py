@@ -256,7 +256,8 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     """``doc, hash, from, to``: byte ranges (end exclusive, may overlap) of repeated strings."""
     spark = rows.sparkSession
     found = text_stretches(rows, length, gram)
-    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # counts are written before they are joined, so that Spark can split a hot key in the join
+    keys = saved(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "stretch-keys")
     alive = saved(found.join(keys, "key"), "stretches")
     kinds = alive.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "hash", "first", "windows")).alias("ref"))
     kinds = saved(kinds, "stretch-kinds")
