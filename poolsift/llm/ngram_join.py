@@ -204,7 +204,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     # buckets of two classes and more; a hub per bucket
     buckets = classes.where("size > 0").select("class_id", F.explode("bands").alias("band"))
     hubs = buckets.groupBy("band").agg(F.min("class_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = saved(buckets.join(hubs, "band"), "buckets")
+    shared = saved(buckets.join(saved(hubs, "hubs"), "band"), "buckets")
     families = saved(components(shared.select(F.col("class_id").alias("a"), F.col("hub").alias("b"))), "families")
 
     # chunks: families in parts of bounded size
