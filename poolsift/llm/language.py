@@ -32,7 +32,7 @@ ALPHABET = 64
 #: Characters parsed in one lane.
 PIECE = 1024
 #: Characters of texts parsed together.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 3_000_000
 
 UNKNOWN = "und"
 

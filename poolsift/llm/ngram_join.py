@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsift.llm.common import saved, tasks, whole
 from poolsift.llm.components import components
 from poolsift.llm.pieces import BASE, mixed
+from poolsift.operators.sizing import broadcast_if_small
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -36,6 +37,8 @@ MOST_HASHES = 144
 #: N-grams of a chunk at most (a single larger text is a chunk of its own), and texts.
 CHUNK_GRAMS = 1_000_000
 CHUNK_TEXTS = 1_024
+#: Largest list of rows that is shipped to the texts; a longer one is joined by shuffle.
+MOST_BROADCAST = 16 << 20
 #: N-grams worked on together in a task.
 BATCH_GRAMS = 1_000_000
 
@@ -115,41 +118,65 @@ def _set_names(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
+def _word_hashes(text: str) -> Column:
+    return F.expr(f"transform(filter(split({text}, '\\\\s+'), w -> w <> ''), w -> xxhash64(w))")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """``doc_id``, two hashes that name the row, and the text."""
+    text = whole(F.col("text"))
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("row1"), F.hash(text).alias("row2"), text.alias("_text"))
+
+
+def _parts(batch: pa.RecordBatch, place: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows of a batch in parts of bounded size, with their n-gram sets."""
+    column = batch.column(place)
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    flat = np.asarray(column.values)
+    start = 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BATCH_GRAMS, side="right")) - 1)
+        yield start, end, *gram_sets(flat[offsets[start] : offsets[end]], np.diff(offsets[start : end + 1]))
+        start = end
+
+
 def signed_sets(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, the class (``c1``, ``c2``), set size, band hashes, and the set as bytes."""
-    words = F.expr("transform(split(trim(regexp_replace(_text, '\\\\s+', ' ')), ' '), w -> xxhash64(w))")
-    ready = docs.select("doc_id", whole(F.col("text")).alias("_text"))
-    ready = ready.select("doc_id", F.when(F.trim(F.regexp_replace("_text", r"\s+", " ")) != "", words).otherwise(F.expr("cast(array() as array<bigint>)")).alias("_words"))
+    """Per row of ``docs``: its names, the class (``c1``, ``c2``), the size of its set, and its band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            offsets = np.asarray(column.offsets).astype(np.int64)
-            flat = np.asarray(column.values)
-            start = 0
-            while start < len(column):
-                end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BATCH_GRAMS, side="right")) - 1)
-                counts = np.diff(offsets[start : end + 1])
-                values, sizes = gram_sets(flat[offsets[start] : offsets[end]], counts)
+            for start, end, values, sizes in _parts(batch, 3):
                 signature = signatures(values, sizes, bands * rows)
                 one, two = _set_names(values, sizes)
                 hashes = _band_hashes(signature, bands, rows).view(np.int64)
-                cuts = np.concatenate([[0], np.cumsum(sizes)])
-                raw = values.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(start, end - start),
+                        *(batch.column(i).slice(start, end - start) for i in range(3)),
                         pa.array(one),
                         pa.array(two),
                         pa.array(sizes.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * bands), pa.array(hashes.reshape(-1))),
-                        pa.array([raw[8 * a : 8 * b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
                     ],
-                    ["doc_id", "c1", "c2", "size", "bands", "grams"],
+                    ["doc_id", "row1", "row2", "c1", "c2", "size", "bands"],
                 )
-                start = end
 
-    return ready.mapInArrow(run, "doc_id bigint, c1 bigint, c2 bigint, size bigint, bands array<bigint>, grams binary")
+    schema = "doc_id bigint, row1 bigint, row2 int, c1 bigint, c2 bigint, size bigint, bands array<bigint>"
+    return _named(docs).select("doc_id", "row1", "row2", _word_hashes("_text").alias("words")).mapInArrow(run, schema)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``class_id``, ``grams``: the n-gram sets, as bytes, of the rows that ``wanted (row1, row2, class_id)`` names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, values, sizes in _parts(batch, 1):
+                cuts = np.concatenate([[0], np.cumsum(sizes)]) * 8
+                raw = values.tobytes()
+                grams = pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), grams], ["class_id", "grams"])
+
+    found = _named(docs).join(broadcast_if_small(wanted, MOST_BROADCAST), ["row1", "row2"])
+    return found.select("class_id", _word_hashes("_text").alias("words")).mapInArrow(run, "class_id bigint, grams binary")
 
 
 def _links_between(first: list[np.ndarray], second: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -196,6 +223,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = signed.groupBy("c1", "c2").agg(
         F.count(F.lit(1)).alias("copies"),
         F.min("doc_id").alias("least"),
+        F.min(F.struct("row1", "row2")).alias("row"),
         F.first("bands").alias("bands"),
         F.max("size").alias("size"),
     )
@@ -209,7 +237,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     # chunks: families in parts of bounded size
     members = families.select(F.col("id").alias("class_id"), F.col("root").alias("family"))
-    members = members.join(classes.select("class_id", "c1", "c2", "size", "copies"), "class_id")
+    members = members.join(classes.select("class_id", "row", "size", "copies"), "class_id")
     totals = members.groupBy("family").agg(F.count(F.lit(1)).alias("texts"), F.sum("size").alias("grams"))
     parts = F.greatest(F.ceil(F.col("texts") / chunk_texts), F.ceil(F.col("grams") / CHUNK_GRAMS)).cast("int")
     members = members.join(totals.select("family", parts.alias("parts")), "family")
@@ -225,10 +253,9 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     sides = blocks.select("family", F.col("one").alias("chunk"), "block", F.lit(0).alias("side")).union(
         blocks.where("one < two").select("family", F.col("two").alias("chunk"), "block", F.lit(1).alias("side"))
     )
-    needed = members.select("c1", "c2", "class_id", "family", "chunk", "copies").join(sides, ["family", "chunk"])
-    sets = signed.join(classes.where("size > 0").select("c1", "c2", "least"), ["c1", "c2"])
-    sets = sets.where(F.col("doc_id").eqNullSafe(F.col("least"))).select("c1", "c2", "grams").dropDuplicates(["c1", "c2"])
-    work = needed.join(sets, ["c1", "c2"]).select("block", "side", "class_id", "copies", "grams")
+    needed = members.select("class_id", "family", "chunk", "copies").join(sides, ["family", "chunk"])
+    sets = sets_of(docs, members.select("row.row1", "row.row2", "class_id"))
+    work = needed.join(sets, "class_id").select("block", "side", "class_id", "copies", "grams")
     work = work.repartition(4 * tasks(spark), "block").sortWithinPartitions("block", "side", "class_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +292,8 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
                     if len(rows) > 1:
                         yield finish(rows)
                     current, rows = block, []
-                rows.append((side, name, copies, grams))
+                if not rows or rows[-1][1] != name:  # rows equal in id and text come more than once
+                    rows.append((side, name, copies, grams))
         if len(rows) > 1:
             yield finish(rows)
 
@@ -290,6 +318,12 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     groups = jaccard_groups(docs.select(key.alias("doc_id"), "text"))
     stay = groups.where("doc_id = group_id").select(F.col("doc_id").alias("_key")).distinct()
-    rows = docs.select(row, key.alias("_key")).join(stay, "_key")
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_n = 1")
+    rows = docs.select(row, key.alias("_key"))
+    # the rows that go are few as a rule: then the texts need not move
+    leave = saved(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).join(stay.withColumn("_stay", F.lit(True)), "_key", "left"), "kept-keys")
+    once = leave.where("_stay AND _n > 1").select("_key")
+    repeated = rows.join(broadcast_if_small(once, MOST_BROADCAST), "_key")
+    repeated = repeated.withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_i = 1").drop("_i")
+    others = leave.where("_stay IS NULL OR _n > 1").select("_key")
+    rows = rows.join(broadcast_if_small(others, MOST_BROADCAST), "_key", "left_anti").unionByName(repeated)
     return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
