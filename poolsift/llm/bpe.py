@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from poolsift.llm.common import text_parts
 from poolsift.llm.pieces import PieceIds, Splitter
 
-#: Characters of texts that are encoded together.
-BATCH_CHARS = 4_000_000
+#: Bytes of texts that are encoded together.
+BATCH_BYTES = 1_500_000
 #: Pieces of more bytes are contracted by a heap, with the same rule: a query takes one round
 #: per contraction, and each round costs some time however little is left.
 LONG_PIECE = 256
@@ -168,18 +169,6 @@ class Codec:
         return [b.replace("Ā", "\0").encode("latin-1") for b in bodies]
 
 
-def batches_of(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` with at most ``most`` characters each; a longer text stands alone."""
-    start = 0
-    while start < len(texts):
-        end, size = start, 0
-        while end < len(texts) and (end == start or size + len(texts[end]) <= most):
-            size += len(texts[end])
-            end += 1
-        yield start, end
-        start = end
-
-
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id``, ``ids`` and ``decoded`` (the bytes the ids stand for) of every row."""
 
@@ -187,9 +176,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         codec = None
         for batch in batches:
             codec = codec or Codec(path, pattern)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for low, high in batches_of(texts, BATCH_CHARS):
-                ids, counts = codec.encode(texts[low:high])
+            for low, high, texts in text_parts(batch, 1, BATCH_BYTES):
+                ids, counts = codec.encode([t or "" for t in texts])
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 decoded = codec.decode(ids, counts)
                 yield pa.RecordBatch.from_arrays(
@@ -215,9 +203,8 @@ def round_trip_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 names = np.array([str(i).encode() + b" " for i in range(65536)], "S6")
                 width = np.char.str_len(names).astype(np.int64)
                 table = names.view(np.uint8).reshape(65536, 6)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for low, high in batches_of(texts, BATCH_CHARS):
-                ids, counts = codec.encode(texts[low:high])
+            for low, high, texts in text_parts(batch, 1, BATCH_BYTES):
+                ids, counts = codec.encode([t or "" for t in texts])
                 decoded = codec.decode(ids, counts)
                 sizes = width[ids]
                 written = table[ids][np.arange(6) < sizes[:, None]].tobytes()

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +36,18 @@ def tasks(spark: SparkSession) -> int:
 def whole(text: Column) -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(text, F.lit(""))
+
+
+def text_parts(batch: pa.RecordBatch, place: int, most: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Rows ``low`` to ``high`` of a batch with their texts, at most ``most`` bytes at a time.
+
+    A longer text stands alone. Only the part at hand is held as Python strings.
+    """
+    column = batch.column(place)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + most, side="right")) - 1)
+        yield low, high, column.slice(low, high - low).to_pylist()
+        low = high

@@ -24,15 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from poolsift.llm.common import text_parts
+
 #: Bound of the training sample: texts per language, and characters of each.
-SAMPLE_TEXTS = 96
+SAMPLE_TEXTS = 64
 SAMPLE_CHARS = 384
 #: Characters told apart; rarer ones share a class that no automaton knows.
 ALPHABET = 64
 #: Characters parsed in one lane.
 PIECE = 1024
-#: Characters of texts parsed together.
-BATCH_CHARS = 3_000_000
+#: Bytes of texts parsed together.
+BATCH_BYTES = 2_000_000
 
 UNKNOWN = "und"
 
@@ -237,20 +239,13 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]] | None = None) -> D
         m = model.value
         ready = unfold(m)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and (end == start or size + len(texts[end] or "") <= BATCH_CHARS):
-                    size += len(texts[end] or "")
-                    end += 1
-                labels, scores = predicted(texts[start:end], *ready, m)
+            for start, end, texts in text_parts(batch, batch.schema.get_field_index("text"), BATCH_BYTES):
+                labels, scores = predicted(texts, *ready, m)
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
                     [*part.schema.names, "lang_pred", "score"],
                 )
-                start = end
 
     return docs.mapInArrow(run, schema)
 

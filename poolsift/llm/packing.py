@@ -32,8 +32,8 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolsift.llm.bpe import batches_of, read_ranks
-from poolsift.llm.common import saved, tasks
+from poolsift.llm.bpe import read_ranks
+from poolsift.llm.common import saved, tasks, text_parts
 from poolsift.llm.pieces import PieceIds, Splitter
 
 CAPACITY = 2048
@@ -45,7 +45,7 @@ LARGE = 4
 GROUPS = 48
 #: Rounds of column generation at most; every round is valid, further ones only improve.
 ROUNDS = 400
-BATCH_CHARS = 4_000_000
+BATCH_BYTES = 1_500_000
 
 
 # ---------------------------------------------------------------- plan over lengths
@@ -246,9 +246,8 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int =
                     return np.fromiter((i for f in found for i in f), np.uint32, int(counts.sum())), counts
 
                 store = PieceIds(encode)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for low, high in batches_of(texts, BATCH_CHARS):
-                codes, starts, per_text = splitter.cuts(texts[low:high])
+            for low, high, texts in text_parts(batch, 1, BATCH_BYTES):
+                codes, starts, per_text = splitter.cuts([t or "" for t in texts])
                 slot, counts = store.lookup(codes, starts)
                 ids = store.gather(slot, counts)
                 total = np.concatenate([[0], np.cumsum(counts)])

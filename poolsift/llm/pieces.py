@@ -118,7 +118,7 @@ class PieceIds:
     over ``most`` pieces, so memory is bounded whatever the text.
     """
 
-    def __init__(self, encode, most: int = 1_000_000) -> None:
+    def __init__(self, encode, most: int = 500_000) -> None:
         self.encode, self.most = encode, most
         self._clear()
 
@@ -146,10 +146,8 @@ class PieceIds:
             slots = len(self.start) - 1 + np.arange(len(pieces))
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
             self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-            merged = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(merged, kind="stable")
-            self.known = merged[order]
-            self.slot = np.concatenate([self.slot, slots])[order]
+            self.known = np.insert(self.known, at[new], distinct[new])
+            self.slot = np.insert(self.slot, at[new], slots)
             at = np.searchsorted(self.known, distinct)
         slot = self.slot[at][back.reshape(-1)]
         return slot, self.start[slot + 1] - self.start[slot]
