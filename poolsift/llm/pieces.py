@@ -13,6 +13,7 @@ import unicodedata
 
 import numpy as np
 import regex
+import tiktoken
 
 LETTER, DIGIT, BLANK, OTHER = 0, 1, 2, 3
 #: Odd multiplier of the polynomial that names pieces.
@@ -21,15 +22,33 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BLANKS = (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
-def class_table() -> np.ndarray:
-    """Class of every code point."""
+def class_table(pattern: str) -> np.ndarray:
+    """Class of every code point, as the tokenizer library sees it.
+
+    Python's Unicode tables are older than the library's, those of ``regex`` newer: code points that
+    they disagree on are tried out with the library.
+    """
     table = np.full(0x110000, OTHER, np.uint8)
+    unassigned = []
     for code in range(0x110000):
-        kind = unicodedata.category(chr(code))[0]
-        if kind == "L":
+        kind = unicodedata.category(chr(code))
+        if kind[0] == "L":
             table[code] = LETTER
-        elif kind == "N":
+        elif kind[0] == "N":
             table[code] = DIGIT
+        elif kind == "Cn":
+            unassigned.append(chr(code))
+    new = regex.findall(r"[\p{L}\p{N}]", "".join(unassigned))
+    ranks = {bytes([b]): b for b in range(256)}
+    for before in "x1":
+        for c in new:
+            ranks[before.encode() + c.encode()] = len(ranks)
+    probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for c in new:
+        if len(probe.encode_ordinary("x" + c)) == 1:
+            table[ord(c)] = LETTER
+        elif len(probe.encode_ordinary("1" + c)) == 1:
+            table[ord(c)] = DIGIT
     table[list(BLANKS)] = BLANK
     return table
 
@@ -38,7 +57,7 @@ class Splitter:
     """Cuts texts by ``pattern``, the pattern of ``public_tokenizers``."""
 
     def __init__(self, pattern: str) -> None:
-        self.classes = class_table()
+        self.classes = class_table(pattern)
         self.slow = regex.compile(pattern)
         self.ending = regex.compile(r"'(?:s|t|re|ve|m|ll|d)")
 

@@ -96,6 +96,8 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     order, the place before a sorted one belongs next in its own bucket.
     """
     n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
     wide = data.astype(np.int16)
     # smaller than the successor: the next different byte is larger
     change = np.flatnonzero(np.append(wide[1:] != wide[:-1], True))
