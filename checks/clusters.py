@@ -8,6 +8,7 @@ from poolsift.operators import clustering
 from poolsift.operators.metadata import join_by_position
 from poolsift.operators.metrics import retrieval
 from poolsift.operators.metrics.classification import with_prediction
+from poolsift.operators.nearest import nearest
 
 
 @check(
@@ -37,6 +38,13 @@ def assign_centroid(spark, sf):
     return placed.select("uid", "centroid_id", F.round("score", 6).alias("score"))
 
 
+@check("assign_centroid_blocks", "SELECT uid, centroid_id, round(score, 6) AS score FROM assigned")
+def assign_centroid_blocks(spark, sf):
+    """The same with the centroids in several blocks."""
+    placed = nearest(pool_emb(spark, sf), centroids(spark, sf), block_bytes=6_000)
+    return placed.select("uid", "centroid_id", F.round("score", 6).alias("score"))
+
+
 @check("centroid_sizes", "SELECT centroid_id, count(*) AS size FROM assigned GROUP BY centroid_id")
 def centroid_sizes(spark, sf):
     return clustering.centroid_sizes(clustering.assign(pool_emb(spark, sf), centroids(spark, sf)))

@@ -115,12 +115,12 @@ def shard_sizes(spark, sf):
 
 @check(
     "missing_shards",
-    "SELECT c_custkey AS shard_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "SELECT doc_id AS shard_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 )
 def missing_shards(spark, sf):
-    """Customers are numbered without gaps; those without orders are the missing shards."""
-    found = table(spark, sf, "orders").select(F.col("o_custkey").alias("shard_id"))
-    span = table(spark, sf, "customer").agg(F.min("c_custkey").alias("first"), F.count(F.lit(1)).alias("n")).first()
+    """Documents are numbered without gaps; those without a label are the missing shards."""
+    found = table(spark, sf, "labels").select(F.col("doc_id").alias("shard_id"))
+    span = table(spark, sf, "documents").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).first()
     return layout.missing_shards(found, span.first, span.n)
 
 

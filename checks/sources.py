@@ -79,9 +79,11 @@ def tar_samples(spark, sf):
     """,
 )
 def tar_reshard(spark, sf):
-    """Shards, subset and boxes to new shards, read back."""
+    """Shards, subset and boxes to new shards, over those of a larger run, read back."""
     folder = run_dir(spark, "resharded")
-    reshard(spark, write_pool_shards(spark, sf), subset(spark, sf), folder, SHARD_SIZE, boxes=boxes(spark, sf))
+    shards = write_pool_shards(spark, sf)
+    reshard(spark, shards, subset(spark, sf).unionAll(subset(spark, sf)), folder, SHARD_SIZE)
+    reshard(spark, shards, subset(spark, sf), folder, SHARD_SIZE, boxes=boxes(spark, sf), overwrite=True)
     samples = tars.read_samples(spark, folder)
     fields = F.decode(F.col("members")["json"], "utf-8")
     return samples.select(

@@ -24,8 +24,9 @@ def subset_expand(spark, sf):
 
 @check("subset_roundtrip", "SELECT uid FROM subset")
 def subset_roundtrip(spark, sf):
-    """Written as packed 16-byte records and read back."""
+    """Written as packed 16-byte records over a larger subset, and read back."""
     folder = run_dir(spark, "subset")
+    write_subset(subset(spark, sf).unionAll(subset(spark, sf)), folder)
     write_subset(subset(spark, sf), folder)
     return read_subset(spark, folder)
 

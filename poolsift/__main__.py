@@ -77,6 +77,7 @@ def reshard_job(spark: SparkSession, args: argparse.Namespace) -> None:
         args.shuffle_seed,
         boxes,
         index,
+        overwrite=args.overwrite,
     )
     print(report)
 
@@ -137,6 +138,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--max_bytes", type=float)
     sub.add_argument("--shuffle_seed", type=int)
     sub.add_argument("--boxes")
+    sub.add_argument("--overwrite", action="store_true", help="clear the output folder first")
     sub.add_argument("--index", help="index of an earlier run over the same shards")
 
     job("profile", profile, "metadata_dir", "keywords", "save_path")

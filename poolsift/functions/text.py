@@ -31,6 +31,12 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def first_words_count(text: Column, most: int) -> Column:
+    """Number of words, or ``most`` where there are more; the rest of a long text is not split."""
+    start = F.regexp_replace(text, rf"(?U)\A{BLANK}+", "")
+    return F.least(F.size(F.array_remove(F.split(start, f"(?U){BLANK}+", most + 1), "")), F.lit(most))
+
+
 def has_words(text: Column, least: int) -> Column:
     """True when ``text`` has at least ``least`` words.
 

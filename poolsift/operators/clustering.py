@@ -12,22 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from poolsift.functions.ids import seeded_hex
-from poolsift.functions.vectors import argmax, l2_normalize, norm
+from poolsift.functions.vectors import l2_normalize, norm
 from poolsift.operators.layout import hex_bucket, ordinals
 from poolsift.operators.nearest import (
     BLOCK_BYTES,
     best_match,
+    best_of_blocks,
     blocks,
+    centroid_blocks,
     nearest,
-    scores_against,
     to_matrix,
 )
-from poolsift.session import ensure_checkpoint_dir
+from poolsift.session import ensure_checkpoint_dir, run_dir
 
 #: Per-cluster sums a task holds before it sends them on.
 PARTIAL_BYTES = 1 << 28
-#: Classes over all objectives that are predicted together.
-MAX_CLASSES = 100_000
 
 _PARTIAL = T.StructType(
     [
@@ -45,7 +44,7 @@ def assign(points: DataFrame, centroids: DataFrame, vec: str = "vec", keys: Sequ
 
 def kmeans_step(
     points: DataFrame,
-    centroids: DataFrame,
+    centroids: DataFrame | list[Broadcast],
     vec: str = "vec",
     keys: Sequence[str] = ("uid",),
     block_bytes: int = BLOCK_BYTES,
@@ -55,11 +54,11 @@ def kmeans_step(
     Each task adds up its points per cluster before the shuffle, so what is moved is at
     most one vector per cluster and task, however large a cluster is.
     """
-    parts = list(blocks(centroids, "centroid_id", "centroid", block_bytes))
+    parts = centroids if isinstance(centroids, list) else centroid_blocks(centroids, block_bytes)
     if len(parts) == 1:
         partial = points.select(vec).mapInArrow(_summed_by_match(parts[0]), _PARTIAL)
     else:
-        matched = nearest(points, centroids, vec, keys, "l2", block_bytes)
+        matched = nearest(points, parts, vec, keys, "l2")
         partial = matched.select("centroid_id", vec).mapInArrow(_summed_by_id, _PARTIAL)
     together = partial.repartition("centroid_id").sortWithinPartitions("centroid_id")
     return together.mapInArrow(_means, "centroid_id int, n long, centroid array<double>")
@@ -194,20 +193,29 @@ def train_kmeans(
 ) -> DataFrame:
     """``centroid_id, centroid`` after ``iterations`` Lloyd steps in L2 over all points.
 
-    Starts from a seeded draw of points. A cluster that loses all its points keeps its
+    The points are written to the shared folder once and every step reads them there, so
+    what made them is not worked out again. Starts from a seeded draw of points. A cluster that loses all its points keeps its
     centroid. The centroids of each step are checkpointed in the shared folder, so the
     lineage does not grow and a lost executor costs one step at most.
     """
-    ensure_checkpoint_dir(points.sparkSession)
+    spark = points.sparkSession
+    ensure_checkpoint_dir(spark)
+    slim = points.select(*keys, vec)
+    folder = run_dir(spark, "kmeans-points")
+    slim.write.parquet(folder)
+    points = spark.read.schema(slim.schema).parquet(folder)
     centroids = seed_centroids(points, k, seed, vec, keys).checkpoint()
     for _ in range(iterations):
-        moved = kmeans_step(points, centroids, vec, keys, block_bytes)
+        parts = centroid_blocks(centroids, block_bytes)
+        moved = kmeans_step(points, parts, vec, keys)
         centroids = (
             centroids.alias("old")
             .join(moved.alias("new"), "centroid_id", "left")
             .select("centroid_id", F.coalesce("new.centroid", "old.centroid").alias("centroid"))
             .checkpoint()
         )
+        for part in parts:
+            part.unpersist()
     return centroids
 
 
@@ -254,24 +262,34 @@ def predict_objectives(
 ) -> DataFrame:
     """``points`` with the best class of every objective, one column each.
 
-    ``prototypes`` is ``objective, class_id, prototype``. All objectives share one matrix product;
-    each takes the best entry of its own run of scores (lowest class on ties), so
-    objectives may differ in their number of classes.
+    ``prototypes`` is ``objective, class_id, prototype``. An objective's class of the largest inner
+    product wins (lowest class on ties), so objectives may differ in their number of classes,
+    which has no limit. Points without a usable vector get null.
     """
-    classes = prototypes.select("objective", "class_id").distinct().orderBy("objective", "class_id")
-    listed = [(r.objective, r.class_id) for r in classes.limit(MAX_CLASSES + 1).collect()]
-    if len(listed) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes; use nearest() per objective")
     spark = points.sparkSession
-    rows = [(o, c, i) for i, (o, c) in enumerate(listed)]
-    keys = [prototypes.schema[c].dataType.simpleString() for c in ("objective", "class_id")]
-    numbered = spark.createDataFrame(rows, f"objective {keys[0]}, class_id {keys[1]}, _place int")
-    reference = prototypes.join(numbered, ["objective", "class_id"])
-    scored = scores_against(points, reference, "_place", "prototype", vec, output="_scores")
-    result = scored
-    for objective in dict.fromkeys(o for o, _ in listed):
-        places = [i for i, (o, _) in enumerate(listed) if o == objective]
-        own = F.slice("_scores", places[0] + 1, len(places))
-        ids = F.array(*[F.lit(listed[i][1]) for i in places])
-        result = result.withColumn(output.format(objective), F.get(ids, argmax(own)))
-    return result.drop("_scores")
+    keys = [prototypes.schema[c].dataType for c in ("objective", "class_id")]
+    classes = prototypes.select("objective", "class_id").distinct().orderBy("objective", "class_id").collect()
+    listed: dict[object, list] = {}
+    for row in classes:
+        listed.setdefault(row.objective, []).append(row.class_id)
+    rows = [(o, c, i) for o, ids in listed.items() for i, c in enumerate(ids)]
+    schema = T.StructType([*(T.StructField(n, k) for n, k in zip(("objective", "class_id"), keys)), T.StructField("_place", T.IntegerType())])
+    reference = prototypes.join(spark.createDataFrame(rows, schema), ["objective", "class_id"])
+    result = points
+    for objective, ids in listed.items():
+        own = reference.filter(F.col("objective") == F.lit(objective))
+        parts = list(blocks(own, "_place", "prototype"))
+        result = best_of_blocks(result, parts, vec, "dot", "_best")
+        named = _class_of(spark.sparkContext.broadcast(ids), keys[1])
+        result = result.withColumn(output.format(objective), named(F.col("_best.id"))).drop("_best")
+    return result
+
+
+def _class_of(ids: Broadcast, kind: T.DataType):
+    """The class at a place of the list; null for null."""
+
+    @F.arrow_udf(kind)
+    def name(places: pa.Array) -> pa.Array:
+        return pa.array(ids.value).take(places)
+
+    return name

@@ -4,7 +4,7 @@ The many vectors stay where they are: each Arrow batch meets the reference matri
 one matrix product inside the task, so no pairs are formed and nothing is shuffled.
 The reference matrix is shipped in blocks of a checked size. When one block holds
 all of it (100,000 x 768 doubles need 614 MB) the work is a single narrow
-map. Otherwise every block is a separate pass whose slim best matches are merged.
+map. Otherwise the best match so far travels with each row from block to block, still narrow.
 """
 
 from __future__ import annotations
@@ -121,21 +121,39 @@ def best_match(matrix: np.ndarray, ids: np.ndarray, reference: np.ndarray, metri
 
 
 def _match_udf(block: Broadcast, metric: str):
+    """Best of a block and of what was best before; an equal score goes to the lower id."""
+
     @F.arrow_udf(_MATCH)
-    def match(vectors: pa.Array) -> pa.Array:
+    def match(vectors: pa.Array, before: pa.Array) -> pa.Array:
         ids, reference = block.value
         matrix, usable = to_matrix(vectors, reference.shape[1])
         best, score = best_match(matrix, ids, reference, metric)
-        out_id = np.zeros(len(usable), dtype=np.int32)
-        out_score = np.zeros(len(usable), dtype=np.float64)
+        out_id = np.zeros(len(usable), dtype=np.int64)
+        out_score = np.full(len(usable), -np.inf)
         out_id[usable], out_score[usable] = best, score
+        if isinstance(before, pa.ChunkedArray):
+            before = before.combine_chunks()
+        held = before.is_valid().to_numpy(zero_copy_only=False)
+        old_id = before.field("id").fill_null(0).to_numpy(zero_copy_only=False)
+        old_score = before.field("score").fill_null(0.0).to_numpy(zero_copy_only=False)
+        stays = held & ((old_score > out_score) | ((old_score == out_score) & (old_id < out_id)))
+        out_id, out_score = np.where(stays, old_id, out_id), np.where(stays, old_score, out_score)
+        gone = ~(usable | held)
         return pa.StructArray.from_arrays(
-            [pa.array(out_id, mask=~usable), pa.array(out_score, mask=~usable)], names=["id", "score"]
+            [pa.array(out_id.astype(np.int32)), pa.array(out_score)], fields=[pa.field("id", pa.int32()), pa.field("score", pa.float64())], mask=pa.array(gone)
         )
 
     return match
 
 
+def best_of_blocks(points: DataFrame, parts: list[Broadcast], vec: str, metric: str, output: str) -> DataFrame:
+    """``points`` with a struct ``output`` of the best id and its score; null without a usable vector."""
+    best = F.lit(None).cast(_MATCH)
+    for part in parts:
+        best = _match_udf(part, metric)(F.col(vec), best)
+    return points.withColumn(output, best)
+
+
 def centroid_blocks(centroids: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
     """Centroids made ready once for several calls of :func:`nearest`."""
     return list(blocks(centroids, "centroid_id", "centroid", block_bytes))
@@ -153,28 +171,16 @@ def nearest(
 
     ``metric`` is ``"dot"`` (largest inner product) or ``"l2"`` (smallest distance; the
     score is then ``x.c - |c|^2/2``, which orders centroids the same way). Points without
-    a usable vector are dropped. ``keys`` only matter when the centroids need several
-    blocks; points that share them are told apart by their vectors.
+    a usable vector are dropped. With several blocks the best match travels from one to
+    the next, so rows are never joined back; ``keys`` are not needed and kept for callers.
     """
     if metric not in ("dot", "l2"):
         raise ValueError("metric must be 'dot' or 'l2'")
-    ready = isinstance(centroids, list)
-    parts = centroids if ready else centroid_blocks(centroids, block_bytes)
-    if len(parts) == 1:
-        return _matched(points, parts[0], vec, metric)
-    keyed = points.withColumn("_vec_hash", F.xxhash64(vec))
-    by = [*keys, "_vec_hash"]
-    found = reduce(
-        DataFrame.unionAll,
-        [_matched(keyed, part, vec, metric).select(*by, "centroid_id", "score") for part in parts],
-    )
-    best = found.groupBy(*by).agg(
-        F.min_by(
-            F.struct("centroid_id", "score"), F.struct(-F.col("score"), F.col("centroid_id"))
-        ).alias("_best")
-    )
-    return keyed.join(best, by).select(
-        *points.columns, F.col("_best.centroid_id"), F.col("_best.score")
+    parts = centroids if isinstance(centroids, list) else centroid_blocks(centroids, block_bytes)
+    return (
+        best_of_blocks(points, parts, vec, metric, "_match")
+        .filter("_match IS NOT NULL")
+        .select(*points.columns, F.col("_match.id").alias("centroid_id"), F.col("_match.score").alias("score"))
     )
 
 
@@ -186,18 +192,6 @@ def covered_centroids(
     return placed.select("centroid_id").distinct()
 
 
-def _matched(points: DataFrame, block: Broadcast, vec: str, metric: str) -> DataFrame:
-    return (
-        points.withColumn("_match", _match_udf(block, metric)(F.col(vec)))
-        .filter(F.col("_match.id").isNotNull())
-        .select(
-            *points.columns,
-            F.col("_match.id").alias("centroid_id"),
-            F.col("_match.score").alias("score"),
-        )
-    )
-
-
 def scores_against(
     points: DataFrame,
     reference: DataFrame,

@@ -20,7 +20,7 @@ from poolsift.operators.layout import (
 from poolsift.operators.metadata import attach_boxes
 from poolsift.operators.sizing import spread
 from poolsift.operators.subsets import copy_blocks, subset_counts, unfold_copies
-from poolsift.sources.storage import write_text
+from poolsift.sources.storage import refuse_or_clear, write_text
 from poolsift.sources.tars import SOURCE, copy_samples, index_samples
 
 NAME_FORMAT = "{:08d}.tar"
@@ -117,12 +117,16 @@ def reshard(
     boxes: DataFrame | None = None,
     index: DataFrame | None = None,
     edit: Callable | None = None,
+    overwrite: bool = False,
 ) -> ReshardReport:
     """Write the chosen samples as new shards with statistics files and ``meta.json``.
 
+    A folder that is not empty is refused, or cleared first with ``overwrite``: shards of
+    an earlier, larger run must not stay among the new ones.
     The index and the plan are written next to the output and read back, so the copy
     stage restarts from files when executors are lost.
     """
+    refuse_or_clear(output_dir, overwrite)
     if index is None:
         index_samples(spark, input_dir).write.mode("overwrite").parquet(f"{output_dir}/_index")
         index = spark.read.parquet(f"{output_dir}/_index")

@@ -13,7 +13,6 @@ from poolsift.sources.tables import list_files
 # Accepted extensions and the largest accepted file.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".bmp")
 MAX_IMAGE_BYTES = 20 * 1024 * 1024
-MAX_DEPTH = 20
 
 
 def image_listing(
@@ -21,13 +20,15 @@ def image_listing(
     folder: str,
     suffixes: Sequence[str] = IMAGE_SUFFIXES,
     max_bytes: int = MAX_IMAGE_BYTES,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Image files under a folder with ``stem``, ``dir`` and ``status`` (ok or too_large).
 
-    Files more than ``max_depth`` folders below it are left out.
+    With ``max_depth`` files more than so many folders below it are left out.
     """
     files = list_files(spark, folder, recursive=True)
+    if max_depth is None:
+        return classify_images(files, suffixes, max_bytes)
     below = F.element_at(F.split("path", rf"\Q{folder.rstrip('/')}/\E", 2), -1)
     shallow = files.filter(F.size(F.split(below, "/")) - 1 <= max_depth)
     return classify_images(shallow, suffixes, max_bytes)

@@ -62,3 +62,26 @@ def files_under(path: str, suffixes: tuple[str, ...]) -> list[fs.FileInfo]:
         raise FileNotFoundError(path)
     found = system.get_file_info(fs.FileSelector(place))
     return sorted((f for f in found if f.is_file and f.path.endswith(suffixes)), key=lambda f: f.path)
+
+
+def entries(path: str) -> list[fs.FileInfo]:
+    """What lies directly in a folder; nothing if there is no such folder."""
+    system, place = locate(path)
+    return system.get_file_info(fs.FileSelector(place, allow_not_found=True))
+
+
+def refuse_or_clear(path: str, overwrite: bool) -> None:
+    """Make sure that an output folder is empty: clear it, or raise if that is not asked for."""
+    system, place = locate(path)
+    if not entries(path):
+        return
+    if not overwrite:
+        raise FileExistsError(f"{path} is not empty; choose another folder or overwrite it")
+    system.delete_dir_contents(place)
+
+
+def delete_files(folder: str, names: list[str]) -> None:
+    system, place = locate(folder)
+    for name in names:
+        if system.get_file_info(posixpath.join(place, name)).is_file:
+            system.delete_file(posixpath.join(place, name))

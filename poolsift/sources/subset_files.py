@@ -5,12 +5,17 @@ A subset file is a run of 16-byte records, two little-endian unsigned 64-bit num
 
     register(spark)
     spark.read.format("subset_ids").load(path)            # uid string
-    sorted_subset(ids).write.format("subset_ids").mode("append").save(folder)
+    sorted_subset(ids).write.format("subset_ids").mode("overwrite").save(folder)
 
 Reading cuts a file into ranges of records, one per partition, so a file of many
 gigabytes is read by many tasks. Writing gives one part per partition plus a
 ``_parts.json`` that lists the parts in id order; bare parts (option ``raw``) put end to
 end in that order are a valid bare subset file.
+
+The listing is what makes parts a subset: the reader of a folder with a listing reads
+the listed parts alone, so parts that a retried or speculative task left behind never count. A
+new run replaces the listing in one move and then deletes what it does not name. Appending to a
+subset is refused, and so is a folder whose parts have no listing (a run that broke off).
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import binascii
 import json
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,12 +43,13 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 from poolsift.operators.subsets import sorted_subset
-from poolsift.sources.storage import atomic_output, files_under, open_input, write_text
+from poolsift.sources.storage import atomic_output, delete_files, entries, files_under, open_input, write_text
 
 RECORD = np.dtype("<u8,<u8")
 MAGIC = b"\x93NUMPY"
 SUFFIXES = (".npy", ".bin")
 PARTS = "_parts.json"
+PART_NAME = re.compile(r"part-[0-9]{6}-[0-9a-f]{8}\.(npy|bin)")
 #: Records per input partition (64 MB) and per batch.
 RECORDS_PER_PARTITION = 1 << 22
 RECORDS_PER_BATCH = 1 << 16
@@ -98,13 +105,32 @@ def _layout(path: str, size: int) -> tuple[int, int]:
         return file.tell(), shape[0]
 
 
+def listed_files(path: str) -> list:
+    """The file itself, the listed parts of a folder in order, or all files of a foreign folder."""
+    found = files_under(path, SUFFIXES)
+    if not any(entry.base_name == PARTS for entry in _folder(path)):
+        if any(PART_NAME.fullmatch(posixpath.basename(f.path)) for f in found):
+            raise ValueError(f"{path} holds parts without {PARTS}: the run that wrote them did not end")
+        return found
+    with open_input(posixpath.join(path, PARTS)) as listing:
+        names = [part["name"] for part in json.load(listing)]
+    by_name = {posixpath.basename(f.path): f for f in found}
+    if missing := [n for n in names if n not in by_name]:
+        raise FileNotFoundError(f"{path} lacks listed parts: {missing[:3]}")
+    return [by_name[n] for n in names]
+
+
+def _folder(path: str) -> list:
+    return [] if path.endswith(SUFFIXES) else entries(path)
+
+
 class SubsetReader(DataSourceReader):
     def __init__(self, path: str) -> None:
         self.path = path
 
     def partitions(self) -> list[RecordRange]:
         ranges = []
-        for file in files_under(self.path, SUFFIXES):
+        for file in listed_files(self.path):
             offset, records = _layout(file.path, file.size)
             for start in range(0, records, RECORDS_PER_PARTITION):
                 count = min(RECORDS_PER_PARTITION, records - start)
@@ -160,9 +186,12 @@ class SubsetWriter(DataSourceArrowWriter):
         parts = sorted((m for m in messages if m and m.records), key=lambda m: m.partition)
         listing = [{"name": m.name, "records": m.records} for m in parts]
         write_text(posixpath.join(self.path, PARTS), json.dumps(listing))
+        listed = {m.name for m in parts}
+        delete_files(self.path, [e.base_name for e in entries(self.path) if PART_NAME.fullmatch(e.base_name) and e.base_name not in listed])
 
     def abort(self, messages: list[PartWritten | None]) -> None:
-        """Parts without a listing are not part of any subset; nothing to undo."""
+        """An earlier subset in the folder stays as it was."""
+        delete_files(self.path, [m.name for m in messages if m and m.name])
 
 
 class SubsetIds(DataSource):
@@ -177,7 +206,10 @@ class SubsetIds(DataSource):
         return SubsetReader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> SubsetWriter:
-        return SubsetWriter(self.options["path"], self.options.get("raw", "false").lower() == "true")
+        path = self.options["path"]
+        if not overwrite and entries(path):
+            raise FileExistsError(f"{path} is not empty; write a subset with mode overwrite")
+        return SubsetWriter(path, self.options.get("raw", "false").lower() == "true")
 
 
 def register(spark: SparkSession) -> None:
@@ -191,6 +223,6 @@ def read_subset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_subset(ids: DataFrame, path: str, raw: bool = False) -> None:
-    """Sort ids over all tasks and write them as parts in order."""
+    """Sort ids over all tasks and write them as parts in order; an earlier subset there is replaced."""
     register(ids.sparkSession)
-    sorted_subset(ids).write.format("subset_ids").option("raw", str(raw)).mode("append").save(path)
+    sorted_subset(ids).write.format("subset_ids").option("raw", str(raw)).mode("overwrite").save(path)

@@ -63,6 +63,37 @@ def test_unusable_vectors_are_dropped(spark):
         nearest.nearest(points, centroid_table(spark, [[1.0], [0.0, 1.0]]))
 
 
+def test_null_keys_and_repeated_vectors_stay_with_many_blocks(spark):
+    points = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.0]), ("c", [0.0, 1.0])], "uid string, vec array<float>")
+    cents = centroid_table(spark, [[1.0, 0.0], [0.0, 1.0], [0.5, 0.5], [0.1, 0.9]])
+    for limit in (1 << 30, 90):
+        got = nearest.nearest(points, cents, block_bytes=limit).collect()
+        assert sorted((r.uid or "", r.centroid_id) for r in got) == [("", 0), ("", 0), ("c", 1)]
+
+
+def test_objectives_have_no_limit_of_classes(spark):
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "id int, vec array<float>")
+    rows = [("a", f"c{i}", [float(i % 7), float(i % 5)]) for i in range(400)] + [("b", "x", [0.0, 0.0]), ("b", "y", [0.0, -1.0])]
+    learned = spark.createDataFrame(rows, "objective string, class_id string, prototype array<double>")
+    got = {r.id: (r.pred_a, r.pred_b) for r in clustering.predict_objectives(points, learned).collect()}
+    first = lambda at, top: min(r[1] for r in rows[:400] if r[2][at] == top)
+    assert got == {1: (first(0, 6.0), "x"), 2: (first(1, 4.0), "x"), 3: (None, None)}
+
+
+def test_training_reads_its_input_once(spark, tmp_path):
+    spark.range(60).selectExpr("string(id) AS uid", "array(float(id % 7), float(id % 5)) AS vec").write.parquet(f"{tmp_path}/p")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    points = spark.read.parquet(f"{tmp_path}/p").mapInArrow(count, "uid string, vec array<float>")
+    clustering.train_kmeans(points, 3, iterations=4)
+    assert read.value == 60
+
+
 def test_score_arrays(spark):
     points = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id int, vec array<float>")
     classes = spark.createDataFrame([(5, [1.0, 0.0]), (2, [0.0, 1.0])], "k int, p array<double>")

@@ -71,6 +71,25 @@ def test_broken_subset_files_are_refused(spark, tmp_path):
         unsorted.write.format("subset_ids").mode("append").save(str(tmp_path / "z"))
 
 
+def test_a_second_run_replaces_the_subset(spark, tmp_path):
+    folder = str(tmp_path / "again")
+    ids = [f"{i:032x}" for i in range(40)]
+    frame = lambda some: spark.createDataFrame([(u,) for u in some], "uid string").repartition(4)
+    subset_files.write_subset(frame(ids), folder)
+    subset_files.write_subset(frame(ids[:7]), folder)
+    assert sorted(r.uid for r in subset_files.read_subset(spark, folder).collect()) == ids[:7]
+    with pytest.raises(Exception, match="not empty"):
+        frame(ids).orderBy("uid").write.format("subset_ids").mode("append").save(folder)
+    # a part that a lost or speculative task left behind is in no listing
+    np.save(f"{folder}/part-000000-0badf00d.npy", numpy_subset(ids))
+    assert subset_files.read_subset(spark, folder).count() == 7
+    subset_files.write_subset(frame(ids[:3]), folder)
+    assert len([p for p in os.listdir(folder) if p.startswith("part-")]) == len(json.load(open(f"{folder}/_parts.json")))
+    os.remove(f"{folder}/_parts.json")
+    with pytest.raises(Exception, match="did not end"):
+        subset_files.read_subset(spark, folder).collect()
+
+
 def test_a_hot_id_does_not_fill_one_part(spark, tmp_path):
     hot = spark.range(60_000).selectExpr("CASE WHEN id % 3 = 0 THEN repeat('7', 32) ELSE md5(cast(id AS string)) END AS uid")
     folder = str(tmp_path / "hot")
@@ -179,6 +198,11 @@ def test_reshard_by_bytes_and_in_seeded_order(spark, shards, tmp_path):
     out = str(tmp_path / "edited")
     drop_image = lambda members, boxes: {"json": members["json"]}
     report = reshard(spark, shards, subset, out, shard_size=3, index=index, edit=drop_image)
+    with pytest.raises(FileExistsError):
+        reshard(spark, shards, subset, out, shard_size=3, index=index)
+    fewer = reshard(spark, shards, subset.limit(1), out, shard_size=3, index=index, overwrite=True)
+    assert fewer.output_shard_count == len([f for f in os.listdir(out) if f.endswith(".tar")])
+    report = reshard(spark, shards, subset, out, shard_size=3, index=index, edit=drop_image, overwrite=True)
     assert report.output_count == 8
     assert all(name.endswith(".json") for m in out_samples(out).values() for name, _ in m)
 
