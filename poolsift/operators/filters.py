@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from poolsift.functions.images import size_ok
 from poolsift.functions.text import has_words, matches_keywords, number_or_null, words
 from poolsift.operators.nearest import centroid_blocks, covered_centroids, nearest
-from poolsift.operators.sizing import broadcast_if_small
+from poolsift.operators.sizing import broadcast_if_small, fetch_if_small
 from poolsift.operators.threshold import at_least, score_threshold
 
 # Fixed values of the published filters.
@@ -121,20 +126,22 @@ def text_entity_filter(
 ) -> DataFrame:
     """English, and the first sense of at least one word is in ``entities``.
 
-    Only the distinct words of a caption are looked up, in the few words of the
-    lexicon that lead to an entity. All words of a row stay in one task, so the
-    de-duplication collapses them before anything is shuffled. The lexicon words are
-    broadcast when they measure small, else the join is by shuffle.
+    The words of the lexicon that lead to an entity are measured. A list that is small goes to
+    the tasks, and the test is part of the scan: nothing is shuffled. A longer one is joined
+    with the distinct words of each caption.
     """
     leading = lexicon.select("word", "synset_offset").join(
         entities.select("synset_offset").distinct(), "synset_offset", "left_semi"
     )
-    hits = broadcast_if_small(leading.select(F.col("word").alias("_word")).distinct())
-    numbered = pool.filter(is_english(F.col(lang))).withColumn(
-        "_row", F.monotonically_increasing_id()
-    )
+    hits = leading.select(F.col("word").alias("_word")).filter("_word IS NOT NULL").distinct()
+    english = pool.filter(is_english(F.col(lang)))
+    listed = fetch_if_small(hits)
+    if listed is not None:
+        shipped = pool.sparkSession.sparkContext.broadcast(listed.column("_word").combine_chunks())
+        return english.filter(_holds_any(shipped)(words(F.col("text"))))
     kept = (
-        numbered.withColumn("_word", F.explode(F.array_distinct(words(F.col("text")))))
+        english.withColumn("_row", F.monotonically_increasing_id())
+        .withColumn("_word", F.explode(F.array_distinct(words(F.col("text")))))
         .join(hits, "_word", "left_semi")
         .drop("_word")
     )
@@ -142,6 +149,22 @@ def text_entity_filter(
     return kept.groupBy("_row").agg(*[F.first(c).alias(c) for c in rest]).drop("_row")
 
 
+def _holds_any(listed: Broadcast):
+    """Whether a list of words holds one of the shipped words; false for null."""
+
+    @F.arrow_udf(T.BooleanType())
+    def holds(lists: pa.Array) -> pa.Array:
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
+        hit = pc.is_in(lists.flatten(), value_set=listed.value).to_numpy(zero_copy_only=False)
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        found = np.concatenate([[0], np.cumsum(hit)])
+        ends = np.cumsum(sizes)
+        return pa.array(found[ends] > found[ends - sizes])
+
+    return holds
+
+
 def image_cluster_filter(
     pool: DataFrame,
     centroids: DataFrame,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,17 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
         kept.unpersist()
 
 
+def fetch_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> pa.Table | None:
+    """The rows of ``df`` if they measure at most ``max_bytes``, else nothing."""
+    kept = df.persist()
+    try:
+        width = F.length(F.to_json(F.struct(*df.columns))) + 16
+        size = kept.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+        return kept.toArrow() if size <= max_bytes else None
+    finally:
+        kept.unpersist()
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` over ``spark.sql.shuffle.partitions`` tasks by a hash of ``columns``.
 
