@@ -39,6 +39,8 @@ CHUNK_GRAMS = 1_000_000
 CHUNK_TEXTS = 1_024
 #: Largest list of rows that is shipped to the texts; a longer one is joined by shuffle.
 MOST_BROADCAST = 16 << 20
+#: Above every name of a class.
+NO_NAME = np.iinfo(np.int64).max
 #: N-grams worked on together in a task.
 BATCH_GRAMS = 1_000_000
 
@@ -210,6 +212,30 @@ def _links_between(first: list[np.ndarray], second: list[np.ndarray] | None, thr
     return linked
 
 
+def block_links(names: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], cut: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of a block the copies it links to, and the least name of its connected part.
+
+    Sets up to ``cut`` are one chunk, the others a second one; the links are those between the
+    two, or those inside the chunk if it stands alone.
+    """
+    if cut == len(sets):
+        linked = _links_between(sets, None, threshold)
+        counts = linked @ copies
+        sides = [(slice(None), slice(None), linked)]
+    else:
+        linked = _links_between(sets[:cut], sets[cut:], threshold)
+        counts = np.concatenate([linked @ copies[cut:], linked.T @ copies[:cut]])
+        sides = [(slice(cut), slice(cut, None), linked), (slice(cut, None), slice(cut), linked.T)]
+    least = names.copy()
+    while True:
+        before = least.copy()
+        for mine, theirs, links in sides:
+            reached = np.where(links, least[theirs][None, :], NO_NAME).min(1, initial=NO_NAME)
+            least[mine] = np.minimum(least[mine], reached)
+        if (least == before).all():
+            return counts, least
+
+
 def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, chunk_texts: int = CHUNK_TEXTS) -> DataFrame:
     """``doc_id``, ``class_id``, ``n_links``, ``group_id`` of every row.
 
@@ -260,28 +286,10 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-            side = np.array([r[0] for r in rows])
+            cut = sum(r[0] == 0 for r in rows)
             names = np.array([r[1] for r in rows], np.int64)
             copies = np.array([r[2] for r in rows], np.int64)
-            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-            cut = int(np.searchsorted(side, 1))
-            one, two = names[:cut], names[cut:]
-            if len(two):
-                linked = _links_between(sets[:cut], sets[cut:], threshold)
-                counts = np.concatenate([linked @ copies[cut:], linked.T @ copies[:cut]])
-                least = np.concatenate(
-                    [np.where(linked, two[None, :], one[:, None]).min(1), np.where(linked.T, one[None, :], two[:, None]).min(1)]
-                )
-            else:
-                linked = _links_between(sets, None, threshold)
-                counts = linked @ copies
-                # least member of each connected part
-                least = names.copy()
-                while True:
-                    lower = np.minimum(least, np.where(linked, least[None, :], least[:, None]).min(1))
-                    if (lower == least).all():
-                        break
-                    least = lower
+            counts, least = block_links(names, copies, [np.frombuffer(r[3], np.uint64) for r in rows], cut, threshold)
             hit = counts > 0
             return pa.RecordBatch.from_arrays([pa.array(names[hit]), pa.array(counts[hit]), pa.array(least[hit])], ["class_id", "n", "near"])
 
@@ -298,8 +306,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
             yield finish(rows)
 
     found = saved(work.mapInArrow(verify, "class_id bigint, n bigint, near bigint"), "links")
-    # between two chunks a class is only linked to its least partner; the rest is in its own chunk's
-    # or other rows, so the parts of a family connect through all rows together
+    # a class comes with the least one of its part in every block, so the parts connect through the blocks
     counts = found.groupBy("class_id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("class_id").alias("a"), F.col("near").alias("b")))
     groups = groups.select(F.col("id").alias("class_id"), "root")

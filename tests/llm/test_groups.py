@@ -81,6 +81,37 @@ def test_links_and_groups_agree_with_all_pairs(spark, near_texts):
         assert [got[i].group_id for i in range(len(near_texts))] == group
 
 
+def test_a_long_chain_over_two_chunks_is_one_group(spark):
+    rng = np.random.default_rng(3)
+    tape = words(rng, 132)
+    texts = [" ".join(tape[i : i + 13]) for i in range(120)]  # neighbours share 8 of 10 n-grams
+    links, group = brute_groups(texts)
+    assert group == [0] * 120
+    got = rows_by_id(ngram_join.jaccard_groups(documents(spark, texts), chunk_texts=60))
+    assert [got[i].n_links for i in range(120)] == links
+    assert [got[i].group_id for i in range(120)] == group
+
+
+@given(st.integers(0, 6), st.integers(1, 6), st.integers(0, 2**32))
+def test_parts_of_two_chunks_are_connected(one, two, seed):
+    rng = np.random.default_rng(seed)
+    names = rng.permutation(one + two).astype(np.int64)
+    sets = [np.unique(rng.integers(0, 4, 3)).astype(np.uint64) for _ in names]
+    counts, least = ngram_join.block_links(names, np.ones(len(names), np.int64), sets, one, 0.5)
+    label = names.copy()
+    degree = [0] * len(names)
+    for _ in names:
+        for i, j in itertools.product(range(one), range(one, one + two)):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if common >= 0.5 * len(np.union1d(sets[i], sets[j])):
+                label[i] = label[j] = min(label[i], label[j])
+    for i, j in itertools.product(range(one), range(one, one + two)):
+        if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j])):
+            degree[i] += 1
+            degree[j] += 1
+    assert least.tolist() == label.tolist() and counts.tolist() == degree
+
+
 def test_one_row_of_each_group_stays(spark, near_texts):
     docs = documents(spark, near_texts)
     kept = ngram_join.keep_one_of_each_group(docs.union(docs).selectExpr("*", "'x' AS size")).collect()
