@@ -13,17 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links all neighbours of an id to the least one (large star), then every id to
     the least of its smaller neighbours (small star), until nothing changes; long chains halve.
-    Every round is written to the shared folder. Groups are reduced by ``min`` before the
-    shuffle, so an id with very many neighbours is no hot group.
+    Every step is written to the shared folder. Groups are reduced by ``min`` before the
+    shuffle, and minima are written before their join, so that Spark can split the edges of an id
+    with very many neighbours.
     """
     current = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current = saved(current, "components")
     known = None
     while True:
         both = current.union(current.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least-neighbours")
+        large = saved(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large-star")
+        small = saved(large.groupBy("a").agg(F.min("b").alias("m")), "small-star")
         linked = large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         current = saved(linked.select("e.a", "e.b").where("a <> b").distinct(), "components")
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
