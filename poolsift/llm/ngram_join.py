@@ -42,7 +42,10 @@ MOST_BROADCAST = 16 << 20
 #: Above every name of a class.
 NO_NAME = np.iinfo(np.int64).max
 #: N-grams worked on together in a task.
-BATCH_GRAMS = 1_000_000
+BATCH_GRAMS = 400_000
+#: N-grams whose occurrences are multiplied together, and rows of a batch unpacked together.
+BLOCK_GRAMS = 2_048
+UNPACKED = 128
 
 
 def band_shape(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -186,22 +189,23 @@ def _links_between(first: list[np.ndarray], second: list[np.ndarray] | None, thr
     same = second is None
     sets = first if same else first + second
     sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     values = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
+    del order
     head = np.ones(len(values), bool)
     head[1:] = values[1:] != values[:-1]
-    column = np.cumsum(head) - 1
-    shared = np.bincount(column) > 1 if len(column) else np.zeros(0, bool)
-    kept = shared[column] if len(column) else shared
-    column, owner = np.unique(column[kept], return_inverse=True)[1].reshape(-1), owner[kept]
+    del values
+    # an n-gram of one set alone is in no pair
+    kept = ~(head & np.append(head[1:], True))
+    owner, column = owner[kept], np.cumsum(head[kept], dtype=np.int32) - 1
     rows = len(first)
     common = np.zeros((rows, rows if same else len(sets) - rows), np.float32)
-    width = 4096
-    for start in range(0, int(column.max()) + 1 if len(column) else 0, width):
-        low, high = np.searchsorted(column, (start, start + width))
-        block = np.zeros((len(sets), width), np.float32)
+    block = np.empty((len(sets), BLOCK_GRAMS), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK_GRAMS):
+        low, high = np.searchsorted(column, (start, start + BLOCK_GRAMS))
+        block[:] = 0
         block[owner[low:high], column[low:high] - start] = 1
         common += block[:rows] @ (block if same else block[rows:]).T
     a, b = sizes[:rows, None], (sizes if same else sizes[rows:])[None, :]
@@ -294,8 +298,9 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
             return pa.RecordBatch.from_arrays([pa.array(names[hit]), pa.array(counts[hit]), pa.array(least[hit])], ["class_id", "n", "near"])
 
         current, rows = None, []
-        for batch in batches:
-            for block, side, name, copies, grams in zip(*(c.to_pylist() for c in batch.columns)):
+        parts = (batch.slice(at, UNPACKED) for batch in batches for at in range(0, batch.num_rows, UNPACKED))
+        for part in parts:
+            for block, side, name, copies, grams in zip(*(c.to_pylist() for c in part.columns)):
                 if block != current:
                     if len(rows) > 1:
                         yield finish(rows)
