@@ -312,23 +312,27 @@ def task_registry_join(spark, sf):
     return rounded(rows.select("dataset", "size", "num_classes", "above_chance", F.col("tags")[0].alias("tag")), "above_chance")
 
 
+#: A task key for every branch of the router.
+TASK_KEYS = [
+    "imagenet1k", "vtab/svhn", "retrieval/flickr", "wilds/iwildcam", "wilds/camelyon17", "wilds/fmow", "wilds/rxrx1",
+    "fairness/fairface", "fairness/utkface", "fairness/geode", "fairness/dollar_street", "fairness/other", "misc/winogavil", "misc/other",
+]
+
+
 @check(
     "metric_route",
-    """
-    SELECT key, CASE WHEN key LIKE 'wilds/%' THEN 'wilds' WHEN key LIKE 'retrieval/%' THEN 'retrieval'
-        WHEN key IN ('fairness/geode', 'fairness/dollar_street') THEN 'fairness_groups' WHEN key LIKE 'fairness/%' THEN 'none'
-        WHEN key LIKE 'misc/%' THEN 'none' ELSE 'classification' END AS family, n
-    FROM (SELECT CASE event_type WHEN 'click' THEN 'wilds/' WHEN 'view' THEN 'retrieval/' WHEN 'error' THEN 'fairness/'
-            WHEN 'signup' THEN 'misc/' ELSE '' END || CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events GROUP BY 1)
+    f"""
+    SELECT key, CASE WHEN key LIKE 'retrieval/%' THEN 'retrieval'
+        WHEN key IN ('wilds/iwildcam', 'wilds/camelyon17', 'wilds/fmow', 'fairness/geode', 'fairness/dollar_street') THEN key
+        WHEN key IN ('fairness/fairface', 'fairness/utkface') THEN 'face' WHEN key = 'misc/winogavil' THEN 'association'
+        WHEN split_part(key, '/', 1) IN ('wilds', 'fairness', 'misc') THEN 'none' ELSE 'classification' END AS family, n
+    FROM (SELECT ({TASK_KEYS})[user_id % {len(TASK_KEYS)} + 1] AS key, count(*) AS n FROM events GROUP BY 1)
     """,
 )
 def metric_route(spark, sf):
-    kind = F.col("event_type")
-    prefix = (
-        F.when(kind == "click", "wilds/").when(kind == "view", "retrieval/").when(kind == "error", "fairness/")
-        .when(kind == "signup", "misc/").otherwise("")
-    )
-    keys = table(spark, sf, "events").select(F.concat(prefix, F.col("user_id").cast("string")).alias("key"))
+    names = F.array(*[F.lit(k) for k in TASK_KEYS])
+    place = (F.col("user_id") % len(TASK_KEYS) + 1).cast("int")
+    keys = table(spark, sf, "events").select(F.element_at(names, place).alias("key"))
     return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(
         "key", rollup.metric_family(F.col("key")).alias("family"), "n"
     )

@@ -196,10 +196,12 @@ def stream_filter(spark, sf):
 
 @check("stream_resume", "SELECT doc_id, CAST(length(text) AS INTEGER) AS chars FROM documents")
 def stream_resume(spark, sf):
-    """Work once per key: the second run of the same stream adds nothing."""
+    """Work once per key, over batches and runs whose files share keys."""
     folder = run_dir(spark, "resume")
-    for _ in range(2):
-        stream = incremental.read_pool_stream(spark, sf, DOCUMENTS, glob="documents.parquet")
+    docs = table(spark, sf, "documents")
+    for half in (docs.where("doc_id % 3 < 2"), docs.where("doc_id % 3 > 0")):
+        half.repartition(2).write.mode("append").parquet(f"{folder}/in")
+        stream = incremental.read_pool_stream(spark, f"{folder}/in", DOCUMENTS, files_per_batch=1)
         incremental.process_once_per_key(
             stream,
             "doc_id",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 
@@ -14,7 +15,7 @@ from poolsift.plans.resharding import reshard
 from poolsift.session import build_session
 from poolsift.sources import tables
 from poolsift.sources.subset_files import read_subset
-from poolsift.sources.vector_files import write_vectors
+from poolsift.sources.vector_files import detect_language, write_vectors
 
 POOL_COLUMNS = [
     "uid",
@@ -27,6 +28,12 @@ POOL_COLUMNS = [
 ]
 
 
+def named_function(name: str):
+    """The object that ``module:name`` stands for."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
 def curate(spark: SparkSession, args: argparse.Namespace) -> None:
     spec = FilterSpec(args.name, args.arch, args.threshold, args.fraction)
     table = lambda path: spark.read.parquet(path) if path else None
@@ -36,13 +43,16 @@ def curate(spark: SparkSession, args: argparse.Namespace) -> None:
         centroids=table(args.centroids),
         targets=table(args.targets),
         lang=args.lang,
-        second_lang=args.second_lang or args.lang,
+        second_lang=args.second_lang or ("second_lang" if args.second_detector else args.lang),
     )
     if args.name.startswith("image_based"):
-        columns = [args.lang if c == "lang" else c for c in POOL_COLUMNS]
+        columns = [args.lang if c == "lang" else c for c in POOL_COLUMNS if c != "lang" or not args.detector]
         pool = curation.pool_with_vectors(spark, args.metadata_dir, columns, args.embedding_key)
     else:
         pool = tables.scan_pool(spark, args.metadata_dir)
+    for detector, column in ((args.detector, args.lang), (args.second_detector, args.second_lang)):
+        if detector:
+            pool = detect_language(pool, named_function(detector), output=column or "second_lang")
     write = curation.curate_to_subset_file if args.subset_file else curation.curate_to
     write(pool, spec, args.save_path, side)
 
@@ -78,6 +88,8 @@ def reshard_job(spark: SparkSession, args: argparse.Namespace) -> None:
         boxes,
         index,
         overwrite=args.overwrite,
+        first_shard=args.first_shard,
+        num_shards=args.num_shards,
     )
     print(report)
 
@@ -117,6 +129,8 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--fraction", type=float)
     sub.add_argument("--lang", default="lang", help="language column")
     sub.add_argument("--second_lang", help="language column of the second detector")
+    sub.add_argument("--detector", help="module:factory of a language detector, where the pool has no language column")
+    sub.add_argument("--second_detector", help="module:factory of the second detector")
     for option in ("lexicon", "entities", "centroids", "targets"):
         sub.add_argument(f"--{option}")
     sub.add_argument("--embedding_key", default="l14_img")
@@ -139,6 +153,8 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--shuffle_seed", type=int)
     sub.add_argument("--boxes")
     sub.add_argument("--overwrite", action="store_true", help="clear the output folder first")
+    sub.add_argument("--first_shard", type=int, default=0)
+    sub.add_argument("--num_shards", type=int, help="input shards to take, by the number in their names")
     sub.add_argument("--index", help="index of an earlier run over the same shards")
 
     job("profile", profile, "metadata_dir", "keywords", "save_path")

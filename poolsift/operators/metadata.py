@@ -53,11 +53,13 @@ def join_by_position(metadata: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def position_mismatch(metadata: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Files whose metadata and vector files do not have the same number of rows."""
+    """Files whose metadata and vector files do not have the same number of rows.
+
+    ``vectors`` has a row per vector, or ``vector_rows`` per file.
+    """
     per_file = lambda df, name: df.groupBy("file_stem").agg(F.count(F.lit(1)).alias(name))
-    both = per_file(metadata, "metadata_rows").join(
-        per_file(vectors, "vector_rows"), "file_stem", "full"
-    )
+    counted = vectors if "vector_rows" in vectors.columns else per_file(vectors, "vector_rows")
+    both = per_file(metadata, "metadata_rows").join(counted, "file_stem", "full")
     counts = both.select(
         "file_stem",
         F.coalesce("metadata_rows", F.lit(0)).alias("metadata_rows"),

@@ -121,13 +121,14 @@ def task_join(results: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def metric_family(key: Column) -> Column:
-    """Which metric job a task key belongs to."""
+    """Which metric job a task key belongs to: a name of the registry, or ``none``."""
     known_fairness = key.isin("fairness/fairface", "fairness/utkface")
     return (
         F.when(key.startswith("retrieval/"), "retrieval")
-        .when(key.startswith("wilds/"), "wilds")
+        .when(key.isin("wilds/iwildcam", "wilds/camelyon17", "wilds/fmow"), key)
+        .when(key.startswith("wilds/"), "none")
         .when(known_fairness, "face")
-        .when(key.isin("fairness/dollar_street", "fairness/geode"), "fairness_groups")
+        .when(key.isin("fairness/dollar_street", "fairness/geode"), key)
         .when(key.startswith("fairness/"), "none")
         .when(key == "misc/winogavil", "association")
         .when(key.startswith("misc/"), "none")

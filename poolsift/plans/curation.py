@@ -20,6 +20,7 @@ from poolsift.operators.metadata import (
     join_by_position,
     join_metadata,
     match_rate,
+    position_mismatch,
     reduce_metadata,
 )
 from poolsift.operators.profile import length_hist, score_hist
@@ -27,7 +28,7 @@ from poolsift.operators.sampling import sample_with_replacement
 from poolsift.operators.subsets import sorted_subset
 from poolsift.sources.subset_files import write_subset
 from poolsift.sources.tables import scan_pool, scan_pool_positions, write_joined_shards
-from poolsift.sources.vector_files import read_npz
+from poolsift.sources.vector_files import npz_lengths, read_npz
 
 
 def curate(pool: DataFrame, spec: FilterSpec, side: FilterInputs | None = None) -> DataFrame:
@@ -50,8 +51,15 @@ def curate_to_subset_file(
 def pool_with_vectors(
     spark: SparkSession, metadata_dir: str, columns: Sequence[str], key: str = "l14_img"
 ) -> DataFrame:
-    """Metadata rows with the vector at the same place of the archive of the same name."""
+    """Metadata rows with the vector at the same place of the archive of the same name.
+
+    Files whose row counts differ from their archive's end the job: rows beyond the shorter one
+    would vanish from the join. Counts come from footers and headers.
+    """
     rows = scan_pool_positions(spark, metadata_dir, columns)
+    if wrong := position_mismatch(rows, npz_lengths(spark, metadata_dir, key)).take(5):
+        listed = ", ".join(f"{r.file_stem}: {r.metadata_rows} rows, {r.vector_rows} vectors" for r in wrong)
+        raise ValueError(f"metadata and vectors differ in length ({listed})")
     return join_by_position(rows, read_npz(spark, metadata_dir, key))
 
 

@@ -14,7 +14,7 @@ from poolsift.operators.metrics.classification import (
     with_prediction,
 )
 from poolsift.operators.metrics.groupwise import fairness_metrics, worst_group, worst_year_region
-from poolsift.operators.metrics.retrieval import jaccard_by_size
+from poolsift.operators.metrics.retrieval import both_ways, jaccard_by_size, retrieval_recall_from_scores
 from poolsift.operators.metrics.rollup import groups_table, latest_results, score_rollup, with_main_metric
 
 
@@ -35,6 +35,14 @@ def classification_metrics(preds: DataFrame) -> DataFrame:
     )
 
 
+def retrieval_metrics(scores: DataFrame) -> DataFrame:
+    """Recall both ways from a table of scores (``image_id, text_id, score, is_match``)."""
+    return both_ways(
+        retrieval_recall_from_scores(scores, "image_id", "text_id"),
+        retrieval_recall_from_scores(scores, "text_id", "image_id"),
+    )
+
+
 def _correct():
     return F.col("y_pred") == F.col("y_true")
 
@@ -48,6 +56,7 @@ METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "classification": classification_metrics,
     "face": fairness_metrics,
     "association": jaccard_by_size,
+    "retrieval": retrieval_metrics,
     "wilds/iwildcam": macro_scores,
     "wilds/camelyon17": lambda preds: worst_group(preds, "slide", _correct()),
     "wilds/fmow": lambda preds: worst_year_region(preds, _correct()),
@@ -62,7 +71,7 @@ def evaluate(
     """Run one registered metric job.
 
     ``predict`` turns scores into ``y_pred`` (and ``true_rank``); pass ``None`` for tables that
-    have their predictions already, as the face and association families do.
+    have their predictions already, as the face, association and retrieval families do.
     """
     if family not in METRICS:
         raise ValueError(f"unknown metric family {family!r}; choose from {sorted(METRICS)}")

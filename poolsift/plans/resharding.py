@@ -21,7 +21,7 @@ from poolsift.operators.metadata import attach_boxes
 from poolsift.operators.sizing import spread
 from poolsift.operators.subsets import copy_blocks, subset_counts, unfold_copies
 from poolsift.sources.storage import refuse_or_clear, write_text
-from poolsift.sources.tars import SOURCE, copy_samples, index_samples
+from poolsift.sources.tars import SOURCE, copy_samples, index_samples, shard_number
 
 NAME_FORMAT = "{:08d}.tar"
 #: Full shards of samples that one run of the byte-limited layout goes through.
@@ -118,18 +118,26 @@ def reshard(
     index: DataFrame | None = None,
     edit: Callable | None = None,
     overwrite: bool = False,
+    first_shard: int = 0,
+    num_shards: int | None = None,
 ) -> ReshardReport:
     """Write the chosen samples as new shards with statistics files and ``meta.json``.
 
     A folder that is not empty is refused, or cleared first with ``overwrite``: shards of
-    an earlier, larger run must not stay among the new ones.
+    an earlier, larger run must not stay among the new ones. ``first_shard`` and ``num_shards``
+    take the input shards with these numbers in their names.
     The index and the plan are written next to the output and read back, so the copy
     stage restarts from files when executors are lost.
     """
     refuse_or_clear(output_dir, overwrite)
     if index is None:
-        index_samples(spark, input_dir).write.mode("overwrite").parquet(f"{output_dir}/_index")
+        found = index_samples(spark, input_dir, first_shard, num_shards)
+        found.write.mode("overwrite").parquet(f"{output_dir}/_index")
         index = spark.read.parquet(f"{output_dir}/_index")
+    elif first_shard or num_shards is not None:
+        number = shard_number(F.col("shard"))
+        index = index.where(number >= first_shard)
+        index = index if num_shards is None else index.where(number < first_shard + num_shards)
     plan_copies(index, subset, shard_size, max_bytes, shuffle_seed, boxes).write.mode(
         "overwrite"
     ).parquet(f"{output_dir}/_plan")

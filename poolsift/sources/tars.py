@@ -14,7 +14,7 @@ import tarfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolsift.sources.storage import atomic_output, open_input, write_text
@@ -107,38 +107,59 @@ def _group(members: Iterator[tuple[str, str, object]]) -> Iterator[tuple[str, li
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """``shard, sample_idx, key, members`` (suffix to bytes). Samples without ``json`` are kept."""
+    """``shard, sample_idx, key, members`` (suffix to bytes), ``error``. Samples without ``json`` are kept.
+
+    A shard that cannot be read to its end gives one row with ``error`` (and no key) after its
+    readable samples; the job goes on.
+    """
     names = list_files(spark, path, "*.tar").select("path")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["shard", "sample_idx", "key", "members"]
+        columns = ["shard", "sample_idx", "key", "members", "error"]
+        rows, held = [], 0
         for frame in frames:
             for name in frame["path"]:
-                shard = posixpath.basename(name)
-                with open_input(name) as file:
-                    stream = ((p, s, _data(a, i)) for a, i, p, s in _members(file))
-                    rows, held = [], 0
-                    for index, (key, parts) in enumerate(_group(stream)):
-                        rows.append((shard, index, key, dict(parts)))
-                        held += sum(len(d) for _, d in parts)
-                        if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows, held = [], 0
-                    if rows:
-                        yield pd.DataFrame(rows, columns=columns)
+                shard, index = posixpath.basename(name), -1
+                try:
+                    with open_input(name) as file:
+                        stream = ((p, s, _data(a, i)) for a, i, p, s in _members(file))
+                        for index, (key, parts) in enumerate(_group(stream)):
+                            rows.append((shard, index, key, dict(parts), None))
+                            held += sum(len(d) for _, d in parts)
+                            if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                                yield pd.DataFrame(rows, columns=columns)
+                                rows, held = [], 0
+                except Exception as problem:  # noqa: BLE001 - any bad shard is reported, not fatal
+                    rows.append((shard, index + 1, None, None, repr(problem)))
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     return names.mapInPandas(
-        read, "shard string, sample_idx long, key string, members map<string,binary>"
+        read, "shard string, sample_idx long, key string, members map<string,binary>, error string"
     )
 
 
-def index_samples(spark: SparkSession, path: str) -> DataFrame:
+def shard_number(name: Column) -> Column:
+    """The number at the end of a shard's name (NULL without one)."""
+    return F.nullif(F.regexp_extract(name, r"([0-9]+)\.tar$", 1), F.lit("")).try_cast("bigint")
+
+
+def index_samples(
+    spark: SparkSession, path: str, first_shard: int = 0, num_shards: int | None = None
+) -> DataFrame:
     """One row per sample with its id and where its members lie; only JSON members are read.
 
+    ``num_shards`` restricts it to the shards with these numbers in their names, from
+    ``first_shard`` on; other shards are not opened.
+
     Worth writing to parquet once: every later subset of the same shards starts from it.
     ``error`` is set for samples without JSON or id, and for shards that break off.
     """
     names = list_files(spark, path, "*.tar").select("path")
+    if first_shard or num_shards is not None:
+        number = shard_number(F.col("path"))
+        names = names.where(number >= first_shard)
+        names = names if num_shards is None else names.where(number < first_shard + num_shards)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,26 @@ def read_npz(spark: SparkSession, path: str, key: str = "l14_img") -> DataFrame:
     return names.mapInArrow(read, schema.EMBEDDINGS)
 
 
+def npz_lengths(spark: SparkSession, path: str, key: str = "l14_img") -> DataFrame:
+    """``file_stem, vector_rows`` of every archive, from the array's header alone."""
+    names = list_files(spark, path, "*.npz").select("path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stems, counts = [], []
+            for name in batch.column(0).to_pylist():
+                with open_input(name) as file, zipfile.ZipFile(file) as archive, archive.open(f"{key}.npy") as member:
+                    version = np.lib.format.read_magic(member)
+                    header = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+                    counts.append(header(member)[0][0])
+                stems.append(posixpath.basename(name).removesuffix(".npz"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(stems, pa.string()), pa.array(counts, pa.int64())], names=["file_stem", "vector_rows"]
+            )
+
+    return names.mapInArrow(read, "file_stem string, vector_rows long")
+
+
 def write_vectors(df: DataFrame, path: str) -> None:
     """Vectors or centroids as parquet, the form every operator here reads."""
     df.write.mode("overwrite").parquet(path)

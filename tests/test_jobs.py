@@ -4,11 +4,13 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from poolsift.__main__ import main
 from poolsift.operators.filters import basic_filter, clip_top_fraction
+from poolsift.operators.metrics import rollup
 from poolsift.plans import curation
-from poolsift.plans.evaluation import evaluate
+from poolsift.plans.evaluation import METRICS, evaluate
 from poolsift.sources import tables
 from poolsift.sources.subset_files import read_subset
 
@@ -71,3 +73,25 @@ def test_metric_families(spark):
     preds = preds.selectExpr("*", "slide AS income_ds", "cast(slide AS string) AS region", "2000 + slide AS year")
     for family in ("classification", "wilds/iwildcam", "wilds/camelyon17", "wilds/fmow", "fairness/dollar_street", "fairness/geode"):
         assert evaluate(preds, family).count() >= 1
+
+
+def test_every_route_is_in_the_registry(spark):
+    from checks.metrics import TASK_KEYS
+
+    keys = spark.createDataFrame([(k,) for k in TASK_KEYS], "key string")
+    routes = {r.family for r in keys.select(rollup.metric_family(F.col("key")).alias("family")).collect()}
+    assert routes - {"none"} <= set(METRICS)
+    scores = spark.createDataFrame([(i, j, float(i == j), i == j) for i in range(4) for j in range(4)], "image_id int, text_id int, score double, is_match boolean")
+    assert evaluate(scores, "retrieval", None).count() >= 1
+
+
+def test_curate_with_a_detector(spark, tmp_path, monkeypatch):
+    (tmp_path / "own_detector.py").write_text("def make():\n    return lambda texts: ['en'] * len(texts)\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "own_detector.py"))
+    rows = [(f"{i:032x}", "a good long caption here" if i % 2 else "no", 300, 300) for i in range(10)]
+    pool = spark.createDataFrame(rows, "uid string, text string, original_width int, original_height int")
+    pool.write.parquet(str(tmp_path / "pool"))
+    main(["curate", "--name", "basic_filter", "--metadata_dir", str(tmp_path / "pool"), "--save_path", str(tmp_path / "out"),
+          "--detector", "own_detector:make"])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from poolsift.plans import curation
 from poolsift.plans.curation import curate_to, curate_to_subset_file
 from poolsift.operators.filters import FilterSpec
 from poolsift.plans.resharding import plan_copies, reshard
@@ -295,3 +296,35 @@ def test_joined_shards_are_one_folder_each(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "j")).count() == 3
     both = tables.scan_pool(spark, f"{tmp_path}/j/shard=a::{tmp_path}/j/shard=b", ["v"])
     assert sorted(r.v for r in both.collect()) == [1, 2, 3]
+
+
+def test_bad_shard_gives_an_error_row(spark, tmp_path):
+    write_tar(tmp_path / "00000003.tar", sample("a"))
+    (tmp_path / "00000005.tar").write_bytes(b"no archive" * 100)
+    good, bad = tars.read_samples(spark, str(tmp_path)).orderBy("shard").collect()
+    assert good.key == "a" and good.error is None
+    assert bad.key is None and bad.members is None and bad.error
+
+
+def test_shard_range_of_an_index(spark, tmp_path):
+    for number in range(5):
+        write_tar(tmp_path / f"{number:08d}.tar", sample("abcde"[number]))
+    found = tars.index_samples(spark, str(tmp_path), 1, 3).collect()
+    assert sorted(r.shard for r in found) == ["00000001.tar", "00000002.tar", "00000003.tar"]
+    subset = spark.createDataFrame([("a" * 32,), ("c" * 32,)], "uid string")
+    for known in (None, tars.index_samples(spark, str(tmp_path))):
+        report = reshard(spark, str(tmp_path), subset, str(tmp_path / f"out{known is None}"), index=known, first_shard=2)
+        assert (report.processed_count, report.output_count) == (3, 1)
+
+
+def test_metadata_and_vectors_of_different_length_end_the_job(spark, tmp_path):
+    spark.range(3).selectExpr("id AS uid").coalesce(1).write.parquet(str(tmp_path / "raw"))
+    (source,) = (tmp_path / "raw").glob("part-*.parquet")
+    pool = tmp_path / "pool"
+    pool.mkdir()
+    (pool / "a.parquet").write_bytes(source.read_bytes())
+    np.savez(pool / "a.npz", l14_img=np.zeros((3, 2), np.float16))
+    assert curation.pool_with_vectors(spark, str(pool), ["uid"]).count() == 3
+    np.savez(pool / "a.npz", l14_img=np.zeros((2, 2), np.float16))
+    with pytest.raises(ValueError, match="a: 3 rows, 2 vectors"):
+        curation.pool_with_vectors(spark, str(pool), ["uid"])
