@@ -236,4 +236,5 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     counts = distinct.join(near, ["high", "low"], "left").select(
         "high", "low", (F.col("copies") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_near")
     )
-    return prints.join(counts, ["high", "low"]).drop("high", "low")
+    # written before the join, so that Spark can split the rows of a frequent fingerprint
+    return prints.join(saved(counts, "near-counts"), ["high", "low"]).drop("high", "low")
