@@ -25,10 +25,20 @@ EMAIL = rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Only the country and check digits, so that what stands behind a number is never part of the match.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+IBAN_RUN = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
 NATIONAL_ID = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
 
+#: Characters of an account number by country (ISO 13616 registry). Other lengths and countries count too, but come second.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
 #: Kinds the contract counts, in its order, and those this method adds.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "national_id", "local_phone")
@@ -123,7 +133,32 @@ def _located(text: Column, kind: str, found: Column) -> Column:
     return F.aggregate(pairs, empty, step, lambda acc: acc["spans"])
 
 
-def _confirmed(kind: str, spans: Column) -> Column:
+def _account_numbers(text: Column, spans: Column) -> Column:
+    """``spans`` of country and check digits, led on to the end of the number.
+
+    The capitals and digits that follow, with or without blanks, may hold words that do not belong
+    to the number. So every end of a group is tried: first the length of the country, then the
+    longest whose checksum holds. A span inside an earlier number goes.
+    """
+
+    lengths = F.create_map(*[F.lit(x) for size, names in IBAN_LENGTHS.items() for name in names.split() for x in (name, size)])
+
+    def led_on(span: Column) -> Column:
+        run = F.regexp_extract(F.substring(text, (span["start"] + 1).cast("int"), 68), IBAN_RUN, 0)
+        groups = F.split(run, r"\x20")
+        ends = F.sequence(F.size(groups), F.lit(1), F.lit(-1))
+        values = F.filter(F.transform(ends, lambda n: F.array_join(F.slice(groups, F.lit(1), n), " ")), CONFIRM["iban"])
+        usual = F.filter(values, lambda v: F.length(F.regexp_replace(v, r"\x20", "")) == lengths[F.substring(v, 1, 2)])
+        value = F.coalesce(F.get(usual, F.lit(0)), F.get(values, F.lit(0)))
+        return span.withField("value", value).withField("end", span["start"] + F.length(value))
+
+    found = F.filter(F.transform(spans, led_on), lambda s: s["value"].isNotNull())
+    return F.filter(found, lambda s: ~F.exists(found, lambda b: (b["start"] < s["start"]) & (s["start"] < b["end"])))
+
+
+def _confirmed(text: Column, kind: str, spans: Column) -> Column:
+    if kind == "iban":
+        return _account_numbers(text, spans)
     return F.filter(spans, lambda s: CONFIRM[kind](s["value"]))
 
 
@@ -174,7 +209,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...
                 _scored(
                     body,
                     kind,
-                    _confirmed(kind, _located(body, kind, F.col(f"_{kind}"))),
+                    _confirmed(body, kind, _located(body, kind, F.col(f"_{kind}"))),
                 ),
             ).otherwise(no_span)
             for kind in kinds

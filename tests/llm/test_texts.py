@@ -286,6 +286,23 @@ def test_checksums_and_context_add_spans(spark):
     assert [got[i].spans for i in (6, 7, 8)] == ["national_id:4:15", "", "local_phone:5:19"]
 
 
+@pytest.mark.parametrize("number", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "XX31 ABCD 0000 0012"])
+def test_account_numbers_before_capitals_and_digits(spark, number):
+    if number.startswith("XX"):  # a country that no registry names
+        turned = "".join(str(int(c, 36)) for c in number.replace(" ", "")[4:] + "XX00")
+        number = f"XX{98 - int(turned) % 97:02d}{number[4:]}"
+    behind = ["", " Bank of X", " The rest", " BIC COBADEFF", " 2024 paid", " A", ".", " NL91ABNA0417164300", " MT84 MALT 0110 0001 2345 MTLC AST0 01S X"]
+    texts = [f"IBAN {number}{b}" for b in behind] + [f"IBAN {number}x", f"IBAN {number}é"]
+    got = rows_by_id(pii.personal_data_report(documents(spark, texts)))
+    own = f"iban:5:{5 + len(number)}"
+    for i, b in enumerate(behind):
+        want = [own] + ([f"iban:{6 + len(number)}:{len(texts[i]) - 2 * b.endswith(' X')}"] if b.startswith((" NL", " MT")) else [])
+        assert [s for s in got[i].spans.split(",") if s.startswith("iban")] == want, texts[i]
+    assert "iban" not in got[len(behind)].spans
+    masked = rows_by_id(pii.mask_personal_data(documents(spark, texts[:2])))
+    assert masked[1].text == "IBAN [IBAN] Bank of X"
+
+
 def test_masking_keeps_other_columns(spark):
     docs = spark.createDataFrame(
         [(1, "write a@b.cd or 10.0.0.1", "k"), (2, None, None), (2, "plain", "é"), (None, "+49 30 1234567, 4111111111111111", "x")],
