@@ -7,7 +7,9 @@ the cross entropy with that language, and the least one wins.
 
 Parsing walks one character per step for thousands of pieces of text and all languages at
 once: the automaton is a table (state, character class) whose entries hold the next state
-and the phrases that end there. Texts are cut into pieces of :data:`PIECE` characters, so
+and the phrases that end there. All letters of the samples are told apart, and each language has
+columns for those of its own sample; where that is a large alphabet, the moves stand in a sorted
+list instead. Texts are cut into pieces of :data:`PIECE` characters, so
 a long text is many lanes and none of it is left out; a phrase ends where a piece ends.
 
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the language that
@@ -29,8 +31,10 @@ from poolsift.llm.common import text_parts
 #: Bound of the training sample: texts per language, and characters of each.
 SAMPLE_TEXTS = 64
 SAMPLE_CHARS = 384
-#: Characters told apart; rarer ones share a class that no automaton knows.
+#: Classes of a parse table, unless its language needs another number.
 ALPHABET = 64
+#: Entries of a parse table; a language with more states x classes is parsed by a list of its moves, with the same result.
+DENSE = 1 << 22
 #: Characters parsed in one lane.
 PIECE = 1024
 #: Bytes of texts parsed together.
@@ -59,23 +63,26 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
     return [(r.lang, "\n".join(p.sample for p in r.parts)) for r in parts.orderBy("lang").collect()]
 
 
+def _folded(c: str) -> str:
+    """The letter in lower case, itself where that is more than one."""
+    lower = c.lower()
+    return lower if len(lower) == 1 else c
+
+
 def character_classes(samples: list[str]) -> np.ndarray:
-    """Class of every code point: 0 unknown, 1 anything but a letter, 2 and more the frequent letters."""
-    classes = np.zeros(0x110000, np.uint8)
+    """Class of every code point: 0 letters that no sample holds, 1 anything but a letter, 2 and more the letters."""
     counts: dict[str, int] = {}
     for sample in samples:
-        for c in sample.lower():
+        for c in sample:
             if c.isalpha():
+                c = _folded(c)
                 counts[c] = counts.get(c, 0) + 1
-    known = sorted(counts, key=lambda c: (-counts[c], c))[: ALPHABET - 2]
+    known = sorted(counts, key=lambda c: (-counts[c], c))
     number = {c: i + 2 for i, c in enumerate(known)}
     letters = letter_table()
-    classes[:] = 1
-    classes[letters] = 0
+    classes = np.where(letters, 0, 1).astype(np.min_scalar_type(len(known) + 2))
     for code in np.flatnonzero(letters):
-        lower = chr(code).lower()
-        if lower in number:
-            classes[code] = number[lower]
+        classes[code] = number.get(_folded(chr(code)), 0)
     return classes
 
 
@@ -119,25 +126,25 @@ def compact(moves: list[dict[int, int]]) -> tuple[int, np.ndarray, np.ndarray, n
     """Number of states, and the moves as three arrays: from, class, to."""
     count = sum(map(len, moves))
     start = np.fromiter((s for s, m in enumerate(moves) for _ in m), np.int32, count)
-    code = np.fromiter((c for m in moves for c in m), np.uint8, count)
+    code = np.fromiter((c for m in moves for c in m), np.int32, count)
     to = np.fromiter((t for m in moves for t in m.values()), np.int32, count)
     return len(moves), start, code, to
 
 
-def parse_table(states: int, start: np.ndarray, code: np.ndarray, to: np.ndarray) -> np.ndarray:
+def parse_table(states: int, start: np.ndarray, code: np.ndarray, to: np.ndarray, width: int = ALPHABET) -> np.ndarray:
     """Flat table over (state, class): next state's row times 4, plus the phrases that end.
 
     A missing move ends the phrase and the character begins the next one; a character that the
     sample does not hold is a phrase of its own.
     """
-    first = np.full(ALPHABET, -1, np.int64)
+    first = np.full(width, -1, np.int64)
     root = start == 0
     first[code[root]] = to[root]
-    restart = np.where(first >= 0, first * ALPHABET * 4 + 1, 2)
-    table = np.empty((states, ALPHABET), np.int32)
+    restart = np.where(first >= 0, first * width * 4 + 1, 2)
+    table = np.empty((states, width), np.int32)
     table[:] = restart
-    table[0] = np.where(first >= 0, first * ALPHABET * 4, 1)
-    table[start, code] = to.astype(np.int64) * (ALPHABET * 4)
+    table[0] = np.where(first >= 0, first * width * 4, 1)
+    table[start, code] = to.astype(np.int64) * (width * 4)
     return table.reshape(-1)
 
 
@@ -160,33 +167,78 @@ def count_phrases(table: np.ndarray, steps: np.ndarray, lengths: np.ndarray) ->
     return phrases + (state > 0)
 
 
+def move_list(states: int, start: np.ndarray, code: np.ndarray, to: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The moves sorted by state and class: their numbers, where they lead, and the move of each class from the start."""
+    keys = start.astype(np.int64) * width + code
+    order = np.argsort(keys)
+    first = np.full(width, -1, np.int64)
+    first[code[start == 0]] = to[start == 0]
+    return keys[order], to[order].astype(np.int64), first
+
+
+def count_phrases_by_list(moves: tuple[np.ndarray, np.ndarray, np.ndarray], steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What :func:`count_phrases` counts, for an automaton too wide for a table."""
+    keys, to, first = moves
+    state = np.zeros(steps.shape[1], np.int64)
+    phrases = np.zeros(steps.shape[1], np.int32)
+    live = np.searchsorted(-lengths, -np.arange(steps.shape[0]), side="left")
+    for at in range(steps.shape[0]):
+        n = live[at]
+        s, c = state[:n], steps[at, :n]
+        wanted = s * len(first) + c
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        goes = keys[place] == wanted
+        begins = first[c]
+        phrases[:n] += np.where(goes, 0, np.where(s > 0, 1, 0) + (begins < 0))
+        state[:n] = np.where(goes, to[place], np.maximum(begins, 0))
+    return phrases + (state > 0)
+
+
 def learn(samples: list[tuple[str, str]]) -> dict:
     """What tasks need, as plain arrays: classes of characters and one automaton per language."""
     classes = character_classes([text for _, text in samples])
-    coded = [classes[_codes(text)].tolist() for _, text in samples]
+    coded, own = [], []
+    for _, text in samples:
+        held, codes = np.unique(classes[_codes(text)], return_inverse=True)
+        coded.append((codes + 1).tolist())
+        own.append(held)
     known = np.flatnonzero(classes > 1)
     return {
         "languages": [name for name, _ in samples],
         "known": known,
         "known_class": classes[known],
+        "own": own,
         "automata": [compact(suffix_automaton(codes)) for codes in coded],
         "bits": np.array([np.log2(max(2, len(codes))) for codes in coded]),
     }
 
 
-def unfold(model: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Classes of code points, which of them are letters, and the parse tables."""
+def unfold(model: dict) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """Classes of code points, which of them are letters, and per language its columns by class and its parser.
+
+    Column 0 of a language stands for all that its sample does not hold.
+    """
     letters = letter_table()
-    classes = np.where(letters, 0, 1).astype(np.uint8)
+    classes = np.where(letters, 0, 1).astype(model["known_class"].dtype)
     classes[model["known"]] = model["known_class"]
-    return classes, letters, [parse_table(*a) for a in model["automata"]]
+    most = int(classes.max()) + 1
+    tables = []
+    for automaton, own in zip(model["automata"], model["own"]):
+        width = len(own) + 1
+        columns = np.zeros(most, np.min_scalar_type(width))
+        columns[own] = np.arange(1, width)
+        if automaton[0] * width <= DENSE:
+            tables.append((columns, count_phrases, parse_table(*automaton, width)))
+        else:
+            tables.append((columns, count_phrases_by_list, move_list(*automaton, width)))
+    return classes, letters, tables
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
-def entropies(texts: list[str], classes: np.ndarray, tables: list[np.ndarray], bits: np.ndarray) -> np.ndarray:
+def entropies(texts: list[str], classes: np.ndarray, tables: list[tuple], bits: np.ndarray) -> np.ndarray:
     """Bits per character of each (non-empty) text under each language."""
     flat = classes[np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)]
     size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -197,11 +249,11 @@ def entropies(texts: list[str], classes: np.ndarray, tables: list[np.ndarray], b
     length = np.minimum(PIECE, size[owner] - within * PIECE)
     order = np.argsort(-length, kind="stable")
     begin, length, owner = begin[order], length[order], owner[order]
-    flat = np.concatenate([flat, np.zeros(PIECE, np.uint8)])
+    flat = np.concatenate([flat, np.zeros(PIECE, flat.dtype)])
     steps = np.lib.stride_tricks.sliding_window_view(flat, PIECE)[begin][:, : length[0]].T.copy()
     found = np.empty((len(texts), len(tables)))
-    for i, table in enumerate(tables):
-        phrases = count_phrases(table, steps, length)
+    for i, (columns, count, parser) in enumerate(tables):
+        phrases = count(parser, columns[steps], length)
         found[:, i] = np.bincount(owner, phrases, len(texts)) * bits[i]
     return found / np.maximum(size, 1)[:, None]
 

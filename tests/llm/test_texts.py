@@ -196,6 +196,41 @@ def test_automaton_counts_longest_matches(sample, text):
     assert language.count_phrases(table, steps, np.array([len(text)])).tolist() == [_phrases(sample, text)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abc", min_size=1, max_size=30), st.text(alphabet="abcd", min_size=1, max_size=30))
+def test_list_of_moves_counts_the_same_phrases(sample, text):
+    code = {c: i + 1 for i, c in enumerate("abc")} | {"d": 0}
+    automaton = language.compact(language.suffix_automaton([code[c] for c in sample]))
+    steps = np.array([[code[c]] for c in text], np.uint8)
+    got = language.count_phrases_by_list(language.move_list(*automaton, 4), steps, np.array([len(text)]))
+    assert got.tolist() == [_phrases(sample, text)]
+
+
+def test_letters_of_all_samples_are_told_apart(monkeypatch):
+    scripts = {
+        "ar": (0x627, 0x64A), "el": (0x3B1, 0x3C9), "en": (0x61, 0x7A), "ja": (0x3041, 0x3096), "ko": (0xAC00, 0xB800),
+        "ru": (0x430, 0x44F), "th": (0xE01, 0xE2E), "tr": (0x130, 0x131), "zh": (0x4E00, 0x5A00),
+    }
+    rng = np.random.default_rng(5)
+
+    def drawn(low, high):
+        return "".join(chr(c) for c in rng.integers(low, high + 1, 3000))
+
+    samples = [(name, drawn(*ends)) for name, ends in scripts.items()]
+    texts = [drawn(*ends)[:200] for ends in scripts.values()]
+    classes = language.character_classes([text for _, text in samples])
+    letters = {language._folded(c) for _, text in samples for c in text if c.isalpha()}
+    assert len({int(classes[ord(c)]) for c in letters}) == len(letters) and min(classes[ord(c)] for c in letters) > 1
+    model = language.learn(samples)
+    found = []
+    for bound in (language.DENSE, 0):
+        monkeypatch.setattr(language, "DENSE", bound)
+        classes, _, tables = language.unfold(model)
+        found.append(language.entropies(texts, classes, tables, model["bits"]))
+        assert found[-1].argmin(1).tolist() == list(range(len(scripts)))
+    assert (found[0] == found[1]).all()
+
+
 def test_language_report(spark):
     texts = [(ENGLISH if i % 2 else GERMAN) * (1 + i % 3) for i in range(40)] + [None, "", "12345 !!", ENGLISH * 60, "É"]
     langs = [("en" if i % 2 else "de") for i in range(40)] + [None] * 5
