@@ -224,6 +224,37 @@ def test_a_line_of_very_many_documents_is_no_evidence_alone(spark):
     assert line_dedup.line_report(documents(spark, [])).count() == 0
 
 
+def _copied_by_all(texts):
+    """Lines that go from each text when it is aligned with every earlier one (all lines of five words)."""
+    lines = [t.split("\n") for t in texts]
+    return [
+        len(set().union(*[line_dedup.common_blocks(a, b, [5] * len(b)) for a in lines[:i]])) if i else 0 for i, b in enumerate(lines)
+    ]
+
+
+def test_lines_are_aligned_with_all_earlier_documents(spark):
+    line = {c: f"this line of text has {c}" for c in "xyzpquvw"}
+    crossed = ["xy", "yxp", "yxq", "xux", "pxq", "qxp", "zvz", "wzzv"]
+    rng = np.random.default_rng(3)
+    drawn = ["".join(rng.choice(list("xyzpquvw"), rng.integers(2, 7))) for _ in range(45)]
+    for group in (crossed, list(dict.fromkeys(drawn))):
+        texts = ["\n".join(line[c] for c in t) for t in group]
+        got = rows_by_id(line_dedup.line_report(documents(spark, texts)))
+        assert [got[i].n_removed for i in range(len(texts))] == _copied_by_all(texts)
+    assert line_dedup.patience(list("xux"), list("pxq")) in ([(0, 1)], [(2, 1)])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=9), st.lists(st.integers(0, 3), max_size=9))
+def test_longest_common_subsequence(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    found = line_dedup.longest_common(a, b)[::-1]
+    assert len(found) == best[-1][-1] and all(a[i] == b[j] for i, j in found)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
+
+
 # ---------------------------------------------------------------- packing
 
 
