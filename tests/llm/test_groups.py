@@ -255,6 +255,14 @@ def test_longest_common_subsequence(a, b):
     assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
 
 
+def test_blocks_of_short_lines_and_scripts_without_blanks(spark):
+    verse = "\n".join(["red rose", "blue sky", "old oak"])
+    chinese = "我们昨天在公园里看见了一只白色的猫"
+    texts = [f"alpha\n{verse}", f"beta\n{verse}\ngamma", f"{chinese}\n一", f"二\n{chinese}", "alpha", "blue sky\nold oak"]
+    got = rows_by_id(line_dedup.line_report(documents(spark, texts)))
+    assert [got[i].n_removed for i in range(6)] == [0, 3, 0, 1, 0, 0]
+
+
 # ---------------------------------------------------------------- packing
 
 
