@@ -263,6 +263,15 @@ def test_blocks_of_short_lines_and_scripts_without_blanks(spark):
     assert [got[i].n_removed for i in range(6)] == [0, 3, 0, 1, 0, 0]
 
 
+def test_a_passage_of_lines_first_seen_apart_goes_from_very_many_documents(spark):
+    notice = [f"part {c} of a notice on every page" for c in "abc"]
+    texts = [f"{n}\nthe text of page {c} is its own" for n, c in zip(notice, "abc")]
+    texts += ["\n".join([f"document {i} begins with its own words", *notice]) for i in range(line_dedup.RARE + 5)]
+    got = rows_by_id(line_dedup.line_report(documents(spark, texts)))
+    assert [got[i].n_removed for i in range(4)] == [0] * 4
+    assert {got[i].n_removed for i in range(4, len(texts))} == {3}
+
+
 # ---------------------------------------------------------------- packing
 
 
