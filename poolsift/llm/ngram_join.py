@@ -7,7 +7,9 @@
    the threshold.
 3. Families are cut into chunks of bounded size. A row holds two chunks of a family that share a
    bucket, with the full n-gram sets of their members; a task counts the pairs at or over the
-   threshold there, so no pair becomes a row, however large a family is.
+   threshold there, so no pair becomes a row, however large a family is. A family of one chunk has
+   all its pairs tried; one that is split only those of chunks that share a bucket, so a link that
+   the bands miss can count in the one and not in the other.
 4. Verified links are counted per class, and connected classes form a group.
 
 Null and empty texts have no n-grams: they share one class (their sets are equal) and link to
