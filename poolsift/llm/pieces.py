@@ -54,10 +54,13 @@ def class_table(pattern: str) -> np.ndarray:
 
 
 class Splitter:
-    """Cuts texts by ``pattern``, the pattern of ``public_tokenizers``."""
+    """Cuts texts by ``pattern``, the pattern of ``public_tokenizers``.
 
-    def __init__(self, pattern: str) -> None:
-        self.classes = class_table(pattern)
+    ``classes`` is the :func:`class_table` of the pattern, where it is known already.
+    """
+
+    def __init__(self, pattern: str, classes: np.ndarray | None = None) -> None:
+        self.classes = class_table(pattern) if classes is None else classes
         self.slow = regex.compile(pattern)
         self.ending = regex.compile(r"'(?:s|t|re|ve|m|ll|d)")
 

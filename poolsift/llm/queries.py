@@ -17,8 +17,12 @@ from poolsift.llm.packing import packing_report
 from poolsift.llm.pii import personal_data_report
 from poolsift.llm.simhash import fingerprint_report
 from poolsift.llm.suffix_dedup import repeats_report
+from poolsift.llm.token_counts import token_counts
+from poolsift.llm.turns import repair_report
+from poolsift.llm.whitening import whitened
 
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +65,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(table(spark, sf_dir, "documents"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_perspectives": op2_perspectives,
@@ -72,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_lines": op9_lines,
     "op10_pii": op10_pii,
+    "op11_tokens": op11_tokens,
+    "op12_whitening": op12_whitening,
+    "op13_turns": op13_turns,
 }
 
 SQL: dict[str, str] = {"op2_perspectives": dialogue.SQL, "op7_topk": topk.SQL}
