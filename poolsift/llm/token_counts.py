@@ -2,9 +2,9 @@
 
 A tokenizer never merges across the pieces its pattern cuts, so a document has as many tokens as its
 pieces have together. Documents are read in batches: each batch has a word list (its distinct pieces) and,
-per document, which words it holds how often. The word lists of all batches together name every distinct piece
-of the corpus once; each is counted by the tokenizer once. A batch then gets the counts of its own
-words back by a join and adds up. Ids are never kept, a piece crosses the network once per
+per document, which words it holds how often. The word lists are dealt out by a checksum of the word, so that one task
+has all batches that ask for a piece and the tokenizer counts every distinct piece of the corpus once. The
+counts go back to the batches that asked, which add up. Ids are never kept, a piece crosses the network once per
 batch that holds it, and no group is larger than a batch.
 
 Special tokens of the vocabulary count as one token where their string stands in a text, as the library does
@@ -16,6 +16,7 @@ parts where the pattern must cut, whatever stands on either side.
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolsift.llm.common import saved, text_parts, whole
+from poolsift.llm.common import saved, tasks, text_parts
 from poolsift.llm.pieces import BLANK, DIGIT, LETTER, Splitter, class_table, mixed
 
 #: Bytes of text split together.
@@ -35,10 +36,10 @@ PART_CHARS = 1_000_000
 #: A batch of documents ends at so many bytes of text or distinct pieces.
 BATCH_BYTES = 32_000_000
 BATCH_WORDS = 400_000
-#: Words in one row of a word list.
-LIST_ROWS = 1_000
-#: Bytes of pieces the tokenizer counts at a time.
-COUNT_BYTES = 1_000_000
+#: Parts that the words of the corpus are dealt into; a task holds the distinct words of one part at a time.
+BUCKETS = 4_096
+#: Pieces the tokenizer counts at a time.
+COUNTED = 20_000
 
 
 def special_pattern(tokenizer) -> regex.Pattern | None:
@@ -131,23 +132,26 @@ def _lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
 
 
 def frequencies(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
-    """Rows of documents (``word``, ``times``: numbers of pieces and how often they occur) and of the
-    word lists of their batches (``words``, from number ``base`` on).
+    """Rows of documents and of the word lists of their batches.
 
+    A document has the numbers of its pieces (``number``, increasing, each as its distance from the one before) and how
+    often they occur (``times``). A word list has a ``bucket``, numbers, and the pieces themselves (``words``).
     ``docs`` has ``doc_id`` and ``text``.
     """
-    out = docs.select(
+    schema = docs.select(
         F.lit(0).cast("bigint").alias("batch"), "doc_id", F.lit(0).cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("specials"),
-        F.array(F.lit(0)).alias("word"), F.array(F.lit(0)).alias("times"), F.lit(0).alias("base"), F.array(F.lit("")).alias("words"),
-    )
-    names = out.columns
+        F.array(F.lit(0)).alias("number"), F.array(F.lit(0)).alias("times"), F.lit(0).alias("bucket"), F.array(F.lit("")).alias("words"),
+    ).schema
+    for field in schema.fields:
+        field.nullable = True
+    names = schema.names
     classes = docs.sparkSession.sparkContext.broadcast(class_table(pattern))  # a byte per code point
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         splitter, special = Splitter(pattern, classes.value), special_pattern(Tokenizer.from_file(tokenizer))
-        words, batch, held = WordList(), TaskContext.get().partitionId() << 32, 0
+        words, fresh, batch, held = WordList(), [], TaskContext.get().partitionId() << 32, 0
 
         def segments(text: str) -> Iterator[str]:
             for part in special.split(text) if special and special.search(text) else [text]:
@@ -166,82 +170,112 @@ def frequencies(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
                     size += len(segment)
             yield owners, group
 
+        def numbered(texts: list[str]) -> np.ndarray | None:
+            """Place of its text and number of each piece as one number, sorted; new pieces are listed."""
+            nonlocal fresh
+            owner, number, new = [], [], []
+            for owners, group in parts(texts):
+                codes, starts, counts = splitter.cuts(group)
+                if len(starts):
+                    found = words.numbers(codes, starts)
+                    if found is None:
+                        return None
+                    owner.append(np.repeat(np.array(owners, np.int64), counts))
+                    number.append(found[0])
+                    new += found[1]
+            fresh += new
+            width = max(1, len(words))
+            return np.sort(np.concatenate([o * width + n for o, n in zip(owner, number)])) if owner else np.zeros(0, np.int64)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """The word list of the batch, by bucket; the next batch starts."""
+            nonlocal fresh, batch, held
+            bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in fresh), np.int64, len(fresh))
+            order = np.argsort(bucket, kind="stable")
+            used, sizes = np.unique(bucket, return_counts=True)
+            ends, rows = np.cumsum(sizes), len(used)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(rows, batch)),
+                    pa.nulls(rows, id_type),
+                    *[pa.nulls(rows, pa.int64())] * 2,
+                    _lists(ends, order),
+                    pa.nulls(rows, pa.list_(pa.int32())),
+                    pa.array(used.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array([fresh[i] for i in order], pa.string())),
+                ],
+                names,
+            )
+            words.clear()
+            fresh, batch, held = [], batch + 1, 0
+
+        id_type = pa.int64()
         for arrow in batches:
+            ids = arrow.column(arrow.schema.get_field_index("doc_id"))
+            id_type = ids.type
             for low, high, texts in text_parts(arrow, arrow.schema.get_field_index("text"), PART_BYTES):
                 texts = [t or "" for t in texts]
                 if held > BATCH_BYTES or len(words) > BATCH_WORDS:
-                    words.clear()
-                    batch, held = batch + 1, 0
-                owner, number, before, fresh = [], [], len(words), []
-                again = True
-                while again:
-                    again = False
-                    for owners, group in parts(texts):
-                        codes, starts, counts = splitter.cuts(group)
-                        if not len(starts):
-                            continue
-                        found = words.numbers(codes, starts)
-                        if found is None:  # start over, in a batch of its own
-                            words.clear()
-                            batch, held = batch + 1, 0
-                            owner, number, before, fresh, again = [], [], 0, [], True
-                            break
-                        owner.append(np.repeat(np.array(owners, np.int64), counts))
-                        number.append(found[0])
-                        fresh += found[1]
-                width = max(1, len(words))
-                pairs = np.concatenate([o * width + n for o, n in zip(owner, number)]) if owner else np.zeros(0, np.int64)
-                pairs, times = np.unique(pairs, return_counts=True)
-                ends = np.cumsum(np.bincount(pairs // width, minlength=len(texts)))
+                    yield from close()
+                pieces = numbered(texts)
+                while pieces is None:  # two pieces of one name: the names change, in a batch of its own
+                    yield from close()
+                    pieces = numbered(texts)
+                width, rows = max(1, len(words)), len(texts)
+                pieces, times = np.unique(pieces, return_counts=True)
+                owner, number = pieces // width, pieces % width
+                steps = np.diff(number, prepend=0)
+                heads = np.flatnonzero(np.diff(owner, prepend=-1))
+                steps[heads] = number[heads]
+                ends = np.cumsum(np.bincount(owner, minlength=rows))
                 sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
                 held += sum(sizes)
-                rows = len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(rows, batch)),
-                        arrow.column(arrow.schema.get_field_index("doc_id")).slice(low, rows),
+                        ids.slice(low, rows),
                         pa.array(sizes, pa.int64()),
                         pa.array([len(special.findall(t)) if special else 0 for t in texts], pa.int64()),
-                        _lists(ends, pairs % width),
+                        _lists(ends, steps),
                         _lists(ends, times),
                         pa.nulls(rows, pa.int32()),
                         pa.nulls(rows, pa.list_(pa.string())),
                     ],
                     names,
                 )
-                if fresh:
-                    bases = list(range(0, len(fresh), LIST_ROWS))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(bases), batch)),
-                            pa.nulls(len(bases), arrow.schema.field("doc_id").type),
-                            *[pa.nulls(len(bases), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))],
-                            pa.array([before + b for b in bases], pa.int32()),
-                            pa.array([fresh[b : b + LIST_ROWS] for b in bases], pa.list_(pa.string())),
-                        ],
-                        names,
-                    )
-
-    schema = out.schema
-    for field in schema.fields:
-        field.nullable = True
+        if fresh:
+            yield from close()
+
     return docs.select("doc_id", "text").mapInArrow(read, schema)
 
 
-def count_pieces(words: DataFrame, tokenizer: str) -> DataFrame:
-    """``word`` and ``n``, the tokens the library cuts it into."""
+def count_pieces(lists: DataFrame, tokenizer: str) -> DataFrame:
+    """``of`` (a batch), ``number`` and ``n``: the tokens of the pieces that are not one token, from rows of word lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(tokenizer)
+        library, bucket, known = Tokenizer.from_file(tokenizer), None, {}
         for batch in batches:
-            for low, high, texts in text_parts(batch, 0, COUNT_BYTES):
-                counts = [len(e) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(counts, pa.int64())], ["word", "n"])
-
-    return words.mapInArrow(run, "word string, n bigint")
+            buckets, asked = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            numbers = batch.column(2).flatten().to_numpy()
+            n = np.empty(len(numbers), np.int32)
+            ends = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))])
+            for i, now in enumerate(buckets):
+                if now != bucket:
+                    bucket, known = now, {}
+                new = [w for w in asked[i] if w not in known]
+                for low in range(0, len(new), COUNTED):
+                    part = new[low : low + COUNTED]
+                    known.update(zip(part, map(len, library.encode_batch_fast(part, add_special_tokens=False))))
+                n[ends[i] : ends[i + 1]] = [known[w] for w in asked[i]]
+            some = np.flatnonzero(n != 1)
+            places = np.searchsorted(some, ends[1:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(places, numbers[some]), _lists(places, n[some])], ["of", "number", "n"])
+
+    dealt = lists.select("batch", "bucket", "number", "words").repartition(tasks(lists.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "of bigint, number array<int>, n array<int>")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 1024) -> DataFrame:
@@ -250,26 +284,25 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 102
     ``tokenizer`` is a byte-level vocabulary file of the ``tokenizers`` library whose texts are cut by ``pattern``.
     """
     rows = saved(frequencies(docs.select("doc_id", "text"), tokenizer, pattern), "piece-frequencies")
-    lists = rows.where("words IS NOT NULL")
-    distinct = lists.select(F.explode("words").alias("word")).distinct()
-    counted = saved(count_pieces(distinct, tokenizer), "piece-counts")
-    # most pieces are one token; only the others travel back
-    places = lists.select("batch", "base", F.posexplode("words").alias("at", "word"))
-    back = places.join(counted.where("n <> 1"), "word").select(F.col("batch").alias("of"), (F.col("base") + F.col("at")).alias("number"), "n")
-    docs_rows = rows.where("words IS NULL").select("batch", "doc_id", "n_bytes", "specials", "word", "times")
+    counted = count_pieces(rows.where("bucket IS NOT NULL"), tokenizer)
+    held = rows.where("bucket IS NULL").select("batch", "doc_id", "n_bytes", "specials", "number", "times")
+
+    def flat(table: pa.Table, name: str) -> np.ndarray:
+        return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
     def add_up(held: pa.Table, known: pa.Table) -> pa.Table:
-        word = held["word"].combine_chunks()
-        flat = word.flatten().to_numpy(zero_copy_only=False)
-        n = np.ones(int(flat.max()) + 1 if len(flat) else 1, np.int64)
-        number = known["number"].to_numpy()
-        at = number < len(n)
-        n[number[at]] = known["n"].to_numpy()[at]
-        times = held["times"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        sums = np.concatenate([[0], np.cumsum(n[flat] * times)])
-        ends = np.concatenate([[0], np.cumsum(word.value_lengths().to_numpy(zero_copy_only=False))])
+        lengths = held["number"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        steps, times = flat(held, "number"), flat(held, "times")
+        number = np.cumsum(steps, dtype=np.int64)
+        # each document counts from zero
+        before = np.concatenate([[0], number])[ends[:-1]]
+        number -= np.repeat(before, lengths)
+        n = np.ones(int(max(number.max(initial=0), flat(known, "number").max(initial=0))) + 1, np.int64)
+        n[flat(known, "number")] = flat(known, "n")
+        sums = np.concatenate([[0], np.cumsum(n[number] * times)])
         tokens = sums[ends[1:]] - sums[ends[:-1]] + held["specials"].to_numpy()
         return pa.table([held["doc_id"], held["n_bytes"], pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs_rows.groupBy("batch").cogroup(back.groupBy("of")).applyInArrow(add_up, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return held.groupBy("batch").cogroup(counted.groupBy("of")).applyInArrow(add_up, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
