@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,3 +54,32 @@ def text_parts(batch: pa.RecordBatch, place: int, most: int) -> Iterator[tuple[i
         high = max(low + 1, int(np.searchsorted(ends, ends[low] + most, side="right")) - 1)
         yield low, high, column.slice(low, high - low).to_pylist()
         low = high
+
+
+#: Allocations of at least so many bytes are returned to the system when they are freed.
+OWN_PAGES = 1 << 20
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a function for ``mapInArrow``, in a task that gives its memory back.
+
+    Python workers live on from task to task and from stage to stage. Large arrays get pages of their own, so freeing
+    one shrinks the worker; at the end of a task what the function still holds goes, and the allocators let go of the rest.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = None
+        with contextlib.suppress(OSError, AttributeError):  # another C library has no such settings
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, OWN_PAGES)  # M_MMAP_THRESHOLD
+            libc.malloc_trim
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                with contextlib.suppress(AttributeError):
+                    libc.malloc_trim(0)
+
+    return task

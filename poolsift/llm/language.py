@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolsift.llm.common import text_parts
+from poolsift.llm.common import lean, text_parts
 
 #: Bound of the training sample: texts per language, and characters of each.
 SAMPLE_TEXTS = 64
@@ -205,6 +205,7 @@ def learn(samples: list[tuple[str, str]]) -> dict:
     known = np.flatnonzero(classes > 1)
     return {
         "languages": [name for name, _ in samples],
+        "letters": letter_table(),
         "known": known,
         "known_class": classes[known],
         "own": own,
@@ -218,7 +219,7 @@ def unfold(model: dict) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
 
     Column 0 of a language stands for all that its sample does not hold.
     """
-    letters = letter_table()
+    letters = model["letters"]
     classes = np.where(letters, 0, 1).astype(model["known_class"].dtype)
     classes[model["known"]] = model["known_class"]
     most = int(classes.max()) + 1
@@ -299,7 +300,7 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]] | None = None) -> D
                     [*part.schema.names, "lang_pred", "score"],
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolsift.llm.common import saved, tasks, whole
+from poolsift.llm.common import lean, saved, tasks, whole
 from poolsift.llm.components import components
 from poolsift.llm.pieces import BASE, mixed
 from poolsift.operators.sizing import broadcast_if_small
@@ -168,7 +168,7 @@ def signed_sets(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 )
 
     schema = "doc_id bigint, row1 bigint, row2 int, c1 bigint, c2 bigint, size bigint, bands array<bigint>"
-    return _named(docs).select("doc_id", "row1", "row2", _word_hashes("_text").alias("words")).mapInArrow(run, schema)
+    return _named(docs).select("doc_id", "row1", "row2", _word_hashes("_text").alias("words")).mapInArrow(lean(run), schema)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), grams], ["class_id", "grams"])
 
     found = _named(docs).join(broadcast_if_small(wanted, MOST_BROADCAST), ["row1", "row2"])
-    return found.select("class_id", _word_hashes("_text").alias("words")).mapInArrow(run, "class_id bigint, grams binary")
+    return found.select("class_id", _word_hashes("_text").alias("words")).mapInArrow(lean(run), "class_id bigint, grams binary")
 
 
 def _links_between(first: list[np.ndarray], second: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -312,7 +312,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         if len(rows) > 1:
             yield finish(rows)
 
-    found = saved(work.mapInArrow(verify, "class_id bigint, n bigint, near bigint"), "links")
+    found = saved(work.mapInArrow(lean(verify), "class_id bigint, n bigint, near bigint"), "links")
     # a class comes with the least one of its part in every block, so the parts connect through the blocks
     counts = found.groupBy("class_id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("class_id").alias("a"), F.col("near").alias("b")))

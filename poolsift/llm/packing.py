@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsift.llm.bpe import read_ranks
-from poolsift.llm.common import saved, tasks, text_parts
-from poolsift.llm.pieces import PieceIds, Splitter
+from poolsift.llm.common import lean, saved, tasks, text_parts
+from poolsift.llm.pieces import PieceIds, Splitter, class_table
 
 CAPACITY = 2048
 #: Id that closes a document.
@@ -233,12 +233,14 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int =
     same; distinct pieces of text are encoded once.
     """
 
+    classes = docs.sparkSession.sparkContext.broadcast(class_table(pattern))  # a byte per code point
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = splitter = None
         for batch in batches:
             if store is None:
                 codec = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-                splitter = Splitter(pattern)
+                splitter = Splitter(pattern, classes.value)
 
                 def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
                     found = [codec._encode_single_piece(p) for p in pieces]
@@ -282,7 +284,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int =
             ["doc_id", "piece", "start", "length", "ids_crc32"],
         )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolsift.llm.common import saved, tasks, text_parts
+from poolsift.llm.common import lean, saved, tasks, text_parts
 from poolsift.llm.pieces import BLANK, DIGIT, LETTER, Splitter, class_table, mixed
 
 #: Bytes of text split together.
@@ -246,7 +246,7 @@ def frequencies(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
         if fresh:
             yield from close()
 
-    return docs.select("doc_id", "text").mapInArrow(read, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(read), schema)
 
 
 def count_pieces(lists: DataFrame, tokenizer: str) -> DataFrame:
@@ -275,7 +275,7 @@ def count_pieces(lists: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(places, numbers[some]), _lists(places, n[some])], ["of", "number", "n"])
 
     dealt = lists.select("batch", "bucket", "number", "words").repartition(tasks(lists.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "of bigint, number array<int>, n array<int>")
+    return dealt.mapInArrow(lean(run), "of bigint, number array<int>, n array<int>")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 1024) -> DataFrame:
