@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from poolsift.llm.common import lean, saved, tasks, text_parts
 from poolsift.llm.pieces import BLANK, DIGIT, LETTER, Splitter, class_table, mixed
+from poolsift.llm.varint import from_steps, joined, packed, split, steps, unpacked
 
 #: Bytes of text split together.
 PART_BYTES = 2_000_000
@@ -127,20 +128,17 @@ class WordList:
         return mixed(np.add.reduceat(terms * weight[within], starts) + lengths.astype(np.uint64) * base)
 
 
-def _lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int32)))
-
-
 def frequencies(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
     """Rows of documents and of the word lists of their batches.
 
-    A document has the numbers of its pieces (``number``, increasing, each as its distance from the one before) and how
-    often they occur (``times``). A word list has a ``bucket``, numbers, and the pieces themselves (``words``).
-    ``docs`` has ``doc_id`` and ``text``.
+    A document has the numbers of its pieces (``number``: increasing, as distances, twice over and one more where the piece
+    occurs several times) and how often these occur (``times``, from 2 on). A word list has a ``bucket``, numbers
+    (distances), and the pieces themselves (``words`` end to end, with their ``sizes``). All lists are packed
+    (:mod:`poolsift.llm.varint`). ``docs`` has ``doc_id`` and ``text``.
     """
     schema = docs.select(
         F.lit(0).cast("bigint").alias("batch"), "doc_id", F.lit(0).cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("specials"),
-        F.array(F.lit(0)).alias("number"), F.array(F.lit(0)).alias("times"), F.lit(0).alias("bucket"), F.array(F.lit("")).alias("words"),
+        *[F.lit(b"").alias(c) for c in ("number", "times")], F.lit(0).alias("bucket"), *[F.lit(b"").alias(c) for c in ("words", "sizes")],
     ).schema
     for field in schema.fields:
         field.nullable = True
@@ -194,15 +192,16 @@ def frequencies(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             used, sizes = np.unique(bucket, return_counts=True)
             ends, rows = np.cumsum(sizes), len(used)
+            listed = joined([fresh[i].encode("utf-8", "surrogatepass") for i in order], ends)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(rows, batch)),
                     pa.nulls(rows, id_type),
                     *[pa.nulls(rows, pa.int64())] * 2,
-                    _lists(ends, order),
-                    pa.nulls(rows, pa.list_(pa.int32())),
+                    packed(steps(order, ends), ends),
+                    pa.nulls(rows, pa.binary()),
                     pa.array(used.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array([fresh[i] for i in order], pa.string())),
+                    *listed,
                 ],
                 names,
             )
@@ -224,10 +223,8 @@ def frequencies(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
                 width, rows = max(1, len(words)), len(texts)
                 pieces, times = np.unique(pieces, return_counts=True)
                 owner, number = pieces // width, pieces % width
-                steps = np.diff(number, prepend=0)
-                heads = np.flatnonzero(np.diff(owner, prepend=-1))
-                steps[heads] = number[heads]
                 ends = np.cumsum(np.bincount(owner, minlength=rows))
+                several = times > 1
                 sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
                 held += sum(sizes)
                 yield pa.RecordBatch.from_arrays(
@@ -236,10 +233,10 @@ def frequencies(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
                         ids.slice(low, rows),
                         pa.array(sizes, pa.int64()),
                         pa.array([len(special.findall(t)) if special else 0 for t in texts], pa.int64()),
-                        _lists(ends, steps),
-                        _lists(ends, times),
+                        packed(2 * steps(number, ends) + several, ends),
+                        packed(times[several] - 2, np.concatenate([[0], np.cumsum(several)])[ends]),
                         pa.nulls(rows, pa.int32()),
-                        pa.nulls(rows, pa.list_(pa.string())),
+                        *[pa.nulls(rows, pa.binary())] * 2,
                     ],
                     names,
                 )
@@ -258,24 +255,27 @@ def count_pieces(lists: DataFrame, tokenizer: str) -> DataFrame:
 
         library, bucket, known = Tokenizer.from_file(tokenizer), None, {}
         for batch in batches:
-            buckets, asked = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            numbers = batch.column(2).flatten().to_numpy()
-            n = np.empty(len(numbers), np.int32)
-            ends = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))])
-            for i, now in enumerate(buckets):
+            distances, ends = unpacked(batch.column(2))
+            numbers = from_steps(distances, ends)
+            asked = [w.decode("utf-8", "surrogatepass") for w in split(batch.column(3), unpacked(batch.column(4))[0])]
+            n = np.empty(len(numbers), np.int64)
+            low = 0
+            for now, high in zip(batch.column(1).to_pylist(), ends.tolist()):
                 if now != bucket:
                     bucket, known = now, {}
-                new = [w for w in asked[i] if w not in known]
-                for low in range(0, len(new), COUNTED):
-                    part = new[low : low + COUNTED]
+                row = asked[low:high]
+                new = [w for w in row if w not in known]
+                for at in range(0, len(new), COUNTED):
+                    part = new[at : at + COUNTED]
                     known.update(zip(part, map(len, library.encode_batch_fast(part, add_special_tokens=False))))
-                n[ends[i] : ends[i + 1]] = [known[w] for w in asked[i]]
+                n[low:high] = [known[w] for w in row]
+                low = high
             some = np.flatnonzero(n != 1)
-            places = np.searchsorted(some, ends[1:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(places, numbers[some]), _lists(places, n[some])], ["of", "number", "n"])
+            ends = np.searchsorted(some, ends)
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed(steps(numbers[some], ends), ends), packed(n[some], ends)], ["of", "number", "n"])
 
-    dealt = lists.select("batch", "bucket", "number", "words").repartition(tasks(lists.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lean(run), "of bigint, number array<int>, n array<int>")
+    dealt = lists.select("batch", "bucket", "number", "words", "sizes").repartition(tasks(lists.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lean(run), "of bigint, number binary, n binary")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 1024) -> DataFrame:
@@ -287,19 +287,18 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 102
     counted = count_pieces(rows.where("bucket IS NOT NULL"), tokenizer)
     held = rows.where("bucket IS NULL").select("batch", "doc_id", "n_bytes", "specials", "number", "times")
 
-    def flat(table: pa.Table, name: str) -> np.ndarray:
-        return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    def column(table: pa.Table, name: str) -> pa.BinaryArray:
+        return pa.chunked_array(table[name].chunks, pa.binary()).combine_chunks()
 
     def add_up(held: pa.Table, known: pa.Table) -> pa.Table:
-        lengths = held["number"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        steps, times = flat(held, "number"), flat(held, "times")
-        number = np.cumsum(steps, dtype=np.int64)
-        # each document counts from zero
-        before = np.concatenate([[0], number])[ends[:-1]]
-        number -= np.repeat(before, lengths)
-        n = np.ones(int(max(number.max(initial=0), flat(known, "number").max(initial=0))) + 1, np.int64)
-        n[flat(known, "number")] = flat(known, "n")
+        codes, ends = unpacked(column(held, "number"))
+        number, several = from_steps(codes >> 1, ends), codes & 1 > 0
+        times = np.ones(len(number), np.int64)
+        times[several] = unpacked(column(held, "times"))[0] + 2
+        asked = from_steps(*unpacked(column(known, "number")))
+        n = np.ones(int(max(number.max(initial=0), asked.max(initial=0))) + 1, np.int64)
+        n[asked] = unpacked(column(known, "n"))[0]
+        ends = np.concatenate([[0], ends])
         sums = np.concatenate([[0], np.cumsum(n[number] * times)])
         tokens = sums[ends[1:]] - sums[ends[:-1]] + held["specials"].to_numpy()
         return pa.table([held["doc_id"], held["n_bytes"], pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

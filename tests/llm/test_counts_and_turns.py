@@ -9,11 +9,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from llm_data import ODD, documents, rows_by_id
 from tokenizers import Tokenizer
 
 from conftest import SMALL
-from poolsift.llm import queries, token_counts, turns, whitening
+from poolsift.llm import queries, token_counts, turns, varint, whitening
 from poolsift.llm.common import table
 from poolsift.llm.pieces import Splitter, class_table
 
@@ -47,6 +49,21 @@ def test_very_long_texts_are_cut_where_pieces_end(spark):
     assert_counts(rows_by_id(counted(documents(spark, texts))), texts)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**40), max_size=6), max_size=6), st.integers(0, 3))
+def test_packed_lists_come_back(rows, skip):
+    flat, ends = np.array(sum(rows, []), np.int64), np.cumsum([len(r) for r in rows]).astype(np.int64)
+    column = varint.packed(flat, ends)
+    values, stops = varint.unpacked(column[min(skip, len(rows)) :])
+    kept = rows[skip:]
+    assert values.tolist() == sum(kept, []) and stops.tolist() == np.cumsum([len(r) for r in kept]).astype(int).tolist()
+    rising = np.array(sum([sorted(r) for r in rows], []), np.int64)
+    assert varint.from_steps(varint.steps(rising, ends), ends).tolist() == rising.tolist()
+    words = [str(v).encode() * (v % 3) for v in flat]
+    body, sizes = varint.joined(words, ends)
+    assert varint.split(body, varint.unpacked(sizes)[0]) == words
+
+
 def test_safe_parts_give_the_pieces_of_the_whole():
     rng = random.Random(3)
     splitter = Splitter(public_tokenizers.PATTERN, class_table(public_tokenizers.PATTERN))
