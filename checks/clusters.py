@@ -3,33 +3,52 @@
 from pyspark.sql import functions as F
 
 from checks.base import check
-from checks.views import LANGS, centroids, pool_emb, preds, prototypes, table
+from checks.views import LANGS, centroids, pool_emb, preds, prototypes
 from poolsift.operators import clustering
-from poolsift.operators.metadata import join_by_position
 from poolsift.operators.metrics import retrieval
 from poolsift.operators.metrics.classification import with_prediction
 from poolsift.operators.nearest import nearest
+from poolsift.plans import curation
+from poolsift.session import run_dir
+from poolsift.sources.vector_files import read_npz, write_with_vectors
+
+
+def _total():
+    return F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total")
+
+
+def write_archives(spark, sf, files: int = 4) -> str:
+    """Pool rows that have a vector, as parquet files with an archive next to each."""
+    folder = run_dir(spark, "archives")
+    rows = pool_emb(spark, sf).select("uid", "doc_id", "text", "lang", "label", "vec")
+    write_with_vectors(rows.repartitionByRange(files, "doc_id"), folder)
+    return folder
 
 
 @check(
     "scan_embeddings",
-    "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings",
+    "SELECT CAST(len(vec) AS INTEGER) AS dim, round(list_sum(vec), 5) AS total, count(*) AS n FROM pool_emb GROUP BY ALL",
 )
 def scan_embeddings(spark, sf):
-    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return table(spark, sf, "embeddings").select(
-        "vec_id", F.size("embedding").alias("dim"), F.round(total, 5).alias("total")
-    )
+    """Archives written by tasks and read by ranges."""
+    vectors = read_npz(spark, write_archives(spark, sf))
+    return vectors.select(F.size("vec").alias("dim"), _total()).groupBy("dim", "total").agg(F.count(F.lit(1)).alias("n"))
 
 
-@check("emb_join", "SELECT doc_id AS row_idx, uid, label FROM pool_emb")
+@check("emb_join", "SELECT doc_id AS row_idx, uid, label, round(list_sum(vec), 5) AS total FROM pool_emb")
 def emb_join(spark, sf):
-    stem = F.lit("00000").alias("file_stem")
-    rows = table(spark, sf, "documents").select(
-        stem, F.col("doc_id").alias("row_idx"), F.md5(F.col("doc_id").cast("string")).alias("uid")
+    """Metadata files with the vectors at the same places of their archives."""
+    rows = curation.pool_with_vectors(spark, write_archives(spark, sf), ["uid", "doc_id", "label"])
+    return rows.select(F.col("doc_id").alias("row_idx"), "uid", "label", _total())
+
+
+@check("emb_join_kept", "SELECT uid, round(list_sum(vec), 5) AS total FROM pool_emb WHERE lang = 'en' AND label < 5")
+def emb_join_kept(spark, sf):
+    """The same for the rows that a filter leaves; other vectors are never read."""
+    rows = curation.pool_with_vectors(
+        spark, write_archives(spark, sf), ["uid", "lang", "label"], keep=lambda df: df.where("lang = 'en' AND label < 5")
     )
-    vectors = table(spark, sf, "embeddings").select(stem, F.col("vec_id").alias("row_idx"), "label")
-    return join_by_position(rows, vectors).select("row_idx", "uid", "label")
+    return rows.select("uid", _total())
 
 
 @check("assign_centroid", "SELECT uid, centroid_id, round(score, 6) AS score FROM assigned")
@@ -41,7 +60,7 @@ def assign_centroid(spark, sf):
 @check("assign_centroid_blocks", "SELECT uid, centroid_id, round(score, 6) AS score FROM assigned")
 def assign_centroid_blocks(spark, sf):
     """The same with the centroids in several blocks."""
-    placed = nearest(pool_emb(spark, sf), centroids(spark, sf), block_bytes=6_000)
+    placed = nearest(pool_emb(spark, sf), centroids(spark, sf), tile_bytes=6_000)
     return placed.select("uid", "centroid_id", F.round("score", 6).alias("score"))
 
 
@@ -169,7 +188,4 @@ def image_retrieval(spark, sf):
     """,
 )
 def retrieval_recall(spark, sf):
-    pictures, texts, pairs = _sides(spark, sf)
-    to_text = retrieval.retrieval_recall(pictures, texts, pairs.toDF("query_id", "candidate_id"))
-    to_image = retrieval.retrieval_recall(texts, pictures, pairs.toDF("candidate_id", "query_id"))
-    return _rounded(retrieval.both_ways(to_text, to_image))
+    return _rounded(retrieval.retrieval_both_ways(*_sides(spark, sf)))

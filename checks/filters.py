@@ -7,6 +7,8 @@ from checks.views import centroids, entities, lexicon, pool, pool_emb, sql_words
 from poolsift.operators import filters, profile, subsets
 from poolsift.operators.threshold import score_threshold
 from poolsift.plans.curation import curate
+from poolsift.session import run_dir
+from poolsift.sources.tables import scan_pool as scan_pool_files
 
 ENGLISH_WORDS = f"len({sql_words('text')})"
 BASIC_SQL = f"""
@@ -20,7 +22,12 @@ KEYWORDS = ("the", "elle", "dem")
 
 @check("scan_pool", "SELECT uid, original_width, original_height, clip_l14_similarity_score FROM pool")
 def scan_pool(spark, sf):
-    return pool(spark, sf).select("uid", "original_width", "original_height", "clip_l14_similarity_score")
+    """Two folders of several files, read as one pool."""
+    folder = run_dir(spark, "pool")
+    rows = pool(spark, sf)
+    rows.where("lang = 'en'").repartition(3).write.parquet(f"{folder}/a")
+    rows.where("lang IS DISTINCT FROM 'en'").repartition(2).write.parquet(f"{folder}/b")
+    return scan_pool_files(spark, f"{folder}/a::{folder}/b", ["uid", "original_width", "original_height", "clip_l14_similarity_score"])
 
 
 @check("no_filter", "SELECT uid FROM pool")
@@ -102,14 +109,18 @@ def image_cluster_filter(spark, sf):
     f"""
     SELECT uid FROM pool WHERE {CAPTION_SQL} AND clip_l14_similarity_score >= (SELECT clip_l14_similarity_score FROM (
             SELECT clip_l14_similarity_score, row_number() OVER (ORDER BY clip_l14_similarity_score DESC NULLS LAST) - 1 AS place,
-                count(*) OVER () AS n FROM pool_emb) WHERE place = floor(n * 0.3::DOUBLE))
+                count(*) OVER () AS n FROM pool) WHERE place = floor(n * 0.3::DOUBLE))
         AND uid IN (SELECT uid FROM assigned WHERE centroid_id IN (SELECT centroid_id FROM target_centroids))
     """,
 )
 def cluster_and_clip(spark, sf):
+    """The threshold is one of the whole pool; only rows that pass it get their vectors."""
     spec = filters.FilterSpec("image_based_intersect_clip_score", arch="l14", fraction=0.3)
-    side = filters.FilterInputs(centroids=centroids(spark, sf), targets=targets(spark, sf))
-    return filters.apply_filter(pool_emb(spark, sf), spec, side).select("uid")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    side = filters.FilterInputs(
+        centroids=centroids(spark, sf), targets=targets(spark, sf), attach=lambda rows: rows.join(vectors, "doc_id")
+    )
+    return filters.apply_filter(pool(spark, sf), spec, side).select("uid")
 
 
 @check(

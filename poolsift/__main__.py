@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
@@ -15,7 +16,7 @@ from poolsift.plans.resharding import reshard
 from poolsift.session import build_session
 from poolsift.sources import tables
 from poolsift.sources.subset_files import read_subset
-from poolsift.sources.vector_files import detect_language, write_vectors
+from poolsift.sources.vector_files import attach_vectors, detect_language, write_vectors
 
 POOL_COLUMNS = [
     "uid",
@@ -46,8 +47,10 @@ def curate(spark: SparkSession, args: argparse.Namespace) -> None:
         second_lang=args.second_lang or ("second_lang" if args.second_detector else args.lang),
     )
     if args.name.startswith("image_based"):
+        # vectors are read for the rows that are left when they are needed
+        side = replace(side, attach=lambda rows: attach_vectors(rows, args.embedding_key))
         columns = [args.lang if c == "lang" else c for c in POOL_COLUMNS if c != "lang" or not args.detector]
-        pool = curation.pool_with_vectors(spark, args.metadata_dir, columns, args.embedding_key)
+        pool = curation.pool_positions(spark, args.metadata_dir, columns, args.embedding_key)
     else:
         pool = tables.scan_pool(spark, args.metadata_dir)
     for detector, column in ((args.detector, args.lang), (args.second_detector, args.second_lang)):
@@ -58,12 +61,15 @@ def curate(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def cluster(spark: SparkSession, args: argparse.Namespace) -> None:
-    pool = curation.pool_with_vectors(
+    pool = curation.pool_positions(
         spark, args.metadata_dir, ["uid", "text", "lang"], args.embedding_key
     )
-    vectors = curation.training_vectors(
+    rows = curation.training_rows(
         pool, not args.disable_caption_filtering, args.sample_ratio, args.seed
     )
+    if args.sample_ratio > 0:
+        rows = rows.sortWithinPartitions("vector_path", "row_idx")  # drawn rows come in any order
+    vectors = attach_vectors(rows, args.embedding_key)
     keys = ["uid", "draw"] if args.sample_ratio > 0 else ["uid"]
     centroids = train_kmeans(vectors, args.num_clusters, args.iterations, args.seed, keys=keys)
     write_vectors(centroids, args.save_path)

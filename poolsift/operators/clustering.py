@@ -6,7 +6,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,15 +13,9 @@ from pyspark.sql import types as T
 from poolsift.functions.ids import seeded_hex
 from poolsift.functions.vectors import l2_normalize, norm
 from poolsift.operators.layout import hex_bucket, ordinals
-from poolsift.operators.nearest import (
-    BLOCK_BYTES,
-    best_match,
-    best_of_blocks,
-    blocks,
-    centroid_blocks,
-    nearest,
-    to_matrix,
-)
+from poolsift.operators.nearest import best_in_tiles, best_of, centroid_tiles, nearest
+from poolsift.operators.sizing import fetch_if_small
+from poolsift.operators.tiles import TILE_BYTES, Tiles, to_matrix, write_tiles
 from poolsift.session import ensure_checkpoint_dir, run_dir
 
 #: Per-cluster sums a task holds before it sends them on.
@@ -44,22 +37,18 @@ def assign(points: DataFrame, centroids: DataFrame, vec: str = "vec", keys: Sequ
 
 def kmeans_step(
     points: DataFrame,
-    centroids: DataFrame | list[Broadcast],
+    centroids: DataFrame | Tiles,
     vec: str = "vec",
     keys: Sequence[str] = ("uid",),
-    block_bytes: int = BLOCK_BYTES,
+    tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
     """One Lloyd step in L2: ``centroid_id, n, centroid`` of the clusters that got points.
 
     Each task adds up its points per cluster before the shuffle, so what is moved is at
     most one vector per cluster and task, however large a cluster is.
     """
-    parts = centroids if isinstance(centroids, list) else centroid_blocks(centroids, block_bytes)
-    if len(parts) == 1:
-        partial = points.select(vec).mapInArrow(_summed_by_match(parts[0]), _PARTIAL)
-    else:
-        matched = nearest(points, parts, vec, keys, "l2")
-        partial = matched.select("centroid_id", vec).mapInArrow(_summed_by_id, _PARTIAL)
+    tiles = centroids if isinstance(centroids, Tiles) else centroid_tiles(centroids, tile_bytes)
+    partial = points.select(vec).mapInArrow(_summed_by_match(tiles), _PARTIAL)
     together = partial.repartition("centroid_id").sortWithinPartitions("centroid_id")
     return together.mapInArrow(_means, "centroid_id int, n long, centroid array<double>")
 
@@ -97,34 +86,21 @@ def _partial_batch(sums: dict[int, list]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _summed_by_match(block: Broadcast):
+def _summed_by_match(tiles: Tiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, reference = block.value
+        read = tiles.reader()
         sums: dict[int, list] = {}
         for batch in batches:
-            rows, _ = to_matrix(batch.column(0), reference.shape[1])
-            labels, _ = best_match(rows, ids, reference, "l2")
+            rows, _ = to_matrix(batch.column(0), tiles.dim)
+            labels, _ = best_in_tiles(rows, tiles, "l2", read)
             _totals(labels, rows, sums)
-            if len(sums) * reference.shape[1] * 8 > PARTIAL_BYTES:
+            if len(sums) * tiles.dim * 8 > PARTIAL_BYTES:
                 yield from _partial_batch(sums)
         yield from _partial_batch(sums)
 
     return run
 
 
-def _summed_by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, list] = {}
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        dim = len(batch.column(1)[0])
-        rows, usable = to_matrix(batch.column(1), dim)
-        _totals(batch.column(0).to_numpy()[usable], rows, sums)
-        if len(sums) * dim * 8 > PARTIAL_BYTES:
-            yield from _partial_batch(sums)
-    yield from _partial_batch(sums)
-
-
 def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Means from partial sums sorted by cluster; holds one cluster at a time."""
     current, n, total = None, 0, None
@@ -189,7 +165,7 @@ def train_kmeans(
     seed: int = 0,
     vec: str = "vec",
     keys: Sequence[str] = ("uid",),
-    block_bytes: int = BLOCK_BYTES,
+    tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
     """``centroid_id, centroid`` after ``iterations`` Lloyd steps in L2 over all points.
 
@@ -206,16 +182,15 @@ def train_kmeans(
     points = spark.read.schema(slim.schema).parquet(folder)
     centroids = seed_centroids(points, k, seed, vec, keys).checkpoint()
     for _ in range(iterations):
-        parts = centroid_blocks(centroids, block_bytes)
-        moved = kmeans_step(points, parts, vec, keys)
+        tiles = centroid_tiles(centroids, tile_bytes)
+        moved = kmeans_step(points, tiles, vec, keys)
         centroids = (
             centroids.alias("old")
             .join(moved.alias("new"), "centroid_id", "left")
             .select("centroid_id", F.coalesce("new.centroid", "old.centroid").alias("centroid"))
             .checkpoint()
         )
-        for part in parts:
-            part.unpersist()
+        tiles.drop()  # what follows reads the checkpoint
     return centroids
 
 
@@ -264,32 +239,19 @@ def predict_objectives(
 
     ``prototypes`` is ``objective, class_id, prototype``. An objective's class of the largest inner
     product wins (lowest class on ties), so objectives may differ in their number of classes,
-    which has no limit. Points without a usable vector get null.
+    which has no limit. Points without a usable vector get null. Every objective is a column, so their names must be few.
     """
-    spark = points.sparkSession
-    keys = [prototypes.schema[c].dataType for c in ("objective", "class_id")]
-    classes = prototypes.select("objective", "class_id").distinct().orderBy("objective", "class_id").collect()
-    listed: dict[object, list] = {}
-    for row in classes:
-        listed.setdefault(row.objective, []).append(row.class_id)
-    rows = [(o, c, i) for o, ids in listed.items() for i, c in enumerate(ids)]
-    schema = T.StructType([*(T.StructField(n, k) for n, k in zip(("objective", "class_id"), keys)), T.StructField("_place", T.IntegerType())])
-    reference = prototypes.join(spark.createDataFrame(rows, schema), ["objective", "class_id"])
-    result = points
-    for objective, ids in listed.items():
-        own = reference.filter(F.col("objective") == F.lit(objective))
-        parts = list(blocks(own, "_place", "prototype"))
-        result = best_of_blocks(result, parts, vec, "dot", "_best")
-        named = _class_of(spark.sparkContext.broadcast(ids), keys[1])
-        result = result.withColumn(output.format(objective), named(F.col("_best.id"))).drop("_best")
-    return result
-
-
-def _class_of(ids: Broadcast, kind: T.DataType):
-    """The class at a place of the list; null for null."""
-
-    @F.arrow_udf(kind)
-    def name(places: pa.Array) -> pa.Array:
-        return pa.array(ids.value).take(places)
-
-    return name
+    held = prototypes.persist()  # worked out once for all objectives
+    try:
+        names = fetch_if_small(held.select("objective").distinct())
+        if names is None:
+            raise ValueError("too many objectives for a column each")
+        result = points
+        for objective in sorted(names.column(0).to_pylist()):
+            own = held.filter(F.col("objective") == F.lit(objective))
+            tiles = write_tiles(own, "class_id", "prototype")
+            result = best_of(result, tiles, vec, "dot", "_best")
+            result = result.withColumn(output.format(objective), F.col("_best.id")).drop("_best")
+        return result
+    finally:
+        held.unpersist()

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from poolsift.functions.images import size_ok
 from poolsift.functions.text import has_words, matches_keywords, number_or_null, words
-from poolsift.operators.nearest import centroid_blocks, covered_centroids, nearest
+from poolsift.operators.nearest import centroid_tiles, covered_centroids, nearest
 from poolsift.operators.sizing import broadcast_if_small, fetch_if_small
 from poolsift.operators.threshold import at_least, score_threshold
 
@@ -60,6 +60,7 @@ class FilterInputs:
     second_lang: str = "lang"
     vec: str = "vec"
     keys: Sequence[str] = field(default_factory=lambda: ("uid",))
+    attach: Callable[[DataFrame], DataFrame] | None = None  # adds the vectors to rows that passed; else the pool has them
 
     def need(self, *names: str) -> None:
         absent = [n for n in names if getattr(self, n) is None]
@@ -172,11 +173,16 @@ def image_cluster_filter(
     lang: str = "lang",
     vec: str = "vec",
     keys: Sequence[str] = ("uid",),
+    attach: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Caption filter, then nearest centroid is nearest to some target embedding as well."""
-    ready = centroid_blocks(centroids)
+    """Caption filter, then nearest centroid is nearest to some target embedding as well.
+
+    ``attach`` adds the vectors to the rows that the caption filter leaves, where the pool does not hold them.
+    """
+    ready = centroid_tiles(centroids)
     wanted = broadcast_if_small(covered_centroids(targets, ready, vec))
-    placed = nearest(caption_filter(pool, lang), ready, vec=vec, keys=keys)
+    kept = caption_filter(pool, lang)
+    placed = nearest(attach(kept) if attach else kept, ready, vec=vec, keys=keys)
     return placed.join(wanted, "centroid_id", "left_semi").drop("centroid_id", "score")
 
 
@@ -190,10 +196,11 @@ def cluster_and_clip(
     lang: str = "lang",
     vec: str = "vec",
     keys: Sequence[str] = ("uid",),
+    attach: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Score filter first (a fraction is still taken of the unfiltered pool), clusters after."""
     scored = clip_score(pool, arch, threshold, fraction)
-    return image_cluster_filter(scored, centroids, targets, lang, vec, keys)
+    return image_cluster_filter(scored, centroids, targets, lang, vec, keys, attach)
 
 
 def keyword_filter(pool: DataFrame, terms: Sequence[str], text: str = "text") -> DataFrame:
@@ -221,7 +228,7 @@ def _text_based(pool: DataFrame, spec: FilterSpec, side: FilterInputs) -> DataFr
 def _image_based(pool: DataFrame, spec: FilterSpec, side: FilterInputs) -> DataFrame:
     side.need("centroids", "targets")
     return image_cluster_filter(
-        pool, side.centroids, side.targets, side.lang, side.vec, side.keys
+        pool, side.centroids, side.targets, side.lang, side.vec, side.keys, side.attach
     )
 
 
@@ -237,6 +244,7 @@ def _image_and_score(pool: DataFrame, spec: FilterSpec, side: FilterInputs) -> D
         side.lang,
         side.vec,
         side.keys,
+        side.attach,
     )
 
 

@@ -7,23 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolsift.functions.vectors import dot
-from poolsift.operators.nearest import BLOCK_BYTES, count_ahead
+from poolsift.operators.nearest import GRID_BYTES, best_of_pairs, count_ahead
+from poolsift.operators.tiles import Tiles, write_tiles
 
 
-def best_positive(queries: DataFrame, candidates: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``id, vec, best``: each query with the score of its best right answer.
-
-    ``pairs`` lists the right answers only (``query_id, candidate_id``).
-    """
-    right = candidates.select(F.col("id").alias("candidate_id"), F.col("vec").alias("_right"))
-    asked = queries.select(F.col("id").alias("query_id"), "vec")
-    return (
-        pairs.join(right, "candidate_id")
-        .join(asked, "query_id")
-        .groupBy(F.col("query_id").alias("id"))
-        .agg(F.first("vec").alias("vec"), F.max(dot(F.col("vec"), F.col("_right"))).alias("best"))
-    )
+def recall_of_tiles(queries: Tiles, candidates: Tiles, pairs: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """One row: queries with a right answer and the share of them with one among the best k, per k."""
+    ahead = count_ahead(queries, candidates, best_of_pairs(queries, candidates, pairs))
+    hits = [F.avg((F.col("ahead") < k).cast("double")).alias(f"recall_{k}") for k in ks]
+    return ahead.agg(F.count(F.lit(1)).alias("queries"), *hits)
 
 
 def retrieval_recall(
@@ -31,17 +23,25 @@ def retrieval_recall(
     candidates: DataFrame,
     pairs: DataFrame,
     ks: Sequence[int] = (1, 5, 10),
-    block_bytes: int = BLOCK_BYTES,
+    tile_bytes: int = GRID_BYTES,
 ) -> DataFrame:
-    """One row: queries and the share of them with a right answer among the best k, per k.
+    """The same of two tables of ``id, vec`` (ids unique), each read once.
 
-    A query counts as hit when fewer than k candidates score above its best right answer;
-    the score matrix itself is never written down.
+    ``pairs`` lists the right answers only (``query_id, candidate_id``). A query counts as hit when fewer than k candidates
+    score above its best right answer; the score matrix itself is never written down, and no vector is shuffled.
     """
-    ranked = best_positive(queries, candidates, pairs)
-    ahead = count_ahead(ranked, candidates, candidates.count() <= queries.count(), block_bytes)
-    hits = [F.avg((F.col("ahead") < k).cast("double")).alias(f"recall_{k}") for k in ks]
-    return ahead.agg(F.count(F.lit(1)).alias("queries"), *hits)
+    asked, given = (write_tiles(side, "id", "vec", tile_bytes=tile_bytes) for side in (queries, candidates))
+    return recall_of_tiles(asked, given, pairs, ks)
+
+
+def retrieval_both_ways(
+    images: DataFrame, texts: DataFrame, pairs: DataFrame, ks: Sequence[int] = (1, 5, 10), tile_bytes: int = GRID_BYTES
+) -> DataFrame:
+    """One row with both directions (see :func:`both_ways`); ``pairs`` is ``image, text``. Each side becomes tiles once."""
+    pictures, captions = (write_tiles(side, "id", "vec", tile_bytes=tile_bytes) for side in (images, texts))
+    to_text = recall_of_tiles(pictures, captions, pairs.select(F.col("image").alias("query_id"), F.col("text").alias("candidate_id")), ks)
+    to_image = recall_of_tiles(captions, pictures, pairs.select(F.col("text").alias("query_id"), F.col("image").alias("candidate_id")), ks)
+    return both_ways(to_text, to_image)
 
 
 def retrieval_recall_from_scores(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +15,9 @@ from poolsift.operators.filters import (
     apply_filter,
     caption_filter,
     keyword_filter,
+    no_filter,
 )
 from poolsift.operators.metadata import (
-    join_by_position,
     join_metadata,
     match_rate,
     position_mismatch,
@@ -28,7 +28,7 @@ from poolsift.operators.sampling import sample_with_replacement
 from poolsift.operators.subsets import sorted_subset
 from poolsift.sources.subset_files import write_subset
 from poolsift.sources.tables import scan_pool, scan_pool_positions, write_joined_shards
-from poolsift.sources.vector_files import npz_lengths, read_npz
+from poolsift.sources.vector_files import attach_vectors, npz_lengths
 
 
 def curate(pool: DataFrame, spec: FilterSpec, side: FilterInputs | None = None) -> DataFrame:
@@ -48,25 +48,32 @@ def curate_to_subset_file(
     write_subset(apply_filter(pool, spec, side), path)
 
 
-def pool_with_vectors(
+def pool_positions(
     spark: SparkSession, metadata_dir: str, columns: Sequence[str], key: str = "l14_img"
 ) -> DataFrame:
-    """Metadata rows with the vector at the same place of the archive of the same name.
+    """Metadata rows with the place of their vectors, for :func:`~poolsift.sources.vector_files.attach_vectors`.
 
-    Files whose row counts differ from their archive's end the job: rows beyond the shorter one
-    would vanish from the join. Counts come from footers and headers.
+    Files whose row counts differ from their archive's end the job: a row would get another one's vector.
+    Counts come from footers and headers.
     """
     rows = scan_pool_positions(spark, metadata_dir, columns)
     if wrong := position_mismatch(rows, npz_lengths(spark, metadata_dir, key)).take(5):
         listed = ", ".join(f"{r.file_stem}: {r.metadata_rows} rows, {r.vector_rows} vectors" for r in wrong)
         raise ValueError(f"metadata and vectors differ in length ({listed})")
-    return join_by_position(rows, read_npz(spark, metadata_dir, key))
+    return rows
+
+
+def pool_with_vectors(
+    spark: SparkSession, metadata_dir: str, columns: Sequence[str], key: str = "l14_img", keep: Callable[[DataFrame], DataFrame] = no_filter
+) -> DataFrame:
+    """The metadata rows that ``keep`` leaves, with the vector at the same place of the archive of the same name."""
+    return attach_vectors(keep(pool_positions(spark, metadata_dir, columns, key)), key)
 
 
-def training_vectors(
+def training_rows(
     pool: DataFrame, caption_filtering: bool = True, sample_ratio: float = -1.0, seed: int = 0
 ) -> DataFrame:
-    """Vectors to cluster: optionally only well-captioned samples, and a share per file."""
+    """Rows whose vectors to cluster: optionally only well-captioned samples, and a share per file."""
     kept = caption_filter(pool) if caption_filtering else pool
     return sample_with_replacement(kept, "file_stem", sample_ratio, seed)
 

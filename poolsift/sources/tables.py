@@ -36,11 +36,12 @@ def scan_pool(
 
 
 def scan_pool_positions(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """The same with ``file_stem`` and ``row_idx``, the key of the embedding files."""
+    """The same with the place of each row: ``file_stem``, ``row_idx``, and the archive with its vector, ``vector_path``."""
     df = schema.require(_parquet(spark, path, False), *columns)
     return df.select(
         path_stem(F.col("_metadata.file_name")).alias("file_stem"),
         F.col("_metadata.row_index").alias("row_idx"),
+        F.regexp_replace(F.col("_metadata.file_path"), r"\.parquet[^/]*$", ".npz").alias("vector_path"),
         *columns,
     )
 

@@ -8,7 +8,9 @@ import pytest
 
 import __spark_entry__ as entry_module
 from conftest import SMALL
-from poolsift.operators import filters
+from poolsift.operators import filters, nearest, tiles
+from poolsift.plans import curation
+from poolsift.sources import vector_files
 
 QUERIES = entry_module.queries()
 
@@ -71,3 +73,30 @@ def test_counts_of_a_subset_are_shuffled_once(spark):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in final
+
+
+def test_vectors_meet_their_rows_without_a_shuffle(spark, tmp_path):
+    vectors = spark.range(200).selectExpr("id AS uid", "'a small car' AS text", "'en' AS lang", "array(cast(id AS float), 1f) AS vec")
+    vector_files.write_with_vectors(vectors.repartition(3), str(tmp_path / "pool"))
+    pool = curation.pool_positions(spark, str(tmp_path / "pool"), ["uid", "text", "lang"])
+    centroids = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "centroid_id int, centroid array<double>")
+    placed = nearest.nearest(vector_files.attach_vectors(filters.caption_filter(pool)), centroids)
+    plan = plan_of(placed.select("uid", "centroid_id"))
+    assert "Exchange" not in plan and "Join" not in plan and "BroadcastExchange" not in plan
+    # the filter is below the step that reads vectors, and reaches the scan
+    assert plan.index("EqualTo(lang,en)") < plan.index("MapInArrow", plan.index("EqualTo(lang,en)"))
+    assert placed.count() == 200
+
+
+def test_candidates_are_counted_without_a_shuffle_of_vectors(spark):
+    def side(n, parts):
+        return spark.range(n).selectExpr("id", "array(sin(id), cos(id * 3)) AS vec").repartition(parts)
+
+    sizes = []
+    for parts in (2, 7):
+        asked, given = (tiles.write_tiles(side(n, parts), "id", "vec") for n in (60, 40))
+        best = nearest.best_of_pairs(asked, given, spark.range(60).selectExpr("id AS query_id", "id % 40 AS candidate_id"))
+        ahead = nearest.count_ahead(asked, given, best)
+        assert "vec" not in plan_of(ahead)
+        sizes.append(ahead.count())
+    assert sizes == [60, 60]

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from poolsift.operators import clustering, nearest
+from poolsift.operators import clustering, nearest, tiles
 from poolsift.operators.metrics import retrieval
 
 
@@ -24,7 +24,7 @@ def test_ties_take_the_lowest_id(spark):
     points = vectors(spark, [[1.0, 0.0]])
     cents = centroid_table(spark, [[1.0, 0.0], [0.5, 0.0], [1.0, 0.0]], [7, 1, 3])
     for limit in (1 << 30, 90):
-        got = nearest.nearest(points, cents, block_bytes=limit)
+        got = nearest.nearest(points, cents, tile_bytes=limit)
         assert assignment(got) == {0: 3}
 
 
@@ -42,13 +42,13 @@ def test_blocks_agree_with_one_matrix(spark, metric):
     points, cents = vectors(spark, x).repartition(4), centroid_table(spark, c)
     points = points.unionAll(points.limit(5))  # repeated ids
     whole = nearest.nearest(points, cents, metric=metric)
-    split = nearest.nearest(points, cents, metric=metric, block_bytes=500)
+    split = nearest.nearest(points, cents, metric=metric, tile_bytes=500)
     score = x @ c.T if metric == "dot" else -((x[:, None] - c[None]) ** 2).sum(-1)
     want = dict(enumerate(score.argmax(axis=1).tolist()))
     assert assignment(whole) == want == assignment(split)
     assert whole.count() == split.count() == 305
     few = nearest.covered_centroids(points, cents)
-    many = nearest.covered_centroids(points, cents, block_bytes=500)
+    many = nearest.covered_centroids(points, cents, tile_bytes=500)
     if metric == "dot":
         assert {r[0] for r in few.collect()} == {r[0] for r in many.collect()} == set(want.values())
 
@@ -67,7 +67,7 @@ def test_null_keys_and_repeated_vectors_stay_with_many_blocks(spark):
     points = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.0]), ("c", [0.0, 1.0])], "uid string, vec array<float>")
     cents = centroid_table(spark, [[1.0, 0.0], [0.0, 1.0], [0.5, 0.5], [0.1, 0.9]])
     for limit in (1 << 30, 90):
-        got = nearest.nearest(points, cents, block_bytes=limit).collect()
+        got = nearest.nearest(points, cents, tile_bytes=limit).collect()
         assert sorted((r.uid or "", r.centroid_id) for r in got) == [("", 0), ("", 0), ("c", 1)]
 
 
@@ -94,6 +94,43 @@ def test_training_reads_its_input_once(spark, tmp_path):
     assert read.value == 60
 
 
+def test_short_tiles_are_never_opened(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    long, short = rng.normal(size=(20, 4)) * 10, rng.normal(size=(60, 4)) * 0.01
+    table = centroid_table(spark, np.concatenate([short, long])).orderBy(F.col("centroid_id")).coalesce(1)
+    ready = tiles.write_tiles(table, "centroid_id", "centroid", tile_bytes=20 * 4 * 8)
+    assert [t.rows for t in ready.tiles] == [20] * 4 and ready.tiles[0].low > ready.tiles[1].high
+    opened = []
+    read = ready.reader()
+    points = rng.normal(size=(50, 4))
+
+    def counted(tile):
+        opened.append(tile.name)
+        return read(tile)
+
+    best, score = nearest.best_in_tiles(points, ready, "dot", counted)
+    every = np.concatenate([short, long])
+    assert best.tolist() == (points @ every.T).argmax(1).tolist()
+    np.testing.assert_allclose(score, (points @ every.T).max(1))
+    assert set(opened) == {ready.tiles[0].name}
+    ready.drop()
+    with pytest.raises(FileNotFoundError):
+        ready.reader()(ready.tiles[0])
+
+
+def test_small_tiles_are_put_together_and_ids_may_be_texts(spark):
+    table = spark.createDataFrame([(f"k{i:03d}", [float(i), 1.0]) for i in range(40)], "k string, v array<float>").repartition(16)
+    ready = tiles.write_tiles(table, "k", "v")
+    assert len(ready.tiles) == 1 and ready.rows == 40 and (ready.tiles[0].low, ready.tiles[0].high) == (1.0, np.hypot(39, 1))
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.0, 1.0]), (4, None)], "id int, vec array<float>")
+    found = {r.id: r.m and r.m.id for r in nearest.best_of(points, ready, "vec", "dot", "m").collect()}
+    assert found == {1: "k039", 2: "k000", 3: "k000", 4: None}
+    with pytest.raises(ValueError, match="no vectors"):
+        tiles.write_tiles(table.limit(0), "k", "v")
+    with pytest.raises(ValueError, match="differ in length"):
+        tiles.write_tiles(table.unionAll(spark.createDataFrame([("x", [1.0])], table.schema)).repartition(1), "k", "v")
+
+
 def test_score_arrays(spark):
     points = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id int, vec array<float>")
     classes = spark.createDataFrame([(5, [1.0, 0.0]), (2, [0.0, 1.0])], "k int, p array<double>")
@@ -108,7 +145,7 @@ def test_lloyd_step_and_training(spark):
     start = centroid_table(spark, x[[0, 1, 70, 150]])
     label = ((x[:, None] - x[[0, 1, 70, 150]][None]) ** 2).sum(-1).argmin(1)
     for limit in (1 << 30, 200):
-        moved = clustering.kmeans_step(points, start, block_bytes=limit).collect()
+        moved = clustering.kmeans_step(points, start, tile_bytes=limit).collect()
         for r in moved:
             assert r.n == (label == r.centroid_id).sum()
             np.testing.assert_allclose(r.centroid, x[label == r.centroid_id].mean(axis=0))
@@ -134,7 +171,7 @@ def test_training_is_lloyds_algorithm(spark):
         label = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
         c = np.array([x[label == k].mean(0) if (label == k).any() else c[k] for k in range(7)])
     for limit in (1 << 30, 400):
-        got = clustering.train_kmeans(points, 7, 4, seed=3, block_bytes=limit).orderBy("centroid_id").collect()
+        got = clustering.train_kmeans(points, 7, 4, seed=3, tile_bytes=limit).orderBy("centroid_id").collect()
         np.testing.assert_allclose(np.array([r.centroid for r in got]), c)
 
 
@@ -162,7 +199,7 @@ def test_retrieval_recall_matches_the_score_matrix(spark, n_query, n_cand):
     cands = vectors(spark, c, "id", kind="bigint").repartition(3)
     table = spark.createDataFrame(pairs, "query_id bigint, candidate_id bigint")
     for limit in (1 << 30, 600):
-        row = retrieval.retrieval_recall(queries, cands, table, block_bytes=limit).first()
+        row = retrieval.retrieval_recall(queries, cands, table, tile_bytes=limit).first()
         assert row.queries == asked.sum()
         for k in want:
             assert abs(row[f"recall_{k}"] - want[k]) < 1e-12

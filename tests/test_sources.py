@@ -4,6 +4,8 @@ import os
 import tarfile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +227,54 @@ def test_vector_archives(spark, tmp_path):
     assert sorted((r.row_idx, r.uid) for r in scanned.collect()) == [(0, "u1"), (1, "u2")]
 
 
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+def test_vectors_of_the_rows_that_are_left(spark, tmp_path, save):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        folder = tmp_path / "with blank"
+        folder.mkdir()
+        for stem, n in (("a", 7000), ("b", 1), ("c", 300)):
+            ids = np.arange(n) + (ord(stem) - 96) * 100_000
+            pq.write_table(pa.table({"uid": ids, "text": [f"{stem} {i}" for i in range(n)]}), folder / f"{stem}.parquet", row_group_size=500)
+            save(folder / f"{stem}.npz", l14_img=np.stack([ids, -ids, np.ones(n)], 1).astype(np.float32))
+        rows = curation.pool_with_vectors(spark, str(folder), ["uid"], keep=lambda df: df.where("uid % 7 = 3 OR uid % 1000 = 5"))
+        got = {r.uid: r.vec for r in rows.collect()}
+        want = [i for stem, n in (("a", 7000), ("b", 1), ("c", 300)) for i in np.arange(n) + (ord(stem) - 96) * 100_000 if i % 7 == 3 or i % 1000 == 5]
+        assert got == {i: [float(i), float(-i), 1.0] for i in want}
+        assert rows.rdd.getNumPartitions() > 3
+        # rows in any order, columns of any name
+        mixed = curation.pool_positions(spark, str(folder), ["uid"]).repartition(5).withColumn("vec", F.lit(1))
+        assert {r.uid: r.vec[0] for r in vector_files.attach_vectors(mixed).collect()} == {r.uid: float(r.uid) for r in mixed.collect()}
+        assert vector_files.attach_vectors(mixed.limit(0)).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_ranges_of_one_archive(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_files, "RANGE_BYTES", 4000)
+    matrix = np.arange(30_000, dtype=np.float32).reshape(10_000, 3)
+    np.savez(tmp_path / "big.npz", l14_img=matrix)
+    rows = vector_files.read_npz(spark, str(tmp_path))
+    assert {r.row_idx: r.vec for r in rows.collect()} == dict(enumerate(matrix.tolist()))
+    archive = vector_files.VectorFile(str(tmp_path / "big.npz"), "l14_img")
+    assert archive.pick(np.array([0, 9_999])).tolist() == matrix[[0, 9_999]].tolist()
+    with pytest.raises(ValueError):
+        archive.rows(9_999, 10_001)
+    np.savez(tmp_path / "flat.npz", l14_img=np.zeros(3))
+    with pytest.raises(ValueError, match="one row per vector"):
+        vector_files.VectorFile(str(tmp_path / "flat.npz"), "l14_img")
+
+
+def test_archives_written_next_to_their_rows(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id AS uid", "array(cast(id AS float), 0.5f) AS vec").repartition(3)
+    files = vector_files.write_with_vectors(rows, str(tmp_path), half=True)
+    assert files.agg(F.sum("rows")).first()[0] == 50
+    back = curation.pool_with_vectors(spark, str(tmp_path), ["uid"])
+    assert {r.uid: r.vec for r in back.collect()} == {i: [float(i), 0.5] for i in range(50)}
+    with pytest.raises(Exception, match="needs a vector"):
+        vector_files.write_with_vectors(rows.withColumn("vec", F.expr("if(uid = 3, null, vec)")), str(tmp_path / "x"))
+
+
 def test_language_plugin(spark):
     df = spark.createDataFrame([("a\nb",), (None,), ("zz",)], "text string")
     detected = vector_files.detect_language(df, lambda: lambda lines: ["en" if t == "a b" else "xx" for t in lines])
