@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from poolsift.streaming.key_store import KeyStore
+
 
 def read_pool_stream(
     spark: SparkSession,
@@ -48,22 +49,25 @@ def process_once_per_key(
     work: Callable[[DataFrame], DataFrame],
     output: str,
     checkpoint: str,
+    per_bucket: int = 50_000,
 ) -> None:
     """Do ``work`` for keys without output yet, over restarts and repeated rows, then stop.
 
-    The output itself is the record of what is done, so no state grows with the keys. Every
-    batch has its own folder; a batch that is replayed after a failure replaces its
-    folder and only looks at earlier ones, which keeps the result exactly-once.
+    Finished keys lie in a :class:`~poolsift.streaming.key_store.KeyStore` next to the output, so a batch reads
+    only the buckets of its own keys. Every batch has its own folder; a batch that is replayed after a failure replaces its
+    folder and only looks at the keys of earlier ones, which keeps the result exactly-once.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        if batch_id > 0:
-            spark = batch.sparkSession
-            schema = T.StructType([batch.schema[key], T.StructField("batch_id", T.LongType())])
-            done = spark.read.schema(schema).option("basePath", output).parquet(output)
-            fresh = fresh.join(done.filter(F.col("batch_id") < batch_id), key, "left_anti")
-        work(fresh).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        store = KeyStore(batch.sparkSession, f"{output}/_keys", batch.schema[key].dataType, per_bucket)
+        rows = batch.dropDuplicates([key]).persist()
+        try:
+            fresh = store.without_seen(rows, key, batch_id).persist()
+            work(fresh).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+            store.add(fresh.select(key), batch_id)
+            fresh.unpersist()
+        finally:
+            rows.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(run)

@@ -3,6 +3,7 @@ from pyspark.sql import types as T
 
 from poolsift.operators.filters import clip_threshold
 from poolsift.streaming import incremental
+from poolsift.streaming.key_store import KeyStore
 
 SCHEMA = T.StructType(
     [T.StructField("uid", T.StringType()), T.StructField("clip_b32_similarity_score", T.DoubleType())]
@@ -44,3 +45,37 @@ def test_keys_are_worked_on_once(spark, tmp_path):
     run()
     uids = [r.uid for r in spark.read.parquet(out).collect()]
     assert len(uids) == len(set(uids)) == 80
+
+
+def keys_of(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "uid long")
+
+
+def test_a_batch_reads_its_own_buckets(spark, tmp_path):
+    sizes, files = [], []
+    for batch in range(12):
+        store = KeyStore(spark, str(tmp_path / "keys"), T.LongType(), per_bucket=20, most_files=3, first_buckets=16)
+        rows = keys_of(spark, *range(batch * 100, batch * 100 + 100))
+        asked = rows.where("uid % 100 < 4").unionAll(keys_of(spark, 0, 1))  # few keys, two of them old
+        left = sorted(r.uid for r in store.without_seen(asked.distinct(), "uid", batch).collect())
+        assert left == ([0, 1, 2, 3] if batch == 0 else [batch * 100 + i for i in range(4)])
+        sizes.append(store.bytes_read)
+        store.add(rows, batch)
+        files.append(store.layout["buckets"])
+    # the keys grow twelvefold, what six keys read does not
+    assert max(sizes[8:]) <= 2 * max(sizes[3:6]) and files[-1] > files[0]
+    total = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "keys"))
+    assert total.select("key").distinct().count() == 1200
+    assert len(list((tmp_path / "keys").glob("gen=*"))) == 1
+
+
+def test_replays_and_merges_change_nothing(spark, tmp_path):
+    make = lambda: KeyStore(spark, str(tmp_path / "keys"), T.LongType(), most_files=2, first_buckets=1)
+    for batch in range(5):
+        make().add(keys_of(spark, batch), batch)
+        make().add(keys_of(spark, batch), batch)  # replayed
+    store = make()
+    assert store.without_seen(keys_of(spark, 3, 4, 9), "uid", 4).orderBy("uid").collect() == [(4,), (9,)]  # only earlier batches count
+    assert len([f for f in (tmp_path / "keys").rglob("*.parquet")]) == 1
+    assert make().without_seen(keys_of(spark, 3, 4, 9), "uid", 5).collect() == [(9,)]
+    assert make().without_seen(keys_of(spark), "uid", 5).collect() == []
