@@ -86,9 +86,31 @@ def kmeans_step(spark, sf):
     return parts.select("centroid_id", F.col("pos").cast("bigint").alias("pos"), "n", F.round("x", 6).alias("x"))
 
 
-@check("kmeans_train")
+def _lloyd(steps: int, k: int) -> str:
+    """The steps of k-means written out one after the other, from the k points of the least hashes."""
+    parts = [
+        f"""c0 AS (SELECT CAST(row_number() OVER (ORDER BY md5('0:' || uid)) - 1 AS INTEGER) AS centroid_id, vec AS centroid
+            FROM pool_emb QUALIFY centroid_id < {k})"""
+    ]
+    for i in range(steps):
+        parts.append(
+            f"""p{i} AS (SELECT vec, centroid_id FROM (SELECT vec, centroid_id, row_number() OVER (PARTITION BY uid ORDER BY
+                list_inner_product(vec, centroid) - list_inner_product(centroid, centroid) / 2 DESC, centroid_id) AS place
+                FROM pool_emb, c{i}) WHERE place = 1),
+            m{i} AS (SELECT centroid_id, list(x ORDER BY pos) AS centroid FROM (SELECT centroid_id, pos, avg(x) AS x FROM (
+                SELECT centroid_id, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM p{i}) GROUP BY ALL) GROUP BY centroid_id),
+            c{i + 1} AS (SELECT c.centroid_id, coalesce(m.centroid, c.centroid) AS centroid FROM c{i} c LEFT JOIN m{i} m USING (centroid_id))"""
+        )
+    return f"""WITH {", ".join(parts)}
+        SELECT centroid_id, pos, round(x, 5) AS x FROM (
+            SELECT centroid_id, unnest(centroid) AS x, unnest(range(len(centroid))) AS pos FROM c{steps})"""
+
+
+@check("kmeans_train", _lloyd(5, 8))
 def kmeans_train(spark, sf):
-    return clustering.train_kmeans(pool_emb(spark, sf), k=8, iterations=5, seed=0)
+    trained = clustering.train_kmeans(pool_emb(spark, sf), k=8, iterations=5, seed=0)
+    parts = trained.select("centroid_id", F.posexplode("centroid").alias("pos", "x"))
+    return parts.select("centroid_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 5).alias("x"))
 
 
 @check(

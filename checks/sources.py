@@ -10,8 +10,9 @@ from poolsift.operators.filters import basic_filter
 from poolsift.operators.layout import assign_shards
 from poolsift.plans.resharding import reshard
 from poolsift.session import run_dir
-from poolsift.sources import audit, tables, tars
+from poolsift.sources import audit, csv_files, tables, tars
 from poolsift.sources.images import classify_images
+from poolsift.sources.storage import write_text
 from poolsift.streaming import incremental
 
 SHARD_SIZE = 500
@@ -96,13 +97,26 @@ def tar_reshard(spark, sf):
 
 @check("csv_roundtrip", "SELECT page_id, url, length(html) AS chars FROM pages")
 def csv_roundtrip(spark, sf):
+    """Pages as CSV (with quotes and line breaks inside of fields), read in ranges of 64 KB."""
     rows = table(spark, sf, "pages").select("page_id", "url", "html")
     folder = run_dir(spark, "csv")
     tables.write_csv(rows, folder)
-    back = tables.read_csv(spark, folder, rows.schema)
+    back = csv_files.read_csv(spark, folder, rows.schema, range_bytes=1 << 16)
     return back.select("page_id", "url", F.length("html").cast("bigint").alias("chars"))
 
 
+@check("csv_rejects", "SELECT count(*) AS rejected, CAST(sum(length(url)) AS BIGINT) AS chars FROM pages WHERE page_id % 5 = 0")
+def csv_rejects(spark, sf):
+    """Every fifth page written with a number that is none: rejected with its text."""
+    bad = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("no. "), F.col("page_id").cast("string"))).otherwise(F.col("page_id").cast("string"))
+    rows = table(spark, sf, "pages").select(bad.alias("page_id"), "url")
+    folder = run_dir(spark, "csv")
+    tables.write_csv(rows, folder)
+    found = csv_files.rejected(spark, folder, T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType())]), 1 << 16)
+    url = F.regexp_extract("record", r'^"no[.] [0-9]+","(.*)"$', 1)
+    return found.agg(F.count(F.lit(1)).alias("rejected"), F.sum(F.length(url)).cast("bigint").alias("chars"))
+
+
 @check(
     "file_audit",
     """
@@ -116,11 +130,21 @@ def csv_roundtrip(spark, sf):
     """,
 )
 def file_audit(spark, sf):
-    """Texts as files; a manifest that counts characters instead of bytes."""
+    """Texts written as files and hashed there; a manifest that counts characters instead of bytes."""
     docs = table(spark, sf, "documents")
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path")
     sha = F.sha2("text", 256).alias("sha256")
-    files = docs.select(path, F.octet_length("text").cast("bigint").alias("size"), sha)
+    folder = run_dir(spark, "files")
+
+    def write(batches):
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                write_text(f"{folder}/{name}", text)
+            yield batch.select([0])
+
+    names = docs.select(path, "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    files = audit.checksums(spark, folder).withColumn("path", F.substring_index("path", "/", -2))
     listed = docs.join(table(spark, sf, "labels"), "doc_id", "left_semi").select(path, F.col("n_chars").alias("size"), sha)
     items = table(spark, sf, "benchmark").select(
         F.concat(F.lit("item/"), F.col("item_id").cast("string")).alias("path"), F.length("text").cast("bigint").alias("size"), sha

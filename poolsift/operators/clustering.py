@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 
 from poolsift.functions.ids import seeded_hex
 from poolsift.functions.vectors import l2_normalize, norm
-from poolsift.operators.layout import hex_bucket, ordinals
+from poolsift.operators.layout import coarse_hex, hex_bucket, ordinals
 from poolsift.operators.nearest import best_in_tiles, best_of, centroid_tiles, nearest
 from poolsift.operators.sizing import fetch_if_small
 from poolsift.operators.tiles import TILE_BYTES, Tiles, to_matrix, write_tiles
-from poolsift.session import ensure_checkpoint_dir, run_dir
+from poolsift.session import run_dir
+from poolsift.sources.storage import drop_dir
 
 #: Per-cluster sums a task holds before it sends them on.
 PARTIAL_BYTES = 1 << 28
@@ -152,7 +153,7 @@ def seed_centroids(
     drawn = usable.filter(F.col("_draw") <= cut)
     if drawn.count() < k:  # practically never; then the cut-off is dropped
         drawn = usable
-    numbered = ordinals(drawn, hex_bucket(F.col("_draw"), 8), ["_draw"], output="_rank")
+    numbered = ordinals(drawn, hex_bucket(F.col("_draw"), 8), ["_draw"], output="_rank", coarse=coarse_hex)
     return numbered.filter(F.col("_rank") < k).select(
         F.col("_rank").cast("int").alias("centroid_id"), "centroid"
     )
@@ -171,29 +172,35 @@ def train_kmeans(
 
     The points are written to the shared folder once and every step reads them there, so
     what made them is not worked out again. Starts from a seeded draw of points. A cluster that loses all its points keeps its
-    centroid. The centroids of each step are checkpointed in the shared folder, so the
-    lineage does not grow and a lost executor costs one step at most.
+    centroid. The centroids of each step are written in the shared folder, so the
+    lineage does not grow and a lost executor costs one step at most; those of the step before are deleted. Once no
+    centroid moves, further steps would change nothing and are left out.
     """
-    spark = points.sparkSession
-    ensure_checkpoint_dir(spark)
     slim = points.select(*keys, vec)
-    folder = run_dir(spark, "kmeans-points")
-    slim.write.parquet(folder)
-    points = spark.read.schema(slim.schema).parquet(folder)
-    centroids = seed_centroids(points, k, seed, vec, keys).checkpoint()
+    points, points_dir = _written(slim, "kmeans-points")
+    centroids, folder = _written(seed_centroids(points, k, seed, vec, keys), "centroids")
     for _ in range(iterations):
         tiles = centroid_tiles(centroids, tile_bytes)
         moved = kmeans_step(points, tiles, vec, keys)
-        centroids = (
-            centroids.alias("old")
-            .join(moved.alias("new"), "centroid_id", "left")
-            .select("centroid_id", F.coalesce("new.centroid", "old.centroid").alias("centroid"))
-            .checkpoint()
-        )
-        tiles.drop()  # what follows reads the checkpoint
+        joined = centroids.alias("old").join(moved.alias("new"), "centroid_id", "left")
+        stays = F.col("new.centroid").isNull() | (F.col("new.centroid") == F.col("old.centroid"))
+        following, next_folder = _written(joined.select("centroid_id", F.coalesce("new.centroid", "old.centroid").alias("centroid"), stays.alias("_stays")), "centroids")
+        tiles.drop()
+        drop_dir(folder)
+        centroids, folder = following.drop("_stays"), next_folder
+        if following.where("NOT _stays").isEmpty():
+            break
+    drop_dir(points_dir)
     return centroids
 
 
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to a folder of its own and read from there, and the folder."""
+    folder = run_dir(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
 def inertia(points: DataFrame, centroids: DataFrame, vec: str = "vec", keys: Sequence[str] = ("uid",)) -> DataFrame:
     """One row: points and the sum of squared distances to the nearest centroid."""
     squared = F.aggregate(

@@ -1,21 +1,23 @@
 """Numbering, running totals and shard layout, all without a window over the whole table.
 
-The pattern is the same throughout: rows fall into ordered, bounded buckets; a small
+The pattern is the same throughout: rows fall into ordered, bounded buckets; the
 table of bucket totals gets an exclusive running sum; each row adds the start of its
-bucket to its place inside the bucket.
+bucket to its place inside the bucket. Where there may be many buckets (one per row, at worst), their totals are cut into ranges
+themselves, whose totals are one short array per group; so no step sorts a whole table or group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from poolsift.functions.text import shard_name
+from poolsift.session import saved
 
 #: Leading hex digits that make a bucket of a uniformly spread key.
 BUCKET_DIGITS = 4
@@ -24,14 +26,37 @@ BUCKET_WIDTH = 1 << 16
 
 
 def _exclusive_sum(
-    totals: DataFrame, within: Sequence[str], value: str, output: str, total: str | None = None
+    totals: DataFrame,
+    within: Sequence[str],
+    value: str,
+    output: str,
+    total: str | None = None,
+    coarse: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    group = W.partitionBy(*within)
-    before = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    columns = [F.coalesce(F.sum(value).over(before), F.lit(0)).alias(output)]
+    """Sum of ``value`` over all earlier buckets of the group.
+
+    The buckets are put into parts that keep their order: those of ``coarse``, which must have few values, or ranges, as many as
+    Spark has tasks. The part totals of a group are one array.
+    """
+    if coarse is not None:
+        parted = totals.withColumn("_part", coarse(F.col("_bucket")))
+    else:
+        tasks = int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = totals.repartitionByRange(tasks, *within, "_bucket")
+        # written, since a range must hold the same buckets whenever it is read
+        parted = saved(ranged.withColumn("_part", F.spark_partition_id()), "bucket-totals")
+    sums = parted.groupBy(*within, "_part").agg(F.sum(value).alias("_sum"))
+    listed = sums.groupBy(*within).agg(F.array_sort(F.collect_list(F.struct("_part", "_sum"))).alias("_parts"))
+    kind = sums.schema["_sum"].dataType
+    add = lambda parts: F.aggregate(parts, F.lit(0).cast(kind), lambda x, p: x + F.coalesce(p["_sum"], F.lit(0).cast(kind)))
+    earlier = F.transform("_parts", lambda p, i: F.struct(p["_part"].alias("_part"), add(F.slice("_parts", F.lit(1), i)).alias("_earlier")))
+    starts = listed.select(*within, add(F.col("_parts")).alias("_parts_sum"), F.explode(earlier).alias("_e")).select(*within, "_parts_sum", "_e._part", "_e._earlier")
+    before = W.partitionBy(*within, "_part").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    placed = parted.withColumn("_inside", F.coalesce(F.sum(value).over(before), F.lit(0))).join(starts, [*within, "_part"])
+    columns = [(F.col("_earlier") + F.col("_inside")).alias(output)]
     if total is not None:
-        columns.append(F.sum(value).over(group).alias(total))
-    return totals.select(*within, "_bucket", *columns)
+        columns.append(F.col("_parts_sum").alias(total))
+    return placed.select(*within, "_bucket", *columns)
 
 
 def ordinals(
@@ -40,16 +65,18 @@ def ordinals(
     order_by: Sequence[Column | str],
     within: Sequence[str] = (),
     output: str = "ordinal",
+    coarse: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """0-based row number in ``order_by`` order, per group of ``within``.
 
     ``bucket`` must never decrease along ``order_by`` and should cut the rows into many
     pieces of similar size; a group that holds a third of the table is then spread
-    over its buckets. Only one count per bucket goes through the running sum.
+    over its buckets. Only one count per bucket goes through the running sum. ``coarse`` gives a bucket's
+    part, where few parts that keep the order are known (see :func:`coarse_hex`).
     """
     keyed = df.withColumn("_bucket", bucket)
     counts = keyed.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = _exclusive_sum(counts, within, "_n", "_start")
+    starts = _exclusive_sum(counts, within, "_n", "_start", coarse=coarse)
     place = F.row_number().over(W.partitionBy(*within, "_bucket").orderBy(*order_by)) - 1
     return (
         keyed.withColumn("_place", place)
@@ -64,6 +91,11 @@ def hex_bucket(key: Column, digits: int = BUCKET_DIGITS) -> Column:
     return F.substring(key, 1, digits)
 
 
+def coarse_hex(bucket: Column) -> Column:
+    """One of 256 parts of hex buckets."""
+    return F.substring(bucket, 1, 2)
+
+
 def range_bucket(key: Column, width: int = BUCKET_WIDTH) -> Column:
     """Bucket of an integer key; follows the order of the key."""
     return F.floor(key / F.lit(width))
@@ -77,6 +109,7 @@ def exclusive_running_sum(
     within: Sequence[str] = (),
     bucket: Column | None = None,
     total: str | None = None,
+    coarse: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over all earlier rows in ``order_by`` order (unique per group).
 
@@ -86,7 +119,7 @@ def exclusive_running_sum(
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     keyed = df.withColumn("_bucket", range_bucket(F.col(order[0])) if bucket is None else bucket)
     totals = keyed.groupBy(*within, "_bucket").agg(F.sum(value).alias("_total"))
-    starts = _exclusive_sum(totals, within, "_total", "_start", total)
+    starts = _exclusive_sum(totals, within, "_total", "_start", total, coarse)
     before = W.partitionBy(*within, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     inside = F.coalesce(F.sum(value).over(before), F.lit(0))
     return (
@@ -126,7 +159,7 @@ def assign_shards(
     if shard_size < 1:
         raise ValueError("shard_size must be positive")
     numbered = ordinals(
-        samples, hex_bucket(F.col(order_hex)), [order_hex, *tie_break], output="_ordinal"
+        samples, hex_bucket(F.col(order_hex)), [order_hex, *tie_break], output="_ordinal", coarse=coarse_hex
     )
     return numbered.select(
         *samples.columns,
@@ -153,33 +186,56 @@ def assign_shards_by_size(
     A writer starts a new shard before a sample when the current one already has
     ``max_count`` samples or at least ``max_bytes`` bytes, and leaves its last shard partly
     filled. That rule looks back at all earlier samples of the writer, so it runs as a
-    pass over sorted rows that keeps two numbers in memory. ``balanced_buckets``
+    pass over its sorted sizes that jumps from border to border in their running sum. Only the order and the
+    sizes go through that pass, and one row per output shard comes back. ``balanced_buckets``
     gives writers of bounded size. Shard numbers follow writer order.
     """
-    columns = samples.columns
-    sorted_rows = samples.repartition(writer).sortWithinPartitions(writer, *order_by)
-    schema = T.StructType([*samples.schema.fields, T.StructField("_writer_shard", T.LongType())])
-
-    def roll(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, local, count, filled = None, 0, 0, 0
-        for frame in frames:
-            places = []
-            for who, n_bytes in zip(frame[writer], frame[size]):
-                if who != current:
-                    current, local, count, filled = who, 0, 0, 0
-                elif count >= max_count or filled >= max_bytes:
-                    local, count, filled = local + 1, 0, 0
-                count += 1
-                filled += n_bytes
-                places.append(local)
-            yield frame.assign(_writer_shard=places)
-
-    rolled = sorted_rows.mapInPandas(roll, schema)
-    shards = rolled.groupBy(writer).agg((F.max("_writer_shard") + 1).alias("_writer_shards"))
+    slim = samples.select(writer, F.struct(*order_by).alias("_at"), F.col(size).cast("bigint").alias("_size"))
+    ordered = slim.repartition(writer).sortWithinPartitions(writer, "_at")
+    borders = ordered.mapInArrow(_borders(max_count, max_bytes), slim.select(writer, "_at").schema)
+    listed = borders.groupBy(writer).agg(F.array_sort(F.collect_list("_at")).alias("_firsts"))
+    shards = listed.select(writer, F.size("_firsts").cast("bigint").alias("_writer_shards"))
     starts = exclusive_running_sum(shards, writer, "_writer_shards", "_writer_start")
-    return rolled.join(starts.select(writer, "_writer_start"), writer).select(
-        *columns, (F.col("_writer_start") + F.col("_writer_shard")).alias("shard_id")
-    )
+    known = listed.join(starts.select(writer, "_writer_start"), writer)
+    behind = F.size(F.filter("_firsts", lambda first: first <= F.struct(*order_by))) - 1
+    return samples.join(known, writer).select(*samples.columns, (F.col("_writer_start") + behind).alias("shard_id"))
+
+
+def _borders(max_count: int, max_bytes: float):
+    """The first row of every output shard, from rows (writer, place, size) sorted by writer and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, count, filled = None, 0, 0  # of the open shard
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(0).dictionary_encode()
+            ids = codes.indices.to_numpy(zero_copy_only=False)
+            sizes = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            firsts = []
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                name = codes.dictionary[int(ids[low])].as_py()
+                upto = np.concatenate([[0], np.cumsum(sizes[low:high])])
+                at = 0
+                if name != writer:
+                    writer, count, filled = name, 0, 0
+                    firsts.append(low)
+                while True:
+                    # rows that go into the open shard: until it has enough of either
+                    room = max(0, max_count - count)
+                    full = int(np.searchsorted(upto, upto[at] + max_bytes - filled, side="left")) if filled < max_bytes else at
+                    end = min(at + room, max(at, full), high - low)
+                    end = max(end, at + (count == 0))  # a shard has a row at least
+                    count, filled = count + end - at, filled + int(upto[end] - upto[at])
+                    at = end
+                    if at == high - low:
+                        break
+                    firsts.append(low + at)
+                    count, filled = 0, 0
+            yield batch.select([0, 1]).take(pa.array(firsts, pa.int64()))
+
+    return run
 
 
 def member_islands(

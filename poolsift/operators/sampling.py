@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolsift.functions.ids import hex_prefix_number, seeded_hex
-from poolsift.operators.layout import hex_bucket, ordinals
+from poolsift.operators.layout import coarse_hex, hex_bucket, ordinals
 from poolsift.operators.sizing import spread
 
 #: Draws that unfold from one row.
@@ -39,7 +39,7 @@ def _draws(quotas: DataFrame, group: str, seed: int) -> DataFrame:
 
 
 def _numbered(df: DataFrame, group: str, order_hex: str) -> DataFrame:
-    return ordinals(df, hex_bucket(F.col(order_hex), 3), [order_hex], within=[group])
+    return ordinals(df, hex_bucket(F.col(order_hex), 3), [order_hex], within=[group], coarse=coarse_hex)
 
 
 def sample_with_replacement(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from poolsift.session import run_dir
-from poolsift.sources.storage import atomic_output, locate
+from poolsift.sources.storage import atomic_output, drop_dir, locate
 
 #: Bytes of the vectors of one tile.
 TILE_BYTES = 64 << 20
@@ -81,9 +81,7 @@ class Tiles:
 
     def drop(self) -> None:
         """Delete the tiles; nothing may read them any more."""
-        system, place = locate(self.folder)
-        if system.get_file_info(place).type != fs.FileType.NotFound:
-            system.delete_dir(place)
+        drop_dir(self.folder)
 
     def reader(self) -> Callable[[Tile], tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
         """A function that opens a tile: ids, matrix, and all its columns. For use inside one task."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from poolsift.functions.ids import canonical_uid, sample_key, seeded_hex
 from poolsift.operators.layout import (
     assign_shards_by_size,
+    coarse_hex,
     exclusive_running_sum,
     hex_bucket,
     ordinals,
@@ -26,6 +27,8 @@ from poolsift.sources.tars import SOURCE, copy_samples, index_samples, shard_num
 NAME_FORMAT = "{:08d}.tar"
 #: Full shards of samples that one run of the byte-limited layout goes through.
 SHARDS_PER_RUN = 16
+#: Neighbouring samples of an input shard that stay together in a shuffled plan; their order is drawn when they are written.
+SHUFFLE_RUN = 256
 
 
 @dataclass(frozen=True)
@@ -51,7 +54,7 @@ def plan_copies(
     """Where every copy of every kept sample goes: ``shard_id, position`` and its source.
 
     Works on ids and places of members alone. Copies are numbered in input order, or in a seeded
-    order. Without a byte limit shards are filled exactly. With one, runs of samples
+    order of runs of :data:`SHUFFLE_RUN` neighbours, so an output shard takes from few input shards. Without a byte limit shards are filled exactly. With one, runs of samples
     are filled one after the other and each run may leave its last shard partly filled.
     """
     kept = (
@@ -76,13 +79,15 @@ def plan_copies(
     else:
         blocks = spread(copy_blocks(kept), "shard", "sample_idx", "_low")
         drawn = unfold_copies(blocks).withColumn(
-            "_order", seeded_hex(shuffle_seed, F.col("shard"), F.col("sample_idx"), F.col("copy"))
+            "_order",
+            seeded_hex(shuffle_seed, F.col("shard"), F.floor(F.col("sample_idx") / F.lit(SHUFFLE_RUN)), F.col("copy")),
         )
         numbered = ordinals(
             drawn,
             hex_bucket(F.col("_order")),
             ["_order", "shard", "sample_idx", "copy"],
             output="_ordinal",
+            coarse=coarse_hex,
         )
     numbered = numbered.withColumn("key", sample_key(F.col("uid"), F.col("copy")))
     if max_bytes is None:
@@ -145,7 +150,7 @@ def reshard(
     boxless = F.count_if("box_missing") if boxes is not None else F.lit(0)
     planned = plan.agg(F.max("shard_id").alias("last"), boxless.alias("boxless")).first()
     last = planned.last
-    written = copy_samples(plan, output_dir, 0 if last is None else last + 1, NAME_FORMAT, edit)
+    written = copy_samples(plan, output_dir, 0 if last is None else last + 1, NAME_FORMAT, edit, mix=shuffle_seed)
 
     read = index.agg(
         F.count_if(F.col("error").isNull()).alias("good"),

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job of this package is happy with, on a laptop or a cluster.
 SETTINGS = {
@@ -66,3 +66,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one run of a job."""
     return os.path.join(shared_dir(spark), "runs", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again: the lineage is cut, and what was finished is not lost."""
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -36,14 +36,18 @@ def atomic_output(path: str) -> Iterator:
     """Write to a file that appears under its name only once it is complete.
 
     A retried or duplicated task writes its own temporary file and then replaces the
-    same final file, so a lost executor leaves nothing half-written behind.
+    same final file, so a lost executor leaves nothing half-written behind. On an error the temporary file goes.
     """
     system, place = locate(path)
     folder, name = posixpath.split(place)
     system.create_dir(folder, recursive=True)
     temporary = posixpath.join(folder, f"_{uuid.uuid4().hex}.{name}.tmp")
-    with system.open_output_stream(temporary) as out:
-        yield out
+    try:
+        with system.open_output_stream(temporary) as out:
+            yield out
+    except BaseException:
+        system.delete_file(temporary)
+        raise
     system.move(temporary, place)
 
 
@@ -85,3 +89,10 @@ def delete_files(folder: str, names: list[str]) -> None:
     for name in names:
         if system.get_file_info(posixpath.join(place, name)).is_file:
             system.delete_file(posixpath.join(place, name))
+
+
+def drop_dir(path: str) -> None:
+    """Delete a folder and all in it, if it is there."""
+    system, place = locate(path)
+    if system.get_file_info(place).type == fs.FileType.Directory:
+        system.delete_dir(place)

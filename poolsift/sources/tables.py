@@ -86,19 +86,6 @@ def read_entity_ids(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:
-    """CSV with header, backslash escapes and line breaks in quotes; malformed rows dropped."""
-    return (
-        spark.read.schema(columns)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", "\\")
-        .option("mode", "DROPMALFORMED")
-        .csv(path)
-    )
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV for use outside; between stages use parquet, which loses nothing."""
     df.write.mode("overwrite").option("header", True).option("escape", "\\").option(

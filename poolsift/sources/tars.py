@@ -6,11 +6,14 @@ task that writes them, so images pass neither the JVM nor a shuffle.
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
 import posixpath
+import random
 import re
 import tarfile
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,6 +27,10 @@ MEMBER_NAME = re.compile(r"^((?:.*/|)[^.]+)[.]([^/]*)$")
 #: Bytes of member data per batch that leaves a task.
 BATCH_BYTES = 1 << 26
 BATCH_ROWS = 1 << 14
+#: Samples and their bytes that a mixed output shard holds back.
+MIX_SAMPLES, MIX_BYTES = 4_096, 1 << 28
+#: Input shards a copying task keeps open.
+OPEN_SHARDS = 64
 
 MEMBERS = (
     "path string, shard string, member_idx long, name string, prefix string, suffix string,"
@@ -232,36 +239,85 @@ class ShardFile:
         write_text(f"{self.folder}/{stats}", json.dumps({"successes": self.successes}))
         return self.name, self.successes, self.bytes, self.failed
 
+    def leave(self, problem: BaseException) -> None:
+        """Give up: the temporary file goes."""
+        with contextlib.suppress(type(problem)):
+            self._context.__exit__(type(problem), problem, problem.__traceback__)
 
-def _shard_task(folder: str, name_format: str, members_of: Callable) -> Callable:
+
+class MixedShard:
+    """An output shard whose samples come in input order and are written in a drawn one.
+
+    A buffer of bounded size holds samples; once it is full, each new one takes the place of a drawn one, which is written.
+    The draws depend on the seed and the shard, so a repeated task writes the same file.
+    """
+
+    def __init__(self, shard: ShardFile, seed: str, most_bytes: int, most: int) -> None:
+        self.shard, self.most_bytes, self.most = shard, most_bytes, most
+        self.draw, self.held, self.size = random.Random(seed), [], 0
+
+    def add(self, key: str, members: dict[str, bytes]) -> None:
+        self.held.append((key, members))
+        self.size += sum(map(len, members.values()))
+        while len(self.held) > self.most or self.size > self.most_bytes and len(self.held) > 1:
+            self._write()
+
+    def _write(self) -> None:
+        at = self.draw.randrange(len(self.held))
+        self.held[at], self.held[-1] = self.held[-1], self.held[at]
+        key, members = self.held.pop()
+        self.size -= sum(map(len, members.values()))
+        self.shard.add(key, members)
+
+    def flush(self) -> None:
+        while self.held:
+            self._write()
+
+
+def _shard_task(folder: str, name_format: str, members_of: Callable, mix: int | None = None) -> Callable:
     """A task body: rows sorted by shard in, one row of statistics per finished shard out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in WRITTEN.split(",")]
-        current, shard = None, None
+        current, shard, target = None, None, None
+
+        def close() -> pd.DataFrame:
+            if mix is not None:
+                target.flush()
+            return pd.DataFrame([shard.close()], columns=columns)
+
         with members_of() as fetch:
-            for frame in frames:
-                for row in frame.itertuples(index=False):
-                    if row.shard_id != current:
-                        if shard is not None:
-                            yield pd.DataFrame([shard.close()], columns=columns)
-                        current = row.shard_id
-                        shard = ShardFile(folder, name_format.format(int(current)))
-                    try:
-                        members = fetch(row)
-                    except Exception:  # noqa: BLE001 - an unreadable sample is counted
-                        shard.failed += 1
-                        continue
-                    shard.add(row.key, members)
-            if shard is not None:
-                yield pd.DataFrame([shard.close()], columns=columns)
+            try:
+                for frame in frames:
+                    for row in frame.itertuples(index=False):
+                        if row.shard_id != current:
+                            if shard is not None:
+                                yield close()
+                            current = row.shard_id
+                            target = shard = ShardFile(folder, name_format.format(int(current)))
+                            if mix is not None:
+                                target = MixedShard(shard, f"{mix}-{int(current)}", MIX_BYTES, MIX_SAMPLES)
+                        try:
+                            members = fetch(row)
+                        except Exception:  # noqa: BLE001 - an unreadable sample is counted
+                            shard.failed += 1
+                            continue
+                        target.add(row.key, members)
+                if shard is not None:
+                    yield close()
+            except BaseException as problem:
+                if shard is not None:
+                    shard.leave(problem)
+                raise
 
     return run
 
 
-def _by_shard(df: DataFrame, shards: int, max_tasks: int) -> DataFrame:
+def _by_shard(df: DataFrame, shards: int, max_tasks: int, *order: str) -> DataFrame:
+    """Whole shards per task, by ranges of their numbers: neighbours in a task, no task without any."""
     tasks = max(1, min(shards, max_tasks))
-    return df.repartition(tasks, "shard_id").sortWithinPartitions("shard_id", "position")
+    ranged = df.repartition(1) if tasks == 1 else df.repartitionByRange(tasks, "shard_id")
+    return ranged.sortWithinPartitions("shard_id", *order)
 
 
 class _InRow:
@@ -275,33 +331,38 @@ class _InRow:
 
 
 class _FromTar:
-    """Members read from their places in a shard; keeps the last shard open."""
+    """Members read from their places in a shard; keeps the last shards open."""
 
     def __init__(self, edit: Callable | None) -> None:
-        self.edit, self.path, self.file = edit, None, None
+        self.edit, self.files = edit, OrderedDict()
 
     def __enter__(self):
         return self.fetch
 
     def __exit__(self, *_):
-        if self.file is not None:
-            self.file.close()
+        for file in self.files.values():
+            file.close()
         return False
 
-    def _read(self, place: int, size: int) -> bytes:
-        self.file.seek(place)
-        data = self.file.read(size)
+    def _open(self, path: str):
+        if path not in self.files:
+            self.files[path] = open_input(path)
+            while len(self.files) > OPEN_SHARDS:
+                self.files.popitem(last=False)[1].close()
+        self.files.move_to_end(path)
+        return self.files[path]
+
+    def _read(self, path: str, place: int, size: int) -> bytes:
+        file = self._open(path)
+        file.seek(place)
+        data = file.read(size)
         if len(data) != size:
-            raise EOFError(f"{self.path} ends before {place + size}")
+            raise EOFError(f"{path} ends before {place + size}")
         return data
 
     def fetch(self, row) -> dict[str, bytes]:
-        if row.path != self.path:
-            if self.file is not None:
-                self.file.close()
-            self.path, self.file = row.path, open_input(row.path)
         members = {
-            suffix: self._read(int(place), int(size))
+            suffix: self._read(row.path, int(place), int(size))
             for suffix, place, size in zip(row.suffixes, row.data_at, row.sizes)
         }
         boxes = getattr(row, "boxes_json", None)
@@ -320,7 +381,7 @@ def write_samples(
     ``shards`` is the number of output shards, so that every task gets about one. The
     statistics are kept in ``<folder>/_shards`` and read back from there.
     """
-    rows = _by_shard(samples.select("shard_id", "position", "key", "members"), shards, max_tasks)
+    rows = _by_shard(samples.select("shard_id", "position", "key", "members"), shards, max_tasks, "position")
     return _run(rows, folder, name_format, _InRow)
 
 
@@ -331,19 +392,24 @@ def copy_samples(
     name_format: str = "{:08d}.tar",
     edit: Callable | None = None,
     max_tasks: int = 20_000,
+    mix: int | None = None,
 ) -> DataFrame:
     """Write planned copies: ``shard_id, position, key``, the columns of ``SOURCE``, maybe ``boxes_json``.
 
+    With a seed ``mix`` the samples of a shard are read in the order of their sources and written in a drawn one, through a
+    buffer of bounded size; so a task opens a source once, however its samples are to be mixed.
+
     ``boxes_json`` is written into the JSON member as ``face_bboxes``. ``edit(members, boxes)`` may
     change the members of a sample (blur an image, say).
     """
     columns = ["shard_id", "position", "key", *SOURCE]
     columns += ["boxes_json"] if "boxes_json" in plan.columns else []
-    rows = _by_shard(plan.select(*columns), shards, max_tasks)
-    return _run(rows, folder, name_format, lambda: _FromTar(edit))
+    order = ["position"] if mix is None else ["path", "position"]
+    rows = _by_shard(plan.select(*columns), shards, max_tasks, *order)
+    return _run(rows, folder, name_format, lambda: _FromTar(edit), mix)
 
 
-def _run(rows: DataFrame, folder: str, name_format: str, members_of: Callable) -> DataFrame:
-    written = rows.mapInPandas(_shard_task(folder, name_format, members_of), WRITTEN)
+def _run(rows: DataFrame, folder: str, name_format: str, members_of: Callable, mix: int | None = None) -> DataFrame:
+    written = rows.mapInPandas(_shard_task(folder, name_format, members_of, mix), WRITTEN)
     written.write.mode("overwrite").parquet(f"{folder}/_shards")
     return rows.sparkSession.read.parquet(f"{folder}/_shards")

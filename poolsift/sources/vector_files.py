@@ -129,9 +129,9 @@ def _members(spark: SparkSession, path: str, key: str, schema_: str, lines) -> D
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                archive = VectorFile(unquote(name), key)
+                archive = VectorFile(name, key)
                 archive.close()
-                yield pa.RecordBatch.from_pylist(list(lines(unquote(name), archive.member)), arrow)
+                yield pa.RecordBatch.from_pylist(list(lines(name, archive.member)), arrow)
 
     return names.mapInArrow(read, schema_)
 

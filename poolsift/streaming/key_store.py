@@ -13,12 +13,11 @@ from __future__ import annotations
 import json
 import posixpath
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from poolsift.sources.storage import entries, locate, open_input, write_text
+from poolsift.sources.storage import drop_dir, entries, locate, open_input, write_text
 
 LAYOUT = "_layout.json"
 
@@ -27,7 +26,7 @@ class KeyStore:
     """``folder/gen=<generation>/bucket=<number>/*.parquet`` with the columns ``key`` and ``batch``."""
 
     def __init__(
-        self, spark: SparkSession, folder: str, kind: T.DataType, per_bucket: int = 50_000, most_files: int = 16, first_buckets: int = 64
+        self, spark: SparkSession, folder: str, kind: T.DataType, per_bucket: int = 50_000, most_files: int = 16, first_buckets: int = 16
     ) -> None:
         self.spark, self.folder, self.per_bucket, self.most_files = spark, folder, per_bucket, most_files
         self.schema = T.StructType([T.StructField("key", kind), T.StructField("batch", T.LongType())])
@@ -89,9 +88,7 @@ class KeyStore:
         self.layout = {"generation": generation, "buckets": buckets, "keys": count}
         write_text(posixpath.join(self.folder, LAYOUT), json.dumps(self.layout))
         if generation != old:
-            system, place = locate(self._generation(old))
-            if system.get_file_info(place).type == fs.FileType.Directory:
-                system.delete_dir(place)
+            drop_dir(self._generation(old))
 
     def _write(self, rows: DataFrame, generation: int, mode: str) -> None:
         # a bucket's keys go to one file, so a batch adds one file per bucket at most

@@ -30,6 +30,47 @@ def test_running_sums_across_buckets(spark):
         start += size
 
 
+def test_ten_million_buckets_of_one_row(spark):
+    sizes = spark.range(10_000_000).selectExpr("id * 70000 AS shard_id", "id % 7 AS size")
+    got = layout.shard_offsets(sizes).selectExpr("shard_id div 70000 AS i", "data_start")
+    assert got.where("data_start <> (i div 7) * 21 + (i % 7) * (i % 7 - 1) div 2").count() == 0
+
+
+def test_no_window_over_a_whole_table(spark):
+    rows = spark.range(50).selectExpr("md5(cast(id AS string)) AS h", "id AS shard_id", "1L AS size", "concat(id, '.tar') AS name", "id % 3 AS w")
+    for df in (
+        layout.shard_offsets(rows),
+        layout.balanced_buckets(rows, 3),
+        layout.assign_shards(rows, "h", 7),
+        layout.assign_shards_by_size(rows, "w", ["h"], "size", 5, 100),
+        layout.renumber_shards(rows),
+        layout.ordinals(rows, layout.range_bucket(F.col("shard_id"), 4), ["shard_id"]),
+    ):
+        plan = df._jdf.queryExecution().toString()
+        assert "SinglePartition" not in plan or "Window" not in plan.split("SinglePartition")[0].rsplit("Exchange", 1)[0][-300:]
+        df.collect()
+
+
+@pytest.mark.parametrize("most, most_bytes", [(3, 1e9), (100, 50), (4, 30), (1, 1), (5, 0)])
+def test_roll_over_agrees_with_a_loop(spark, most, most_bytes):
+    rng = random.Random(most)
+    rows = [(w, i, rng.choice([0, 1, 10, 40])) for w in range(5) for i in range(rng.choice([1, 30, 60]))]
+    want, shard = {}, -1
+    for w in range(5):
+        count = None
+        for _, i, size in [r for r in rows if r[0] == w]:
+            if count is None or count >= most or filled >= most_bytes:
+                shard, count, filled = shard + 1, 0, 0
+            count, filled = count + 1, filled + size
+            want[w, i] = shard
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = layout.assign_shards_by_size(spark.createDataFrame(rows, "w long, i long, size long").repartition(4), "w", ["i"], "size", most, most_bytes)
+        assert {(r.w, r.i): r.shard_id for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_bucket_border_goes_right(spark):
     sizes = spark.createDataFrame([(i, 5) for i in range(4)], "shard_id long, size long")
     got = {r.shard_id: r.bucket for r in layout.balanced_buckets(sizes, 2).collect()}

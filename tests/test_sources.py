@@ -9,11 +9,11 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from poolsift.plans import curation
+from poolsift.plans import curation, resharding
 from poolsift.plans.curation import curate_to, curate_to_subset_file
 from poolsift.operators.filters import FilterSpec
 from poolsift.plans.resharding import plan_copies, reshard
-from poolsift.sources import audit, images, subset_files, tables, tars, vector_files
+from poolsift.sources import audit, csv_files, images, subset_files, tables, tars, vector_files
 
 
 def write_tar(path, members):
@@ -210,6 +210,54 @@ def test_reshard_by_bytes_and_in_seeded_order(spark, shards, tmp_path):
     assert all(name.endswith(".json") for m in out_samples(out).values() for name, _ in m)
 
 
+def test_a_shuffled_reshard_opens_a_source_once_per_task(spark, tmp_path, monkeypatch):
+    from pyspark import TaskContext
+
+    folder, log = tmp_path / "shards", tmp_path / "opens"
+    folder.mkdir()
+    log.mkdir()
+    for number in range(6):
+        ids = [f"{number * 100 + i:032x}" for i in range(100)]
+        write_tar(folder / f"{number:08d}.tar", [m for u in ids for m in ((f"{u}.json", json.dumps({"uid": u}).encode()), (f"{u}.jpg", u.encode()))])
+    subset = spark.range(600).selectExpr("format_string('%032x', id) AS uid").unionAll(spark.createDataFrame([(f"{7:032x}",)] * 3, "uid string"))
+    plain = tars.open_input
+
+    def logged(path, folder=str(log)):
+        with open(f"{folder}/{TaskContext.get().stageId()}-{TaskContext.get().partitionId()}", "a") as file:
+            file.write(path + "\n")
+        return plain(path)
+
+    index = tars.index_samples(spark, str(folder)).cache()
+    monkeypatch.setattr(resharding, "SHUFFLE_RUN", 10)
+    monkeypatch.setattr(tars, "MIX_SAMPLES", 20)
+    monkeypatch.setattr(tars, "open_input", logged)
+    reports = [reshard(spark, str(folder), subset, str(tmp_path / f"out{i}"), 50, index=index, shuffle_seed=5) for i in range(2)]
+    monkeypatch.undo()
+    opened = [file.read_text().split() for file in log.iterdir()]
+    assert opened and all(len(paths) == len(set(paths)) for paths in opened)
+    assert [(r.output_count, r.output_shard_count) for r in reports] == [(603, 13)] * 2
+    one, two = (out_samples(str(tmp_path / f"out{i}")) for i in range(2))
+    assert one == two
+    keys = [name.split(".")[0].split("-")[0] for n in sorted(one) for name, _ in one[n] if name.endswith(".json")]
+    assert sorted(keys) == sorted([f"{i:032x}" for i in range(600)] + [f"{7:032x}"] * 3)
+    # neighbours of the input are apart, and an output shard holds samples of several inputs
+    near = sum(abs(int(a, 16) - int(b, 16)) == 1 for a, b in zip(keys, keys[1:]))
+    assert near < 120
+    mixed = [len({int(name.split("-")[0], 16) // 100 for name, _ in members}) for members in one.values()]
+    assert sum(n > 1 for n in mixed) >= 10
+
+
+def test_a_failed_write_leaves_no_temporary_file(tmp_path):
+    from poolsift.sources.storage import atomic_output
+
+    with pytest.raises(KeyError), atomic_output(str(tmp_path / "x")) as out:
+        out.write(b"half")
+        raise KeyError
+    shard = tars.ShardFile(str(tmp_path), "y.tar")
+    shard.leave(ValueError("no"))
+    assert list(tmp_path.iterdir()) == []
+
+
 # -- the rest -----------------------------------------------------------------
 
 
@@ -335,8 +383,70 @@ def test_csv_keeps_awkward_captions(spark, tmp_path):
     rows = [('say "hi", \\ there', 1.0), ("two\nlines", 2.0), ("", 3.0), ("ünï", 4.0)]
     df = spark.createDataFrame(rows, "text string, s double")
     tables.write_csv(df, str(tmp_path / "c"))
-    back = tables.read_csv(spark, str(tmp_path / "c"), df.schema)
-    assert sorted((r.text or "", r.s) for r in back.collect()) == sorted(rows)
+    for size in (None, 7, 1):
+        back = csv_files.read_csv(spark, str(tmp_path / "c"), df.schema, size)
+        assert sorted((r.text or "", r.s) for r in back.collect()) == sorted(rows)
+
+
+def plain_records(raw):
+    """Records of a file, character by character."""
+    out, held, start, inside, taken = [], bytearray(), 0, False, False
+    for i, c in enumerate(raw):
+        if c == 10 and not inside and not taken:
+            out.append((start, bytes(held)))
+            held, start = bytearray(), i + 1
+            continue
+        inside ^= c == 34 and not taken
+        taken = c == 92 and not taken
+        held.append(c)
+    if held:
+        out.append((start, bytes(held)))
+    return [(at, r[:-1] if r.endswith(b"\r") else r) for at, r in out if r not in (b"", b"\r")]
+
+
+def test_csv_records_whatever_the_ranges(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    for i in range(4):
+        raw = bytes(rng.choice(np.frombuffer(b'ab"\\\n\r,', np.uint8), 300, p=[0.2, 0.2, 0.15, 0.15, 0.15, 0.05, 0.1]).tolist())
+        (tmp_path / f"{i}.csv").write_bytes(raw)
+    (tmp_path / "empty.csv").write_bytes(b"")
+    want = sorted((f"{i}.csv", at, r.decode()) for i in range(4) for at, r in plain_records((tmp_path / f"{i}.csv").read_bytes()))
+    for size in (1000, 64, 5, 1):
+        got = csv_files.read_records(spark, str(tmp_path), size).collect()
+        assert sorted((os.path.basename(r.path), r.place, r.record) for r in got) == want
+
+
+def test_malformed_csv_comes_out_with_its_text(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('id,text\n1,"a\nb"\ntwo,"c"\n3,"d",extra\n4\n5,"e"\n')
+    columns = tables.T.StructType([tables.T.StructField("id", tables.T.LongType()), tables.T.StructField("text", tables.T.StringType())])
+    for size in (None, 4):
+        assert sorted(tuple(r) for r in csv_files.read_csv(spark, str(tmp_path), columns, size).collect()) == [(1, "a\nb"), (5, "e")]
+        bad = csv_files.rejected(spark, str(tmp_path), columns, size).orderBy("place").collect()
+        assert [(r.place, r.record) for r in bad] == [(16, 'two,"c"'), (24, '3,"d",extra'), (36, "4")]
+
+
+def test_checksums_of_files_over_two_gigabytes(spark, tmp_path):
+    import hashlib
+
+    with open(tmp_path / "large", "wb") as file:
+        file.truncate(3 << 30)
+    (tmp_path / "small").write_bytes(b"abc")
+    (tmp_path / "none").write_bytes(b"")
+    got = {os.path.basename(r.path): (r.size, r.sha256) for r in audit.checksums(spark, str(tmp_path)).collect()}
+    sha = hashlib.sha256()
+    for _ in range(3 << 6):
+        sha.update(bytes(1 << 24))
+    assert got == {"large": (3 << 30, sha.hexdigest()), "small": (3, hashlib.sha256(b"abc").hexdigest()), "none": (0, hashlib.sha256(b"").hexdigest())}
+
+
+def test_tree_checksums(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a").write_bytes(b"0123456789")
+    (tmp_path / "b").write_bytes(b"")
+    digest = lambda *parts: hashlib.sha256("".join(hashlib.sha256(p).hexdigest() for p in parts).encode()).hexdigest()
+    got = {os.path.basename(r.path): r.tree_sha256 for r in audit.tree_checksums(spark, str(tmp_path), range_bytes=4).collect()}
+    assert got == {"a": digest(b"0123", b"4567", b"89"), "b": digest(b"")}
 
 
 def test_joined_shards_are_one_folder_each(spark, tmp_path):
