@@ -4,15 +4,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.base import check
+from checks.captions import STATUS_SQL, outcomes
 from checks.filters import BASIC_SQL
-from checks.views import boxes, doc_uid, pool, subset, table
+from checks.views import boxes, centroids, doc_uid, pool, shard_rows, subset, table
+from poolsift.functions.text import path_stem
 from poolsift.operators.filters import basic_filter
 from poolsift.operators.layout import assign_shards
+from poolsift.operators.metadata import join_metadata
+from poolsift.operators.metrics.rollup import latest_results
 from poolsift.plans.resharding import reshard
 from poolsift.session import run_dir
-from poolsift.sources import audit, csv_files, tables, tars
+from poolsift.sources import audit, csv_files, images, tables, tars
 from poolsift.sources.images import classify_images
-from poolsift.sources.storage import write_text
+from poolsift.sources.storage import atomic_output, write_text
+from poolsift.sources.vector_files import embed_with, write_vectors
 from poolsift.streaming import incremental
 
 SHARD_SIZE = 500
@@ -234,3 +239,117 @@ def stream_resume(spark, sf):
             f"{folder}/checkpoint",
         )
     return spark.read.parquet(f"{folder}/out").select("doc_id", "chars")
+
+
+@check("boxes_file", "SELECT uid, len(face_bboxes) AS n, face_bboxes[1][1] AS x FROM boxes")
+def boxes_file(spark, sf):
+    """Face boxes under ids in capitals, written and read with canonical ids."""
+    folder = run_dir(spark, "boxes")
+    boxes(spark, sf).withColumn("uid", F.upper("uid")).write.parquet(folder)
+    back = tables.read_boxes(spark, folder)
+    return back.select("uid", F.size("face_bboxes").cast("bigint").alias("n"), F.get(F.get("face_bboxes", F.lit(0)), F.lit(0)).alias("x"))
+
+
+@check("word_list", "SELECT DISTINCT lang || '-' || source AS value FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def word_list(spark, sf):
+    """A list with blanks at the ends and empty lines, as text files."""
+    folder = run_dir(spark, "words")
+    value = F.concat(F.lit("  "), "lang", F.lit("-"), "source", F.lit(" \n"))
+    table(spark, sf, "documents").select(value.alias("value")).distinct().dropna().write.text(folder)
+    return tables.read_lines(spark, folder)
+
+
+@check("entity_ids", "SELECT CAST(item_id AS INTEGER) AS synset_offset FROM benchmark")
+def entity_ids(spark, sf):
+    folder = run_dir(spark, "entities")
+    table(spark, sf, "benchmark").select(F.format_string("n%08d", "item_id").alias("value")).write.text(folder)
+    return tables.read_entity_ids(spark, folder)
+
+
+@check("lines_in_files", "SELECT CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n FROM benchmark")
+def lines_in_files(spark, sf):
+    """Lines per text file, added up over the files."""
+    folder = run_dir(spark, "lines")
+    table(spark, sf, "benchmark").select("text").repartition(3).write.text(folder)
+    return tables.lines_per_file(spark, folder).agg(F.sum("n").alias("n"))
+
+
+@check("sidecar_texts", "SELECT CAST(item_id AS VARCHAR) AS stem, length(trim(text)) AS chars FROM benchmark")
+def sidecar_texts(spark, sf):
+    """Texts next to images: every second one in Latin-1 where it can be."""
+    folder = run_dir(spark, "sidecars")
+
+    def write(batches):
+        for batch in batches:
+            for number, text in zip(*(c.to_pylist() for c in batch.columns)):
+                latin = number % 2 and text.encode("latin-1", "replace").decode("latin-1") == text
+                with atomic_output(f"{folder}/{number % 10}/{number}.txt") as out:
+                    out.write(text.encode("latin-1" if latin else "utf-8"))
+            yield batch.select([0])
+
+    rows = table(spark, sf, "benchmark").select("item_id", "text").repartition(4)
+    rows.mapInArrow(write, "item_id long").write.format("noop").mode("overwrite").save()
+    texts = images.read_sidecars(spark, folder)
+    return texts.select(path_stem(F.col("path")).alias("stem"), F.length("alt_text").cast("bigint").alias("chars"))
+
+
+@check("results_appended", "SELECT 'd' || CAST(item_id AS VARCHAR) AS dataset, item_id / 8.0::DOUBLE AS acc1 FROM benchmark")
+def results_appended(spark, sf):
+    """Result lines appended twice; the later ones count."""
+    folder = run_dir(spark, "results")
+    rows = table(spark, sf, "benchmark").select(
+        F.lit("k").alias("key"), F.concat(F.lit("d"), F.col("item_id").cast("string")).alias("dataset"), (F.col("item_id") / 8).alias("acc1")
+    )
+    for value in (F.lit(0.0), F.col("acc1")):
+        tables.append_results(rows.select("key", "dataset", F.create_map(F.lit("acc1"), value, F.lit("acc5"), F.lit(None).cast("double")).alias("metrics")), folder)
+    latest = latest_results(tables.read_results(spark, folder))
+    return latest.select("dataset", F.try_element_at("metrics", F.lit("acc1")).alias("acc1"))
+
+
+@check("failed_file", f"SELECT event_id, status FROM ({STATUS_SQL}) WHERE status = 'failed'")
+def failed_file(spark, sf):
+    """The error side file, written and read back."""
+    folder = run_dir(spark, "failed")
+    rows = outcomes(spark, sf).select("event_id", "status")
+    tables.write_failed(rows, folder)
+    return spark.read.schema(rows.schema).json(folder)
+
+
+@check(
+    "joined_shards",
+    """
+    SELECT s.uid, s.shard, p.lang, p.uid IS NOT NULL AS matched FROM shard_rows s LEFT JOIN pool p ON s.uid = p.uid
+    """,
+)
+def joined_shards(spark, sf):
+    """Shards joined with their metadata, one folder per shard, read back as one table."""
+    folder = run_dir(spark, "joined")
+    rows = shard_rows(spark, sf)
+    tables.write_joined_shards(join_metadata(rows, pool(spark, sf).select("uid", "lang")), folder)
+    return spark.read.parquet(folder).select("uid", "shard", "lang", "matched")
+
+
+@check(
+    "vector_file",
+    "SELECT centroid_id, round(list_sum(centroid), 5) AS total FROM centroids",
+)
+def vector_file(spark, sf):
+    """Centroids as the file every operator reads."""
+    folder = run_dir(spark, "centroids")
+    write_vectors(centroids(spark, sf), folder)
+    total = F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x)
+    return spark.read.parquet(folder).select("centroid_id", F.round(total, 5).alias("total"))
+
+
+@check("user_model", "SELECT doc_id, length(text)::DOUBLE AS chars, len(string_split(text, ' '))::DOUBLE AS words FROM documents WHERE text IS NOT NULL")
+def user_model(spark, sf):
+    """A user's function over batches: two figures per text in place of a model's vector."""
+
+    def model(frames):
+        for frame in frames:
+            frame["vec"] = [[float(len(t)), float(len(t.split(" ")))] for t in frame.pop("text")]
+            yield frame
+
+    texts = table(spark, sf, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    rows = embed_with(texts, model, "doc_id long, vec array<double>")
+    return rows.select("doc_id", F.get("vec", F.lit(0)).alias("chars"), F.get("vec", F.lit(1)).alias("words"))

@@ -129,7 +129,7 @@ def text_entity_filter(
 
     The words of the lexicon that lead to an entity are measured. A list that is small goes to
     the tasks, and the test is part of the scan: nothing is shuffled. A longer one is joined
-    with the distinct words of each caption.
+    with the distinct words of each caption, and the ids and digests that hit with the rows.
     """
     leading = lexicon.select("word", "synset_offset").join(
         entities.select("synset_offset").distinct(), "synset_offset", "left_semi"
@@ -140,14 +140,12 @@ def text_entity_filter(
     if listed is not None:
         shipped = pool.sparkSession.sparkContext.broadcast(listed.column("_word").combine_chunks())
         return english.filter(_holds_any(shipped)(words(F.col("text"))))
-    kept = (
-        english.withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("_word", F.explode(F.array_distinct(words(F.col("text")))))
-        .join(hits, "_word", "left_semi")
-        .drop("_word")
-    )
-    rest = [c for c in kept.columns if c != "_row"]
-    return kept.groupBy("_row").agg(*[F.first(c).alias(c) for c in rest]).drop("_row")
+    # only ids, digests and words are shuffled; rows equal in id and text share their answer
+    keyed = english.withColumn("_digest", F.md5("text"))
+    spoken = keyed.select("uid", "_digest", F.explode(F.array_distinct(words(F.col("text")))).alias("_word"))
+    found = spoken.join(hits, "_word", "left_semi").select(F.col("uid").alias("_uid"), F.col("_digest").alias("_found")).distinct()
+    same = F.col("uid").eqNullSafe(F.col("_uid")) & (F.col("_digest") == F.col("_found"))
+    return keyed.join(found, same, "left_semi").drop("_digest")
 
 
 def _holds_any(listed: Broadcast):
