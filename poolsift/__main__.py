@@ -11,7 +11,8 @@ from pyspark.sql import SparkSession
 from poolsift.operators.clustering import train_kmeans
 from poolsift.operators.filters import FILTERS, FilterInputs, FilterSpec
 from poolsift.plans import curation
-from poolsift.plans.evaluation import leaderboard
+from poolsift.plans.captions import refine_captions
+from poolsift.plans.evaluation import evaluate_to, leaderboard
 from poolsift.plans.resharding import reshard
 from poolsift.session import build_session
 from poolsift.sources import tables
@@ -117,6 +118,16 @@ def scores(spark: SparkSession, args: argparse.Namespace) -> None:
     leaderboard(tables.read_results(spark, args.results), tasks).orderBy("name").show(truncate=False)
 
 
+def evaluate_job(spark: SparkSession, args: argparse.Namespace) -> None:
+    added = evaluate_to(spark.read.parquet(args.predictions), tables.read_tasks(spark, args.tasks), args.results)
+    print(f"{added.count()} result lines added")
+
+
+def captions_job(spark: SparkSession, args: argparse.Namespace) -> None:
+    make = named_function(args.captioner)
+    refine_captions(spark, args.image_dir, args.captions, args.output_dir, make, args.resume).show()
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="poolsift", description=__doc__)
     jobs = top.add_subparsers(dest="job", required=True)
@@ -166,6 +177,10 @@ def parser() -> argparse.ArgumentParser:
     job("profile", profile, "metadata_dir", "keywords", "save_path")
     job("join", join, "shards_dir", "metadata_dir", "save_path")
     job("leaderboard", scores, "results", "tasks")
+    job("evaluate", evaluate_job, "predictions", "tasks", "results")
+    sub = job("captions", captions_job, "image_dir", "captions", "output_dir")
+    sub.add_argument("--captioner", required=True, help="module:function from a table of images to filename, new_caption")
+    sub.add_argument("--resume", action="store_true", help="leave out files that have a new caption already")
     return top
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from poolsift.operators.metrics.classification import (
     balanced_accuracy,
@@ -15,7 +17,10 @@ from poolsift.operators.metrics.classification import (
 )
 from poolsift.operators.metrics.groupwise import fairness_metrics, worst_group, worst_year_region
 from poolsift.operators.metrics.retrieval import both_ways, jaccard_by_size, retrieval_recall_from_scores
-from poolsift.operators.metrics.rollup import groups_table, latest_results, score_rollup, with_main_metric
+from poolsift.operators.metrics.rollup import groups_table, latest_results, metric_family, score_rollup, with_main_metric
+from poolsift.session import saved
+from poolsift.sources.storage import entries
+from poolsift.sources.tables import append_results, read_results
 
 
 def classification_metrics(preds: DataFrame) -> DataFrame:
@@ -78,6 +83,39 @@ def evaluate(
     return METRICS[family](predict(preds) if predict else preds)
 
 
+def evaluate_to(preds: DataFrame, tasks: DataFrame, path: str, predict: Callable[[DataFrame], DataFrame] | None = with_prediction) -> DataFrame:
+    """Result lines of the datasets of ``preds`` that have none in the folder ``path``; returns the lines added.
+
+    ``tasks`` is the registry (``key, name, main_metric``). Datasets with a line of a registered key are skipped, so a run that broke off
+    goes on where it stopped. Datasets of the classification family are scored in one pass, others one at a time (a registry
+    has a few dozen). ``main_metric`` is the metric that the task names.
+    """
+    spark = preds.sparkSession
+    named = tasks.select(F.col("name").alias("dataset"), "key", F.coalesce("main_metric", F.lit("acc1")).alias("_metric"))
+    named = named.withColumn("_family", metric_family(F.col("key")))
+    if entries(path):
+        known = read_results(spark, path).join(tasks.select("key"), "key", "left_semi").select("dataset").distinct()
+        named = named.join(known, "dataset", "left_anti")
+    open_ = named.join(preds.select("dataset").distinct(), "dataset", "left_semi").collect()  # a row per task
+    at_once = [r.dataset for r in open_ if r._family == "classification"]
+    parts = []
+    if at_once:
+        parts.append(evaluate(preds.where(F.col("dataset").isin(at_once)), "classification", predict))
+    for row in open_:
+        if row._family in METRICS and row._family != "classification":
+            found = evaluate(preds.where(F.col("dataset") == row.dataset), row._family, predict)
+            numbers = [f.name for f in found.schema.fields if isinstance(f.dataType, T.NumericType)]
+            pairs = [x for c in numbers for x in (F.lit(c), F.col(c).cast("double"))]
+            parts.append(found.select(F.lit(row.dataset).alias("dataset"), F.create_map(*pairs).alias("metrics")))
+    schema = "dataset string, metrics map<string,double>"
+    scored = reduce(DataFrame.unionAll, parts, spark.createDataFrame([], schema))
+    main = F.create_map(F.lit("main_metric"), F.try_element_at("metrics", F.col("_metric")))
+    lines = scored.join(named, "dataset").select("key", "dataset", F.map_concat(F.map_filter("metrics", lambda k, _: k != "main_metric"), main).alias("metrics"))
+    lines = saved(lines, "result-lines")
+    append_results(lines, path)
+    return lines
+
+
 def leaderboard(results: DataFrame, tasks: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Group means and overall mean from appended result lines."""
     scored = with_main_metric(latest_results(results), tasks)

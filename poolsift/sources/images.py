@@ -49,10 +49,10 @@ def classify_images(
 
 
 def decode_text(content: Column) -> Column:
-    """UTF-8 where the bytes are valid, else Latin-1; trimmed."""
+    """UTF-8 where the bytes are valid, else Latin-1; without blanks and line breaks at the ends."""
     # encode/decode of iso-8859-1 maps every byte, so the fallback cannot fail.
     utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.trim(F.coalesce(utf8, F.decode(content, "ISO-8859-1")))
+    return F.regexp_replace(F.coalesce(utf8, F.decode(content, "ISO-8859-1")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
 def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,6 +10,7 @@ from poolsift.__main__ import main
 from poolsift.operators.filters import basic_filter, clip_top_fraction
 from poolsift.operators.metrics import rollup
 from poolsift.plans import curation
+from poolsift.plans.captions import refine_captions
 from poolsift.plans.evaluation import METRICS, evaluate
 from poolsift.sources import tables
 from poolsift.sources.subset_files import read_subset
@@ -95,3 +96,51 @@ def test_curate_with_a_detector(spark, tmp_path, monkeypatch):
     main(["curate", "--name", "basic_filter", "--metadata_dir", str(tmp_path / "pool"), "--save_path", str(tmp_path / "out"),
           "--detector", "own_detector:make"])
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_evaluation_goes_on_where_it_stopped(spark, tmp_path):
+    (tmp_path / "tasks.yml").write_text("a:\n  name: A\nb:\n  name: B\n  main_metric: mean_per_class_recall\nfairness/geode:\n  name: G\nc:\n  name: C\n")
+    rows = [(d, i, [float((i + shift) % 3 == c) for c in range(3)], i % 3, "x" if i % 2 else "y") for d, shift in (("A", 0), ("B", 1), ("G", 0)) for i in range(12)]
+    preds = spark.createDataFrame(rows, "dataset string, sample_id long, logits array<double>, y_true int, region string")
+    folder = str(tmp_path / "results")
+    preds.where("dataset = 'A'").write.parquet(str(tmp_path / "some"))
+    preds.write.parquet(str(tmp_path / "all"))
+    job = lambda name: main(["evaluate", "--predictions", str(tmp_path / name), "--tasks", str(tmp_path / "tasks.yml"), "--results", folder])
+    job("some")
+    job("all")
+    job("all")
+    lines = {r.dataset: r for r in tables.read_results(spark, folder).collect()}
+    assert tables.read_results(spark, folder).count() == 3 and set(lines) == {"A", "B", "G"}
+    assert lines["A"].key == "a" and lines["A"].metrics["main_metric"] == lines["A"].metrics["acc1"] == 1.0
+    assert lines["B"].metrics["main_metric"] == lines["B"].metrics["mean_per_class_recall"] == 0.0
+    assert lines["G"].key == "fairness/geode" and lines["G"].metrics
+
+
+def test_captions_are_matched_refined_and_resumed(spark, tmp_path):
+    images = tmp_path / "images"
+    (images / "sub").mkdir(parents=True)
+    for name in ("a.jpg", "b.jpg", "sub/c.png", "none.jpg"):
+        (images / name).write_bytes(b"x")
+    (images / "a.txt").write_text(" alt of a\n")
+    rows = [("a.jpg", "first", "u1"), ("a.jpg", "last", "u2"), ("b.jpg", "of b", "u3"), ("c.png", "of c", "u4"), ("z.jpg", "no image", "u5")]
+    spark.createDataFrame(rows, "filename string, caption string, uid string").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    seen = []
+
+    def captioner(failing):
+        def run(df):
+            seen.append(sorted((r.filename, r.caption, r.alt_text) for r in df.collect()))
+            text = F.when(~F.col("filename").isin(failing), F.concat("caption", F.lit("!")))
+            return df.select("filename", text.alias("new_caption"))
+
+        return run
+
+    out = str(tmp_path / "out")
+    job = lambda failing, resume: refine_captions(spark, str(images), str(tmp_path / "rows"), out, captioner(failing), resume).first()
+    first = job(["b.jpg"], False)
+    assert (first.total, first.succeeded, first.failed, first.no_caption_match) == (4, 2, 1, 1)
+    assert [r.filename for r in spark.read.json(f"{out}/failed").collect()] == ["b.jpg"]
+    again = job([], True)
+    assert seen == [[("a.jpg", "last", "alt of a"), ("b.jpg", "of b", ""), ("c.png", "of c", "")], [("b.jpg", "of b", "")]]
+    assert (again.total, again.succeeded, again.failed) == (2, 1, 0)
+    merged = {(r.filename, r.caption): r.new_caption for r in spark.read.parquet(f"{out}/captions").collect()}
+    assert merged == {("a.jpg", "first"): "last!", ("a.jpg", "last"): "last!", ("b.jpg", "of b"): "of b!", ("c.png", "of c"): "of c!", ("z.jpg", "no image"): None}
