@@ -213,14 +213,15 @@ def _with_sides(df):
 def stream_filter(spark, sf):
     """The basic filter over newly arrived files."""
     folder = run_dir(spark, "stream")
-    stream = incremental.read_pool_stream(spark, sf, DOCUMENTS, glob="documents.parquet")
+    # a table is one file or a folder of files of any name; a stream takes a file only by a pattern
+    stream = incremental.read_pool_stream(spark, f"{sf}/documents.parque[t]", DOCUMENTS, glob="*")
     incremental.filter_new_files(
         stream,
         lambda df: basic_filter(_with_sides(df)).select("uid", "doc_id"),
         f"{folder}/out",
         f"{folder}/checkpoint",
     )
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.schema("uid string, doc_id bigint").parquet(f"{folder}/out")
 
 
 @check("stream_resume", "SELECT doc_id, CAST(length(text) AS INTEGER) AS chars FROM documents")

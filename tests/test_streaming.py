@@ -1,6 +1,9 @@
+import shutil
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from checks import CATALOG
 from poolsift.operators.filters import clip_threshold
 from poolsift.streaming import incremental
 from poolsift.streaming.key_store import KeyStore
@@ -79,3 +82,22 @@ def test_replays_and_merges_change_nothing(spark, tmp_path):
     assert len([f for f in (tmp_path / "keys").rglob("*.parquet")]) == 1
     assert make().without_seen(keys_of(spark, 3, 4, 9), "uid", 5).collect() == [(9,)]
     assert make().without_seen(keys_of(spark), "uid", 5).collect() == []
+
+
+def documents(spark, folder, files):
+    rows = spark.range(900).select(
+        F.col("id").alias("doc_id"), F.expr("repeat('some words ', 1 + cast(id % 50 as int))").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source")
+    )
+    rows = rows.withColumn("n_chars", F.length("text").cast("bigint")).repartition(files)
+    rows.write.parquet(f"{folder}/documents.parquet")
+    return {r.doc_id for r in rows.collect()}
+
+
+def test_the_filter_reads_a_table_that_is_a_folder_of_files_or_one_file(spark, tmp_path):
+    documents(spark, tmp_path / "many", 3)
+    documents(spark, tmp_path / "one", 1)
+    (part,) = (tmp_path / "one" / "documents.parquet").glob("*.parquet")
+    (tmp_path / "file").mkdir()
+    shutil.copyfile(part, tmp_path / "file" / "documents.parquet")
+    many, one = (sorted(tuple(r) for r in CATALOG["stream_filter"].run(spark, str(tmp_path / name)).collect()) for name in ("many", "file"))
+    assert many == one and len(many) > 0
