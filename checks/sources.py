@@ -230,8 +230,10 @@ def stream_resume(spark, sf):
     folder = run_dir(spark, "resume")
     docs = table(spark, sf, "documents")
     for half in (docs.where("doc_id % 3 < 2"), docs.where("doc_id % 3 > 0")):
-        half.repartition(2).write.mode("append").parquet(f"{folder}/in")
-        stream = incremental.read_pool_stream(spark, f"{folder}/in", DOCUMENTS, files_per_batch=1)
+        # as many files as the table has parts, so none grows with it; two batches a run
+        files = max(2, half.rdd.getNumPartitions())
+        half.repartition(files).write.mode("append").parquet(f"{folder}/in")
+        stream = incremental.read_pool_stream(spark, f"{folder}/in", DOCUMENTS, files_per_batch=(files + 1) // 2)
         incremental.process_once_per_key(
             stream,
             "doc_id",

@@ -101,3 +101,18 @@ def test_the_filter_reads_a_table_that_is_a_folder_of_files_or_one_file(spark, t
     shutil.copyfile(part, tmp_path / "file" / "documents.parquet")
     many, one = (sorted(tuple(r) for r in CATALOG["stream_filter"].run(spark, str(tmp_path / name)).collect()) for name in ("many", "file"))
     assert many == one and len(many) > 0
+
+
+def test_resuming_writes_as_many_files_as_the_table_has_parts(spark, tmp_path, monkeypatch):
+    want = documents(spark, tmp_path, 12)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # so each file is a part, as large ones are
+    monkeypatch.setattr("checks.sources.run_dir", lambda spark, name: str(tmp_path / name))
+    try:
+        got = CATALOG["stream_resume"].run(spark, str(tmp_path))
+        parts = spark.read.parquet(str(tmp_path / "documents.parquet")).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    ids = [r.doc_id for r in got.collect()]
+    assert len(ids) == len(set(ids)) and set(ids) == want
+    assert parts >= 12 and len(list((tmp_path / "resume" / "in").glob("*.parquet"))) == 2 * parts
+    assert len(list((tmp_path / "resume" / "out").glob("batch_id=*"))) == 4
