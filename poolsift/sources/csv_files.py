@@ -28,6 +28,8 @@ from poolsift.sources.tables import list_files
 #: Bytes of one range, and of one read.
 RANGE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
+#: Bytes of the first read behind a range, for the record that leaves it.
+TAIL_BYTES = 1 << 14
 #: Characters with a meaning (fixed values): quote, backslash, line feed, carriage return.
 QUOTE, BACKSLASH, LINE, RETURN = 34, 92, 10, 13
 
@@ -37,24 +39,36 @@ def scan(data: np.ndarray, inside: bool, escaped: bool) -> tuple[np.ndarray, boo
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), inside, escaped
-    slash = data == BACKSLASH
-    # a character is taken as it is behind an odd run of backslashes
-    at = np.arange(n)
-    other = np.maximum.accumulate(np.where(slash, -1, at))
-    run = at - other  # backslashes up to and with this place
-    carried = (other == -1) & escaped
-    odd = (run + carried) % 2 == 1
-    taken = np.concatenate([[escaped], odd[:-1]])
-    quotes = (data == QUOTE) & ~taken
-    within = (np.cumsum(quotes) + inside) % 2 == 1
-    ends = np.flatnonzero((data == LINE) & ~taken & ~within)
-    return ends, bool(within[-1]), bool(odd[-1])
-
-
-def _chunks(file, low: int, high: int) -> Iterator[np.ndarray]:
+    # a character is taken as it is behind an odd run of backslashes; only the places with a meaning are looked at
+    slash = np.flatnonzero(data == BACKSLASH)
+    last = np.flatnonzero(np.append(np.diff(slash) != 1, True)) if len(slash) else slash
+    run_end = slash[last]
+    run = np.diff(np.concatenate([[-1], last]))
+    if escaped and len(slash) and slash[0] == 0:
+        run[0] += 1
+    taken = run_end[run % 2 == 1] + 1
+    if escaped and data[0] != BACKSLASH:
+        taken = np.append(0, taken)
+    behind = bool(len(taken)) and int(taken[-1]) == n
+    quotes, ends = np.flatnonzero(data == QUOTE), np.flatnonzero(data == LINE)
+    if len(taken):
+        plain = np.ones(n + 1, bool)
+        plain[taken] = False
+        quotes, ends = quotes[plain[quotes]], ends[plain[ends]]
+    ends = ends[(np.searchsorted(quotes, ends) + inside) % 2 == 0]
+    return ends, bool((len(quotes) + inside) % 2), behind
+
+
+def _chunks(file, low: int, high: int, size: int) -> Iterator[np.ndarray]:
+    """The bytes from ``low`` to ``high``, then those up to ``size`` in pieces that grow: a record that leaves its range is short as a rule."""
     file.seek(low)
-    while low < high:
-        raw = file.read(min(READ_BYTES, high - low))
+    piece = TAIL_BYTES
+    while low < size:
+        if low < high:
+            wanted = min(READ_BYTES, high - low)
+        else:
+            wanted, piece = min(piece, size - low), min(2 * piece, READ_BYTES)
+        raw = file.read(wanted)
         if not raw:
             return
         low += len(raw)
@@ -63,11 +77,13 @@ def _chunks(file, low: int, high: int) -> Iterator[np.ndarray]:
 
 def _effect(path: str, low: int, high: int) -> list[int]:
     """The state behind a range (inside + 2 * escaped) for each state at its start."""
-    states = [(s & 1 == 1, s & 2 == 2) for s in range(4)]
-    with open_input(path) as file:
-        for data in _chunks(file, low, high):
-            states = [scan(data, *s)[1:] for s in states]
-    return [int(a) + 2 * int(b) for a, b in states]
+    # a quote at the start turns the state in quotes around all the way, so it is followed from outside only
+    found = [(False, False), (False, True)]
+    with open_input(path, TAIL_BYTES) as file:
+        for data in _chunks(file, low, high, high):
+            after = {escaped: scan(data, False, escaped)[1:] for escaped in {state[1] for state in found}}
+            found = [(inside ^ after[escaped][0], after[escaped][1]) for inside, escaped in found]
+    return [int(found[s >> 1][0] ^ (s & 1 == 1)) + 2 * int(found[s >> 1][1]) for s in range(4)]
 
 
 def _records(path: str, low: int, high: int, state: int, size: int) -> Iterator[tuple[int, bytes]]:
@@ -75,9 +91,9 @@ def _records(path: str, low: int, high: int, state: int, size: int) -> Iterator[
     inside, escaped = state & 1 == 1, state & 2 == 2
     begun = 0 if low == 0 else None
     held: list[bytes] = []
-    with open_input(path) as file:
+    with open_input(path, TAIL_BYTES) as file:
         place = low
-        for data in _chunks(file, low, size):
+        for data in _chunks(file, low, high, size):
             ends, inside, escaped = scan(data, inside, escaped)
             raw, start = data.tobytes(), 0
             for end in ends.tolist():

@@ -25,10 +25,10 @@ def locate(path: str) -> tuple[fs.FileSystem, str]:
 READ_AHEAD = 1 << 19
 
 
-def open_input(path: str) -> io.BufferedReader:
+def open_input(path: str, ahead: int = READ_AHEAD) -> io.BufferedReader:
     """Random-access file object that reads ahead."""
     system, place = locate(path)
-    return io.BufferedReader(system.open_input_file(place), READ_AHEAD)
+    return io.BufferedReader(system.open_input_file(place), ahead)
 
 
 @contextmanager

@@ -416,6 +416,24 @@ def test_csv_records_whatever_the_ranges(spark, tmp_path):
         assert sorted((os.path.basename(r.path), r.place, r.record) for r in got) == want
 
 
+def test_a_range_reads_little_behind_its_end(monkeypatch, tmp_path):
+    raw = b'"0123456789","x"\n' * 400_000  # 6.8 MB
+    (tmp_path / "x.csv").write_bytes(raw)
+    scanned = []
+    whole = csv_files.scan
+    monkeypatch.setattr(csv_files, "scan", lambda data, *state: scanned.append(len(data)) or whole(data, *state))
+    step = 1 << 16
+    records = []
+    for low in range(0, 10 * step, step):
+        records += csv_files._records(str(tmp_path / "x.csv"), low, low + step, raw[:low].count(b'"') % 2, len(raw))
+    assert [at for at, _ in records] == list(range(0, 10 * step + 1, 17))
+    assert sum(scanned) < 2 * 10 * step
+    # the state behind a range is followed once, or twice over its first read
+    scanned.clear()
+    assert csv_files._effect(str(tmp_path / "x.csv"), 0, 17 * 400_000) == [0, 1, 1, 0]
+    assert sum(scanned) < 3 * len(raw)
+
+
 def test_malformed_csv_comes_out_with_its_text(spark, tmp_path):
     (tmp_path / "x.csv").write_text('id,text\n1,"a\nb"\ntwo,"c"\n3,"d",extra\n4\n5,"e"\n')
     columns = tables.T.StructType([tables.T.StructField("id", tables.T.LongType()), tables.T.StructField("text", tables.T.StringType())])
