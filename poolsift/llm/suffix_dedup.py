@@ -88,9 +88,11 @@ def stretches(body: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
 # ---------------------------------------------------------------- suffix array
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Places of ``data`` (0 ends every text) in the order of their next ``depth`` bytes, at least.
 
+    With ``wanted``, a flag per place, only those places and the ones their order follows from.
+
     Two-stage sorting. Places whose suffix is smaller than its successor are sorted directly, eight
     bytes at a time. The others follow from them: going through the buckets of first bytes in
     order, the place before a sorted one belongs next in its own bucket.
@@ -104,10 +106,12 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     run_end = np.repeat(change, np.diff(np.concatenate([[-1], change])))
     after = np.where(run_end + 1 < n, wide[np.minimum(run_end + 1, n - 1)], -1)
     rising = after > wide
-    order = _sort_directly(data, np.flatnonzero(rising), depth)
+    kept = np.ones(n, bool) if wanted is None else _with_successors(wanted, rising)
+    falling = ~rising & kept
+    order = _sort_directly(data, np.flatnonzero(rising & kept), depth)
     bounds = np.searchsorted(wide[order], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    if n and not rising[n - 1]:
+    if falling[n - 1]:
         waiting[int(data[n - 1])].append(np.array([n - 1]))  # the end is smaller than anything
     out = []
     for first in range(256):
@@ -115,7 +119,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         waves = [wave]
         while len(wave):
             before = wave[wave > 0] - 1
-            wave = before[(data[before] == first) & ~rising[before]]
+            wave = before[(data[before] == first) & falling[before]]
             if len(wave):
                 waves.append(wave)
         bucket = np.concatenate([*waves, order[bounds[first] : bounds[first + 1]]])
@@ -123,7 +127,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
             continue
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[~rising[before] & (data[before] > first)]
+        before = before[falling[before] & (data[before] > first)]
         if len(before):
             heads = data[before]
             by_head = np.argsort(heads, kind="stable")
@@ -134,35 +138,51 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def _with_successors(wanted: np.ndarray, rising: np.ndarray) -> np.ndarray:
+    """The places wanted, and those behind them up to the next one that is sorted directly."""
+    at = np.arange(len(wanted))
+    asked = np.maximum.accumulate(np.where(wanted, at, -1))
+    sorted_before = np.maximum.accumulate(np.where(rising, at, -1))
+    sorted_before = np.append(-1, sorted_before[:-1])
+    return asked > sorted_before
+
+
 def _words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from every place on as one number, in the order of the bytes."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.zeros(len(data), np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | padded[i : i + len(data)]
-    return word
+    return np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def _sort_directly(data: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     words = np.append(_words(data), np.uint64(0))
     n = len(data)
-    order = places[np.argsort(words[places], kind="stable")]
-    group_of = np.concatenate([[0], np.cumsum(words[order[1:]] != words[order[:-1]])]) if len(order) else np.zeros(0, np.int64)
+    first = words[places]
+    by_word = np.argsort(first)
+    order, first = places[by_word], first[by_word]
+    tied = np.arange(len(order))
+    group = np.cumsum(np.append(False, first[1:] != first[:-1])) if len(order) else tied
     for offset in range(8, depth, 8):
-        sizes = np.bincount(group_of) if len(group_of) else np.zeros(0, np.int64)
-        tied = np.flatnonzero(sizes[group_of] > 1) if len(group_of) else np.zeros(0, np.int64)
+        # those alone in their group have their place
+        same = group[1:] == group[:-1]
+        more = np.append(False, same) | np.append(same, False) if len(group) else np.zeros(0, bool)
+        tied, group = tied[more], group[more]
         if not len(tied):
             break
         word = words[np.minimum(order[tied] + offset, n)]
-        inner = np.lexsort((word, group_of[tied]))
+        differs = (group[1:] == group[:-1]) & (word[1:] != word[:-1])
+        if not differs.any():
+            continue
+        # groups of one word are in order
+        mixed_up = np.zeros(int(group[-1]) + 1, bool)
+        mixed_up[group[1:][differs]] = True
+        part = np.flatnonzero(mixed_up[group])
+        of, at, word = group[part], tied[part], word[part]
+        inner = np.lexsort((word, of))
         word = word[inner]
-        order[tied] = order[tied][inner]
-        group = group_of[tied]
-        fresh = np.zeros(len(group_of), bool)
+        order[at] = order[at][inner]
         split = np.zeros(len(tied), bool)
-        split[1:] = (group[1:] == group[:-1]) & (word[1:] != word[:-1])
-        fresh[tied] = split
-        group_of = group_of + np.cumsum(fresh)
+        split[part[1:]] = (of[1:] == of[:-1]) & (word[1:] != word[:-1])
+        group = group + np.cumsum(split)
     return order
 
 
@@ -171,17 +191,19 @@ def repeated_windows(data: np.ndarray, length: int) -> np.ndarray:
     flags = np.zeros(len(data), bool)
     if len(data) < length:
         return flags
-    order = suffix_array(data, length)
+    ends = np.flatnonzero(data == 0)
+    next_end = np.append(ends, len(data))
+    room = np.repeat(next_end, np.diff(np.append(-1, next_end)))[: len(data)] - np.arange(len(data))
+    # nothing begins so near to an end that a window does not fit: these places are not sorted
+    order = suffix_array(data, length, room >= length)
+    order = order[room[order] >= length]
     near = order[:-1], order[1:]
     # common prefix of neighbours, as far as length: words of eight bytes, then the rest
     words = np.append(_words(data), np.zeros(length, np.uint64))
-    equal = np.arange(len(order) - 1)
+    equal = np.arange(max(len(order) - 1, 0))
     offsets = [*range(0, length - 7, 8), length - 8]
     for offset in offsets:
         equal = equal[words[near[0][equal] + offset] == words[near[1][equal] + offset]]
-    ends = np.flatnonzero(data == 0)
-    next_end = np.append(ends, len(data))[np.searchsorted(ends, np.arange(len(data)))]
-    equal = equal[next_end[near[0][equal]] - near[0][equal] >= length]
     flags[near[0][equal]] = True
     flags[near[1][equal]] = True
     return flags

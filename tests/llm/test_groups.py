@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -168,6 +169,22 @@ def test_repeats_agree_with_all_windows(spark):
     assert suffix_dedup.repeats_report(documents(spark, [])).count() == 0
 
 
+def test_places_where_no_window_begins_are_not_sorted(monkeypatch):
+    rng = np.random.default_rng(4)
+    shared = rng.integers(2, 90, 260).astype(np.uint8)
+    bodies = [np.concatenate([rng.integers(2, 90, int(rng.integers(0, 60))).astype(np.uint8), shared[: 200 + i]]) for i in range(40)]
+    data = np.concatenate([part for body in bodies for part in (body, np.zeros(1, np.uint8))])
+    directly, sort = [], suffix_dedup._sort_directly
+    monkeypatch.setattr(suffix_dedup, "_sort_directly", lambda data, places, depth: directly.append(len(places)) or sort(data, places, depth))
+    flags = suffix_dedup.repeated_windows(data, 200)
+    windows = [data[i : i + 200].tobytes() for i in range(len(data) - 199)]
+    times = Counter(w for w in windows if b"\0" not in w)
+    assert np.flatnonzero(flags).tolist() == [i for i, w in enumerate(windows) if times[w] > 1]
+    begins = sum(len(body) - 199 for body in bodies)
+    assert directly[0] <= begins + len(bodies) < len(data) / 3
+
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.binary(max_size=40).map(lambda b: bytes(1 + x % 3 for x in b)), max_size=6))
 def test_suffix_array_is_sorted(bodies):
@@ -339,6 +356,7 @@ def test_a_passage_repeated_ever_more_often_takes_few_partners(spark, monkeypatc
     assert len(tried) <= 3 and sum(tried) < 300 * 3 * 10
 
 
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=9), st.lists(st.integers(0, 3), max_size=9))
 def test_longest_common_subsequence(a, b):
