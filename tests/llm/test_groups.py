@@ -356,6 +356,18 @@ def test_a_passage_repeated_ever_more_often_takes_few_partners(spark, monkeypatc
     assert len(tried) <= 3 and sum(tried) < 300 * 3 * 10
 
 
+def test_few_pairs_are_few_tasks(spark, monkeypatch):
+    """A round that has a handful of pairs left starts no more tasks than they need."""
+    texts = ["alpha beta gamma delta epsilon\none", "zeta\nalpha beta gamma delta epsilon", "alpha beta gamma delta epsilon\nthree"] * 2
+    docs = documents(spark, [t + f"\n{i}" for i, t in enumerate(texts)])
+    frame = type(docs)
+    asked, plain = [], frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, *a: asked.append(a[0]) or plain(df, *a))
+    got = rows_by_id(line_dedup.line_report(docs))
+    assert [r.n_removed > 0 for _, r in sorted(got.items())] == [False] + [True] * 5
+    assert asked and set(asked) == {1}
+
+
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=9), st.lists(st.integers(0, 3), max_size=9))
